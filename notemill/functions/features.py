@@ -169,11 +169,11 @@ def reading_mentions(content: Column, rules: ReadingRules = ReadingRules()) -> C
 
     def step(state: Column, line: Column) -> Column:
         mention = F.coalesce(
-            *[
-                F.when(line.rlike(p), F.regexp_extract(line, p, 0))
-                for p in rules.patterns
-            ]
+            *[F.when(line.rlike(p), F.regexp_extract(line, p, 0)) for p in rules.patterns]
         )
+        return T.let(mention, lambda m: F.when(m.isNull(), state).otherwise(read(state, line, m)))
+
+    def read(state: Column, line: Column, mention: Column) -> Column:
         digits = F.regexp_replace(F.regexp_extract(line, r"\d+", 0), "^0+(?=.)", "")
         level = digits.try_cast("double")
         worded = (
@@ -195,11 +195,11 @@ def reading_mentions(content: Column, rules: ReadingRules = ReadingRules()) -> C
             F.when(level > rules.critical, READING_CRITICAL_TOKEN).otherwise(""),
             F.when(clash, READING_CLASH_TOKEN).otherwise(""),
         )
-        skip = state["done"] | mention.isNull()
+        done = state["done"]
         return F.struct(
-            F.when(skip, state["status"]).otherwise(status).alias("status"),
-            F.when(skip | level.isNull(), state["note"]).otherwise(note).alias("note"),
-            (state["done"] | (mention.isNotNull() & level.isNull())).alias("done"),
+            F.when(done, state["status"]).otherwise(status).alias("status"),
+            F.when(done | level.isNull(), state["note"]).otherwise(note).alias("note"),
+            (done | level.isNull()).alias("done"),
         )
 
     return F.concat(content, F.aggregate(T.lines(content), start, step)["note"])
@@ -332,17 +332,23 @@ def weekly_consumption(
     rules: ConsumptionRules = ConsumptionRules(),
 ) -> Column:
     """Append the weekly consumption bucket and value; texts without usage lines stay as they are."""
-    mentions = consumption_mentions(content, rules)
-    unreadable = F.exists(mentions, lambda m: m["drinks"].isNull())
-    total = weekly_total(mentions, gender_code, weight, weight_unit, rules)
-    token = F.concat(
-        F.lit(f" W_CONS_{rules.bucket}_"),
-        bucket(total, rules.bucket).cast("string"),
-        F.lit(" W_CONS_VAL_"),
-        total.cast("string"),
-    )
-    usable = usage_gate(content, rules) & (F.size(mentions) > 0) & ~unreadable
-    return F.when(usable, F.concat(content, token)).otherwise(content)
+    def described(mentions: Column) -> Column:
+        total = weekly_total(mentions, gender_code, weight, weight_unit, rules)
+        token = T.let(
+            total,
+            lambda t: F.concat(
+                F.lit(f" W_CONS_{rules.bucket}_"),
+                bucket(t, rules.bucket).cast("string"),
+                F.lit(" W_CONS_VAL_"),
+                t.cast("string"),
+            ),
+        )
+        unreadable = F.exists(mentions, lambda m: m["drinks"].isNull())
+        usable = (F.size(mentions) > 0) & ~unreadable
+        return F.when(usable, F.concat(content, token)).otherwise(content)
+
+    found = T.let(consumption_mentions(content, rules), described)
+    return F.when(usage_gate(content, rules), found).otherwise(content)
 
 
 RowFeature = Callable[[Column, PatientColumns], Column]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -15,6 +15,14 @@ NOT_PRINTABLE = r"[^\x09-\x0d\x20-\x7e]"
 EDGE_SPACE = r"^\s+|\s+$"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often and wherever ``body`` uses it.
+
+    An expression used inside a lambda would otherwise be computed again for every element.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(text: Column) -> Column:
     """Remove every kind of whitespace from both ends."""
     return F.regexp_replace(text, EDGE_SPACE, "")
@@ -76,15 +84,19 @@ def first_pattern(text: Column, choices: Mapping[str, object] | Sequence[str]) -
 def parse_map(text: Column, item_sep: str = "&", key_sep: str = "=") -> Column:
     """``a=1&b`` to a map; an item with no or several separators gets a null; the last key wins."""
     items = F.split(text, _quoted(item_sep), -1)
-    pairs = F.transform(items, lambda i: F.split(i, _quoted(key_sep), -1))
-    keys = F.transform(pairs, lambda p: p[0])
-    last = F.filter(
-        pairs,
-        lambda p, i: ~F.array_contains(F.slice(keys, i + 2, F.size(keys)), p[0]),
-    )
-    return F.map_from_arrays(
-        F.transform(last, lambda p: p[0]),
-        F.transform(last, lambda p: F.when(F.size(p) == 2, F.get(p, F.lit(1)))),
+
+    def latest(pairs: Column, keys: Column) -> Column:
+        last = F.filter(
+            pairs, lambda p, i: ~F.array_contains(F.slice(keys, i + 2, F.size(keys)), p[0])
+        )
+        return F.map_from_arrays(
+            F.transform(last, lambda p: p[0]),
+            F.transform(last, lambda p: F.when(F.size(p) == 2, F.get(p, F.lit(1)))),
+        )
+
+    return let(
+        F.transform(items, lambda i: F.split(i, _quoted(key_sep), -1)),
+        lambda pairs: let(F.transform(pairs, lambda p: p[0]), lambda keys: latest(pairs, keys)),
     )
 
 
@@ -137,18 +149,24 @@ def without(items: Column, stop_words: Sequence[str]) -> Column:
     return F.filter(items, lambda t: ~F.array_contains(stops, t))
 
 
+def windows(items: Column, n: int, glue: str) -> Column:
+    """Every run of ``n`` neighbouring items, joined by ``glue``; single lookups, no array copies."""
+    starts = F.when(F.size(items) >= n, F.sequence(F.lit(0), F.size(items) - n)).otherwise(
+        F.array().cast("array<int>")
+    )
+    return F.transform(
+        starts, lambda i: F.concat_ws(glue, *[F.get(items, i + place) for place in range(n)])
+    )
+
+
+def _all_windows(items: Column, low: int, high: int, glue: str) -> Column:
+    made = [items if n == 1 else windows(items, n, glue) for n in range(low, high + 1)]
+    return F.concat(*made) if len(made) > 1 else made[0]
+
+
 def ngrams(items: Column, low: int = 1, high: int = 1) -> Column:
     """All n-grams with ``low <= n <= high``, words joined by a space."""
-    grams = []
-    for n in range(low, high + 1):
-        if n == 1:
-            grams.append(items)
-            continue
-        starts = F.when(
-            F.size(items) >= n, F.sequence(F.lit(1), F.size(items) - (n - 1))
-        ).otherwise(F.array().cast("array<int>"))
-        grams.append(F.transform(starts, lambda i, n=n: F.array_join(F.slice(items, i, n), " ")))
-    return F.concat(*grams) if len(grams) > 1 else grams[0]
+    return items if high == 1 else let(items, lambda w: _all_windows(w, low, high, " "))
 
 
 def char_ngrams(text: Column, low: int, high: int, word_bounds: bool = False) -> Column:
@@ -156,13 +174,8 @@ def char_ngrams(text: Column, low: int, high: int, word_bounds: bool = False) ->
     flat = F.regexp_replace(F.lower(text), r"\s\s+", " ")
 
     def grams(part: Column) -> Column:
-        made = []
-        for n in range(low, high + 1):
-            starts = F.when(
-                F.length(part) >= n, F.sequence(F.lit(1), F.length(part) - (n - 1))
-            ).otherwise(F.array().cast("array<int>"))
-            made.append(F.transform(starts, lambda i, n=n: F.substring(part, i, F.lit(n))))
-        return F.concat(*made) if len(made) > 1 else made[0]
+        characters = F.filter(F.split(part, ""), lambda c: c != "")
+        return let(characters, lambda c: _all_windows(c, low, high, ""))
 
     if not word_bounds:
         return grams(flat)

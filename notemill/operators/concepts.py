@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from notemill.functions.text import comma_free, tokens
+from notemill.functions.text import comma_free, let, tokens, windows
 from notemill.scale import lookup_join
 
 CONCEPT_ID = "^(-?|neg)[Cc][0-9]{7}$"
@@ -32,23 +32,20 @@ def concept_terms(dictionary: DataFrame) -> DataFrame:
 
 def concept_spans(docs: DataFrame, terms: DataFrame, longest: int) -> DataFrame:
     """Every place where up to ``longest`` tokens of a document are a dictionary term."""
-    toks = docs.select("doc_id", tokens(F.col("text")).alias("_t")).where(F.size("_t") > 0)
+    def places(toks: Column) -> Column:
+        return F.concat(*[grams(toks, n) for n in range(1, longest + 1)])
 
-    def grams(n: int) -> Column:
-        starts = F.when(
-            F.size("_t") >= n, F.sequence(F.lit(1), F.size("_t") - (n - 1))
-        ).otherwise(F.array().cast("array<int>"))
+    def grams(toks: Column, n: int) -> Column:
         return F.transform(
-            starts,
-            lambda i: F.struct(
-                i.alias("start"),
-                F.lit(n).alias("length"),
-                F.array_join(F.slice(F.col("_t"), i, n), " ").alias("term"),
+            windows(toks, n, " "),
+            lambda term, i: F.struct(
+                (i + 1).alias("start"), F.lit(n).alias("length"), term.alias("term")
             ),
         )
 
-    all_grams = F.concat(*[grams(n) for n in range(1, longest + 1)])
-    placed = toks.select("doc_id", F.explode(all_grams).alias("_g")).select("doc_id", "_g.*")
+    placed = docs.select(
+        "doc_id", F.explode(let(tokens(F.col("text")), places)).alias("_g")
+    ).select("doc_id", "_g.*")
     return lookup_join(placed, terms, "term", ["doc_id", "start"], "inner")
 
 

@@ -9,8 +9,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from notemill.functions.text import let, overlap
 from notemill.operators.sampling import per_class
-from notemill.operators.vectors import entity_bits
+from notemill.operators.vectors import entity_bits, entity_keys
 
 
 def class_prints(docs: DataFrame, sample_size: int, seed: int = 1) -> DataFrame:
@@ -29,18 +30,19 @@ def print_predict(docs: DataFrame, prints: DataFrame) -> DataFrame:
     Prints come from a sample of fixed size, so all of them ride along as one value.
     """
     all_prints = prints.agg(F.array_sort(F.collect_list(F.struct("label", "bits")))).scalar()
-    shared = F.transform(
-        "_prints",
-        lambda p: F.struct(
-            (-F.size(F.array_intersect(p["bits"], F.col("bits")))).alias("minus"),
-            p["label"].alias("label"),
-        ),
-    )
-    best = F.array_min(shared)
+
+    def best(bits: Column) -> Column:
+        shared = F.transform(
+            "_prints",
+            lambda p: F.struct(
+                (-overlap(p["bits"], bits)).alias("minus"), p["label"].alias("label")
+            ),
+        )
+        return F.array_min(shared)
+
     return (
-        entity_bits(docs)
-        .withColumn("_prints", all_prints)
-        .withColumn("_best", best)
+        docs.withColumn("_prints", all_prints)
+        .select("doc_id", "label", let(entity_keys(F.col("text")), best).alias("_best"))
         .select(
             "doc_id", "label", F.col("_best.label").alias("pred"), (-F.col("_best.minus")).alias("shared")
         )
@@ -61,56 +63,60 @@ def bit_knn(
     )
     samples = sample.agg(F.array_sort(F.collect_list("s"))).scalar()
 
-    def shared(s: Column) -> Column:
-        return F.size(F.array_intersect(s["bits"], F.col("bits")))
-
-    if rank_vote:
-        votes = _rank_votes(shared, k)
-    else:
-        near = F.array_sort(
-            F.transform(
-                "_samples",
-                lambda s: F.struct(
-                    (F.size(s["bits"]) + F.size("bits") - 2 * shared(s)).alias("distance"),
-                    s["doc_id"].alias("sample_id"),
-                    s["label"].alias("label"),
-                ),
-            )
+    def votes(bits: Column) -> Column:
+        counted = F.transform(
+            "_samples",
+            lambda s: F.struct(
+                overlap(s["bits"], bits).alias("shared"),
+                F.size(s["bits"]).alias("size"),
+                s["doc_id"].alias("sample_id"),
+                s["label"].alias("label"),
+            ),
         )
-        votes = F.transform(F.slice(near, 1, k), lambda n: n["label"])
+        return let(counted, lambda c: _rank_votes(c, k) if rank_vote else _near_votes(c, bits, k))
+
     return (
-        entity_bits(docs)
-        .withColumn("_samples", samples)
-        .withColumn("_votes", votes)
-        .select("doc_id", "label", most_votes(F.col("_votes")).alias("pred"))
+        docs.withColumn("_samples", samples)
+        .select("doc_id", "label", let(entity_keys(F.col("text")), votes).alias("_votes"))
+        .select("doc_id", "label", let(F.col("_votes"), most_votes).alias("pred"))
     )
 
 
-def _rank_votes(shared, k: int) -> Column:
-    """One vote per rank: the class whose count at that rank is smallest, the first on a tie."""
-    counted = F.transform(
-        "_samples", lambda s: F.struct(s["label"].alias("label"), shared(s).alias("shared"))
+def _near_votes(counted: Column, bits: Column, k: int) -> Column:
+    near = F.array_sort(
+        F.transform(
+            counted,
+            lambda c: F.struct(
+                (c["size"] + F.size(bits) - 2 * c["shared"]).alias("distance"),
+                c["sample_id"].alias("sample_id"),
+                c["label"].alias("label"),
+            ),
+        )
     )
+    return F.transform(F.slice(near, 1, k), lambda n: n["label"])
+
+
+def _rank_votes(counted: Column, k: int) -> Column:
+    """One vote per rank: the class whose count at that rank is smallest, the first on a tie."""
     labels = F.array_sort(F.array_distinct(F.transform(counted, lambda c: c["label"])))
 
-    def at(rank: Column) -> Column:
-        per_label = F.transform(
-            labels,
-            lambda lab: F.struct(
-                F.element_at(
-                    F.array_sort(
-                        F.transform(
-                            F.filter(counted, lambda c: c["label"] == lab), lambda c: c["shared"]
-                        )
-                    ),
-                    rank,
-                ).alias("shared"),
-                lab.alias("label"),
-            ),
+    def upwards(label: Column) -> Column:
+        of_label = F.filter(counted, lambda c: c["label"] == label)
+        return F.array_sort(F.transform(of_label, lambda c: c["shared"]))
+
+    def vote(rank: Column, per_label: Column) -> Column:
+        at_rank = F.transform(
+            per_label,
+            lambda p: F.struct(F.element_at(p["counts"], rank).alias("shared"), p["label"].alias("label")),
         )
-        return F.array_min(per_label)["label"]
+        return F.array_min(at_rank)["label"]
 
-    return F.transform(F.sequence(F.lit(1), F.lit(k)), at)
+    per_label = F.transform(
+        labels, lambda lab: F.struct(upwards(lab).alias("counts"), lab.alias("label"))
+    )
+    return let(
+        per_label, lambda p: F.transform(F.sequence(F.lit(1), F.lit(k)), lambda rank: vote(rank, p))
+    )
 
 
 def most_votes(votes: Column) -> Column:

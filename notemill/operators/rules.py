@@ -7,6 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from notemill.functions import text as T
 from notemill.functions.text import flat_unique_lines, sentences, words
 from notemill.sources.scans import read_list
 
@@ -69,21 +70,28 @@ def rule_predict(docs: DataFrame, stats: DataFrame, rules: Rules) -> DataFrame:
             )
         )
     ).scalar()
-    matching = F.transform(F.filter(rule_hits(F.col("text"), rules), lambda h: h["hits"] > 0), lambda h: h["rule"])
-    scored = docs.withColumn("_hit", matching).withColumn("_ratios", ratios)
-
-    def total(side: str) -> Column:
-        return F.aggregate(
-            "_ratios",
-            F.lit(1.0),
-            lambda acc, r: acc + F.when(F.array_contains("_hit", r["rule"]), r[side]).otherwise(0.0),
-        )
+    matching = F.transform(
+        F.filter(rule_hits(F.col("text"), rules), lambda h: h["hits"] > 0), lambda h: h["rule"]
+    )
+
+    def totals(hit: Column) -> Column:
+        def add(acc: Column, r: Column) -> Column:
+            found = F.array_contains(hit, r["rule"])
+            return F.struct(
+                (acc["pos"] + F.when(found, r["pos"]).otherwise(0.0)).alias("pos"),
+                (acc["neg"] + F.when(found, r["neg"]).otherwise(0.0)).alias("neg"),
+            )
 
-    return scored.select(
-        *[c for c in docs.columns if c != "text"],
-        total("pos").alias("pos_score"),
-        total("neg").alias("neg_score"),
-    ).withColumn("pred", (F.col("pos_score") / F.col("neg_score") > 1).cast("int"))
+        start = F.struct(F.lit(1.0).alias("pos"), F.lit(1.0).alias("neg"))
+        return F.aggregate("_ratios", start, add)
+
+    rest = [c for c in docs.columns if c != "text"]
+    return (
+        docs.withColumn("_ratios", ratios)
+        .select(*rest, T.let(matching, totals).alias("_s"))
+        .select(*rest, F.col("_s.pos").alias("pos_score"), F.col("_s.neg").alias("neg_score"))
+        .withColumn("pred", (F.col("pos_score") / F.col("neg_score") > 1).cast("int"))
+    )
 
 
 def rule_threshold(docs: DataFrame, rules: Rules, threshold: int = 1) -> DataFrame:

@@ -101,12 +101,18 @@ def unit_length(weighted: DataFrame, doc: str, weight: str, name: str) -> DataFr
 
 def entities(text: Column) -> Column:
     """Distinct words and sentences (as sorted word lists) of a lower-cased text."""
-    split = F.transform(
-        F.split(F.lower(text), r"\. ", -1), lambda s: F.array_sort(F.split(s, " ", -1))
+
+    def both(split: Column) -> Column:
+        words = F.transform(F.flatten(split), lambda w: F.concat(F.lit("w|"), w))
+        wholes = F.transform(split, lambda s: F.concat(F.lit("s|"), F.array_join(s, " ")))
+        return F.array_distinct(F.concat(words, wholes))
+
+    return T.let(
+        F.transform(
+            F.split(F.lower(text), r"\. ", -1), lambda s: F.array_sort(F.split(s, " ", -1))
+        ),
+        both,
     )
-    words = F.transform(F.flatten(split), lambda w: F.concat(F.lit("w|"), w))
-    wholes = F.transform(split, lambda s: F.concat(F.lit("s|"), F.array_join(s, " ")))
-    return F.array_distinct(F.concat(words, wholes))
 
 
 def entity_presence(docs: DataFrame) -> DataFrame:
@@ -114,12 +120,13 @@ def entity_presence(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.explode(entities(F.col("text"))).alias("entity"))
 
 
+def entity_keys(text: Column) -> Column:
+    """Sorted 64-bit keys of a text's entities, the set form of a bit vector."""
+    return F.array_sort(F.array_distinct(F.transform(entities(text), lambda e: F.xxhash64(e))))
+
+
 def entity_bits(docs: DataFrame) -> DataFrame:
-    """Documents with their entities as 64-bit keys, the set form of a bit vector."""
-    keys = F.array_sort(
-        F.array_distinct(F.transform(entities(F.col("text")), lambda e: F.xxhash64(e)))
-    )
-    return docs.withColumn("bits", keys)
+    return docs.withColumn("bits", entity_keys(F.col("text")))
 
 
 # The most terms a fitted vocabulary may hold; it lives on the driver as one model array.

@@ -9,13 +9,16 @@ from notemill.operators import corpus as C
 from notemill.plans.base import query, strip_sql, table
 from notemill.sources import scans as S
 
-NOTE_LINE = F.concat_ws(
-    "||",
-    F.col("conv_id").cast("string"),
-    F.concat(F.lit("Doe,"), F.col("conv_id").cast("string")),
-    F.col("role"),
-    F.regexp_replace("text", "[\r\n]", " "),
-)
+
+def note_line():
+    """A raw note record made of a conversation turn."""
+    return F.concat_ws(
+        "||",
+        F.col("conv_id").cast("string"),
+        F.concat(F.lit("Doe,"), F.col("conv_id").cast("string")),
+        F.col("role"),
+        F.regexp_replace("text", "[\r\n]", " "),
+    )
 
 
 @query(
@@ -30,7 +33,7 @@ SELECT conv_id, turn, f[1] AS patient_id, f[2] AS patient_name, f[len(f) - 1] AS
 FROM split""",
 )
 def scan_delimited_notes(spark, sf_dir):
-    raw = table(spark, sf_dir, "conversations").select("conv_id", "turn", NOTE_LINE.alias("value"))
+    raw = table(spark, sf_dir, "conversations").select("conv_id", "turn", note_line().alias("value"))
     return S.parse_notes(raw).select(
         "conv_id",
         "turn",
