@@ -214,49 +214,66 @@ def usage_gate(content: Column, rules: ConsumptionRules = ConsumptionRules()) ->
     return content.rlike(any_of(rules.strengths)) & content.rlike(any_of(rules.frequencies))
 
 
-def _looked_up(found: Column, choices: Mapping[str, float]) -> Column:
-    return T.first_pattern(found, {p: float(v) for p, v in choices.items()})
+def _looked_up(line: Column, choices: Mapping[str, float]) -> Column:
+    """Value of the first place in the line that fits any choice; null when none does."""
+    found = F.regexp_extract(line, any_of(choices), 0)
+    return T.let(found, lambda f: T.first_pattern(f, {p: float(v) for p, v in choices.items()}))
 
 
 def quantity(line: Column, rules: ConsumptionRules = ConsumptionRules()) -> Column:
     """Ounces named in a line: an amount close before a container or beverage, times the container."""
     amount_re = r"\d+(?:[-/.]\d+)?"
     near = rf"{rules.article}|{amount_re}.{{0,3}}(?:{any_of(rules.sizes)}|{any_of(rules.strengths)})"
-    found = F.regexp_extract(line, near, 0)
-    amount = F.regexp_extract(found, rf"{rules.article}|{amount_re}", 0)
-    first = F.regexp_extract(amount, r"^(\d+)", 1).try_cast("double")
-    second = F.regexp_extract(amount, r"[-/](\d+)$", 1).try_cast("double")
-    number = (
-        F.when(amount.contains("-"), (first + second) / 2)
-        .when(amount.contains("/"), F.try_divide(first, second))
-        .when(amount.rlike(r"^\d"), amount.try_cast("double"))
-        .otherwise(1.0)
-    )
-    container = F.coalesce(
-        _looked_up(F.regexp_extract(line, any_of(rules.sizes), 0), rules.sizes), F.lit(1.0)
-    )
-    return F.when(line.rlike(near), number * container).otherwise(0.0)
+
+    def number(amount: Column) -> Column:
+        first = F.regexp_extract(amount, r"^(\d+)", 1).try_cast("double")
+        second = F.regexp_extract(amount, r"[-/](\d+)$", 1).try_cast("double")
+        return (
+            F.when(amount.contains("-"), (first + second) / 2)
+            .when(amount.contains("/"), F.try_divide(first, second))
+            .when(amount.rlike(r"^\d"), amount.try_cast("double"))
+            .otherwise(1.0)
+        )
+
+    def ounces(found: Column) -> Column:
+        amount = F.regexp_extract(found, rf"{rules.article}|{amount_re}", 0)
+        container = F.coalesce(_looked_up(line, rules.sizes), F.lit(1.0))
+        return F.when(found == "", 0.0).otherwise(T.let(amount, number) * container)
+
+    return T.let(F.regexp_extract(line, near, 0), ounces)
+
+
+# At most three characters, then at most five times a word and at most three more characters. Written
+# so that only the last word can be given back: earlier words are taken whole and are followed by
+# one to three characters that start and end outside a word.
+UP_TO_FIVE_WORDS = r".{0,3}(?:\w++\W(?:.?\W)?){0,4}(?:\w+.{0,3})?"
 
 
 def frequency(line: Column, rules: ConsumptionRules = ConsumptionRules()) -> Column:
     """Amount and word of how often: a number, a range or ``the`` before a frequency word."""
     amount_re = r"\d+(?:-\d)?"
     units = any_of(rules.frequencies)
-    near = rf"the|{amount_re}.{{0,3}}(?:\w+.{{0,3}}){{0,5}}(?:{units})"
-    amount = F.regexp_extract(F.regexp_extract(line, near, 0), f"the|{amount_re}", 0)
-    low = F.regexp_extract(amount, r"^(\d+)", 1).try_cast("double")
-    high = F.regexp_extract(amount, r"-(\d)$", 1).try_cast("double")
-    mean = (low + high) / 2
-    number = (
-        F.when(amount == "the", 1.0)
-        .when(amount.contains("-"), F.when(mean == 0, 2.5).otherwise(mean))
-        .otherwise(low)
-    )
-    fits = line.rlike(near)
-    return F.struct(
-        F.when(fits, number).otherwise(0.0).alias("amount"),
-        F.when(fits & line.rlike(units), F.regexp_extract(line, units, 0)).alias("unit"),
-    )
+    near = rf"the|{amount_re}{UP_TO_FIVE_WORDS}(?:{units})"
+
+    def number(amount: Column) -> Column:
+        low = F.regexp_extract(amount, r"^(\d+)", 1).try_cast("double")
+        high = F.regexp_extract(amount, r"-(\d)$", 1).try_cast("double")
+        mean = (low + high) / 2
+        return (
+            F.when(amount == "the", 1.0)
+            .when(amount.contains("-"), F.when(mean == 0, 2.5).otherwise(mean))
+            .otherwise(low)
+        )
+
+    def often(found: Column) -> Column:
+        amount = F.regexp_extract(found, f"the|{amount_re}", 0)
+        unit = F.regexp_extract(line, units, 0)
+        return F.struct(
+            F.when(found == "", 0.0).otherwise(T.let(amount, number)).alias("amount"),
+            F.when((found != "") & (unit != ""), unit).alias("unit"),
+        )
+
+    return T.let(F.regexp_extract(line, near, 0), often)
 
 
 def consumption_mentions(content: Column, rules: ConsumptionRules = ConsumptionRules()) -> Column:
@@ -281,15 +298,15 @@ def consumption_mentions(content: Column, rules: ConsumptionRules = ConsumptionR
     )
 
     def mention(line: Column) -> Column:
-        strength = F.coalesce(
-            _looked_up(F.regexp_extract(line, any_of(rules.strengths), 0), rules.strengths),
-            F.lit(0.0),
-        )
-        often = frequency(line, rules)
-        return F.struct(
-            (quantity(line, rules) * (strength / 100) / 0.6).cast("long").alias("drinks"),
-            often["amount"].cast("long").alias("times"),
-            often["unit"].alias("unit"),
+        strength = F.coalesce(_looked_up(line, rules.strengths), F.lit(0.0))
+        drinks = (quantity(line, rules) * (strength / 100) / 0.6).cast("long")
+        return T.let(
+            frequency(line, rules),
+            lambda often: F.struct(
+                drinks.alias("drinks"),
+                often["amount"].cast("long").alias("times"),
+                often["unit"].alias("unit"),
+            ),
         )
 
     return F.array_distinct(F.transform(parts, mention))
@@ -317,7 +334,8 @@ def weekly_total(
             (F.lit(0.806) * m["drinks"] * F.lit(1.2)) / (water * kilos)
             - burn * F.lit(float(rules.drinking_hours))
         ) * 10 * 100
-        per_week = F.coalesce(_looked_up(m["unit"], rules.frequencies), F.lit(0.0))
+        known = {p: float(v) for p, v in rules.frequencies.items()}
+        per_week = F.coalesce(T.first_pattern(m["unit"], known), F.lit(0.0))
         counts = (m["drinks"] > 0) & (m["times"] > 0) & m["unit"].isNotNull()
         return total + F.when(counts, estimate * m["times"] * per_week).otherwise(0.0)
 

@@ -8,6 +8,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from notemill.functions.text import record_key
 from notemill.scale import lookup_join
@@ -83,7 +84,7 @@ def weighted_ratio(a: str, b: str) -> int:
     return round(max(plain, 0.95 * by_order, 0.95 * by_set))
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(IntegerType())
 def _score(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for left, right in batches:
         yield pd.Series([weighted_ratio(a, b) for a, b in zip(left, right)], dtype="int32")

@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from notemill.plans import corpus_queries, model_queries  # noqa: F401
+from notemill.plans import corpus_queries, link_queries, ml_queries, model_queries  # noqa: F401
 from notemill.plans.base import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
