@@ -312,14 +312,10 @@ def consumption_mentions(content: Column, rules: ConsumptionRules = ConsumptionR
     return F.array_distinct(F.transform(parts, mention))
 
 
-def weekly_total(
-    mentions: Column,
-    gender_code: Column,
-    weight: Column,
-    weight_unit: Column,
-    rules: ConsumptionRules = ConsumptionRules(),
-) -> Column:
-    """Estimated blood alcohol of all mentions over a week, truncated to a whole number."""
+def body_constants(
+    gender_code: Column, weight: Column, weight_unit: Column, rules: ConsumptionRules
+) -> tuple[Column, Column, Column]:
+    """Body water share, metabolism and weight in kilograms of a patient."""
     male = F.coalesce(gender_code == 0, F.lit(False))
     water = F.when(male, rules.body_water_male).otherwise(rules.body_water_female)
     burn = F.when(male, rules.metabolism_male).otherwise(rules.metabolism_female)
@@ -328,16 +324,43 @@ def weekly_total(
     stated = F.coalesce(stated, F.lit(0.0))
     converted = F.when(unit.contains("kg"), stated).when(unit.contains("lb"), stated * 0.45)
     kilos = F.when(converted >= 30, converted).otherwise(F.lit(float(rules.default_weight)))
+    return water, burn, kilos
+
+
+def weekly_factor(mention: Column, rules: ConsumptionRules) -> tuple[Column, Column]:
+    """Whether a mention counts, and how often a week its frequency word stands for."""
+    known = {p: float(v) for p, v in rules.frequencies.items()}
+    counts = (mention["drinks"] > 0) & (mention["times"] > 0) & mention["unit"].isNotNull()
+    return counts, F.coalesce(T.first_pattern(mention["unit"], known), F.lit(0.0))
+
+
+def estimated_level(mention: Column, rules: ConsumptionRules) -> Column:
+    """What a mention adds over a week: alcohol taken in, and how often it is broken down."""
+    counts, per_week = weekly_factor(mention, rules)
+    visits = F.when(counts, mention["times"] * per_week).otherwise(0.0)
+    return F.struct(
+        (F.lit(0.806) * mention["drinks"] * F.lit(1.2) * visits).alias("alcohol"),
+        visits.alias("visits"),
+    )
+
+
+def weekly_total(
+    mentions: Column,
+    gender_code: Column,
+    weight: Column,
+    weight_unit: Column,
+    rules: ConsumptionRules = ConsumptionRules(),
+) -> Column:
+    """Estimated blood alcohol of all mentions over a week, truncated to a whole number."""
+    water, burn, kilos = body_constants(gender_code, weight, weight_unit, rules)
 
-    def add(total: Column, m: Column) -> Column:
+    def add(total: Column, mention: Column) -> Column:
         estimate = (
-            (F.lit(0.806) * m["drinks"] * F.lit(1.2)) / (water * kilos)
+            (F.lit(0.806) * mention["drinks"] * F.lit(1.2)) / (water * kilos)
             - burn * F.lit(float(rules.drinking_hours))
         ) * 10 * 100
-        known = {p: float(v) for p, v in rules.frequencies.items()}
-        per_week = F.coalesce(T.first_pattern(m["unit"], known), F.lit(0.0))
-        counts = (m["drinks"] > 0) & (m["times"] > 0) & m["unit"].isNotNull()
-        return total + F.when(counts, estimate * m["times"] * per_week).otherwise(0.0)
+        counts, per_week = weekly_factor(mention, rules)
+        return total + F.when(counts, estimate * mention["times"] * per_week).otherwise(0.0)
 
     return F.aggregate(mentions, F.lit(0.0), add).cast("long")
 

@@ -76,6 +76,12 @@ def _keep_free_spans(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield batch[keep]
 
 
+def tag(docs: DataFrame, terms: DataFrame, longest: int) -> DataFrame:
+    """Best non-overlapping spans; single tokens cannot overlap."""
+    spans = concept_spans(docs, terms, longest)
+    return spans if longest == 1 else best_spans(spans)
+
+
 def concept_text(best: DataFrame) -> DataFrame:
     """Concept ids of each document in text order, joined by spaces."""
     ids = F.transform(F.array_sort(F.collect_list(F.struct("start", "cui"))), lambda s: s["cui"])
@@ -121,12 +127,16 @@ def expand_neighbours(
     ``seeds`` has seed and word columns, ``edges`` word, rank and neighbour. Duplicates are removed
     after every hop, so a hop multiplies the words by ``number`` at most.
     """
-    near = edges.where(F.col("rank") <= number).select("word", "neighbour")
+    near = (
+        edges.where(F.col("rank") <= number)
+        .groupBy("word")
+        .agg(F.collect_set("neighbour").alias("near"))  # at most ``number`` words
+    )
     hops, frontier = [], seeds.select("seed", "word").distinct()
     for _ in range(levels + 1):
-        frontier = (
-            frontier.join(near, "word").select("seed", F.col("neighbour").alias("word")).distinct()
-        )
+        # A word many seeds lead to is a hot key of the frontier.
+        reached = lookup_join(frontier, near, "word", ["seed"], "inner")
+        frontier = reached.select("seed", F.explode("near").alias("word")).distinct()
         hops.append(frontier)
     if not all_levels:
         return frontier

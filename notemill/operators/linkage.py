@@ -137,8 +137,7 @@ def fuzzy_candidates(patients: DataFrame, diagnosis: DataFrame) -> DataFrame:
     """Pairs of ids that could reach the id score, found by equality of keys.
 
     Three ways lead to a high score: the same set of tokens, few edits, or the tokens of one id
-    being part of the other's. For the last, the smaller id joins on its rarest token only, so a
-    token found in most ids brings nothing together unless an id consists of it alone.
+    being part of the other's.
     """
     left = patients.select("patient_id", processed(F.col("patient_id")).alias("_p")).where("_p != ''")
     right = diagnosis.select(
@@ -146,8 +145,7 @@ def fuzzy_candidates(patients: DataFrame, diagnosis: DataFrame) -> DataFrame:
     ).where("_d != ''")
 
     def same_tokens(df: DataFrame, text: str) -> DataFrame:
-        tokens = F.array_sort(F.array_distinct(F.split(F.col(text), r"\s+")))
-        return df.withColumn("_key", F.array_join(tokens, " "))
+        return df.withColumn("_key", F.array_join(_token_set(text), " "))
 
     def edited(df: DataFrame, text: str) -> DataFrame:
         return df.withColumn("_key", F.explode(edit_keys(F.col(text))))
@@ -162,26 +160,55 @@ def fuzzy_candidates(patients: DataFrame, diagnosis: DataFrame) -> DataFrame:
     return pairs.unionByName(several).distinct()
 
 
-def _token_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
-    token = F.explode(F.array_distinct(F.split(F.col("_text"), r"\s+"))).alias("_token")
-    a = left.select("patient_id", F.col("_p").alias("_text")).select("patient_id", token)
-    b = right.select("diag_id", "diag_seq", F.col("_d").alias("_text")).select("diag_id", "diag_seq", token)
-    sizes = a.select("_token").union(b.select("_token")).groupBy("_token").agg(
-        F.count(F.lit(1)).alias("_n")
-    )
+# Ids of more tokens than this are matched by their rarest token instead of by token subsets.
+SUBSET_TOKENS = 8
 
-    def rarest(df: DataFrame, ident: str) -> DataFrame:
-        rest = [c for c in df.columns if c != "_token"]
-        return (
-            lookup_join(df, sizes, "_token", [ident])
-            .groupBy(*rest)
-            .agg(F.min_by("_token", F.struct("_n", "_token")).alias("_token"))
-        )
 
-    down = rarest(a, "patient_id").join(b, "_token")
-    up = rarest(b, "diag_id").join(a, "_token")
+def _token_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Pairs in which the tokens of one id are part of the other's.
+
+    The larger id stands under each subset of its tokens and the smaller under its whole set, so
+    only true pairs meet. Ids of many tokens would have too many subsets; those meet the smaller
+    ids on the smaller id's rarest token.
+    """
+    a = left.select("patient_id", _token_set("_p").alias("_tokens"))
+    b = right.select("diag_id", "diag_seq", _token_set("_d").alias("_tokens"))
     columns = ["patient_id", "diag_id", "diag_seq"]
-    return down.select(columns).unionByName(up.select(columns))
+    found = _subset_pairs(b, a).select(columns).unionByName(_subset_pairs(a, b).select(columns))
+    long_found = _rare_pairs(b, a).select(columns).unionByName(_rare_pairs(a, b).select(columns))
+    return found.unionByName(long_found)
+
+
+def _token_set(text: str) -> Column:
+    return F.array_sort(F.array_distinct(F.split(F.col(text), r"\s+")))
+
+
+def _subset_pairs(larger: DataFrame, smaller: DataFrame) -> DataFrame:
+    none = F.array(F.lit("")).cast("array<string>")
+
+    def grow(seen: Column, token: Column) -> Column:
+        return F.concat(seen, F.transform(seen, lambda s: F.concat(s, F.lit(" "), token)))
+
+    subsets = F.aggregate("_tokens", none, grow)
+    keyed = larger.where(F.size("_tokens").between(2, SUBSET_TOKENS)).withColumn(
+        "_key", F.explode(subsets)
+    )
+    whole = smaller.withColumn("_key", F.concat(F.lit(" "), F.array_join("_tokens", " ")))
+    return keyed.drop("_tokens").join(whole.drop("_tokens"), "_key")
+
+
+def _rare_pairs(larger: DataFrame, smaller: DataFrame) -> DataFrame:
+    token = F.explode("_tokens").alias("_token")
+    rest = [c for c in larger.columns if c != "_tokens"]
+    own = [c for c in smaller.columns if c != "_tokens"]
+    many = larger.where(F.size("_tokens") > SUBSET_TOKENS).select(*rest, token)
+    sizes = many.groupBy("_token").agg(F.count(F.lit(1)).alias("_n"))
+    rarest = (
+        lookup_join(smaller.select(*own, token), sizes, "_token", own[:1])
+        .groupBy(*own)
+        .agg(F.min_by("_token", F.struct(F.coalesce("_n", F.lit(0)), "_token")).alias("_token"))
+    )
+    return many.join(rarest, "_token")
 
 
 def fuzzy_links(patients: DataFrame, diagnosis: DataFrame) -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from notemill.sources.scans import spread
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
@@ -29,9 +31,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, text), spread over the cores when the scan has fewer splits."""
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+
+
 def corpus(spark: SparkSession, sf_dir: str, label: str = "quality") -> DataFrame:
     """Labelled documents: (doc_id, label, text)."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = documents(spark, sf_dir)
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col(label).alias("label"))
     return docs.join(labels, "doc_id").select("doc_id", "label", "text")
 

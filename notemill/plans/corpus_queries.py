@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from notemill.functions import text as T
 from notemill.operators import corpus as C
-from notemill.plans.base import query, strip_sql, table
+from notemill.plans.base import documents, query, strip_sql, table
 from notemill.sources import scans as S
 
 
@@ -113,7 +113,7 @@ SELECT doc_id, pos, line FROM l WHERE regexp_matches(line, '[0-9]{3}')""",
 )
 def line_grep(spark, sf_dir):
     found = (
-        table(spark, sf_dir, "documents")
+        documents(spark, sf_dir)
         .select("doc_id", F.posexplode(T.lines(F.col("text"))).alias("pos", "line"))
         .select("doc_id", F.col("pos").cast("long").alias("pos"), "line")
     )
@@ -186,7 +186,7 @@ def _trimmed(docs):
     TRIGGER_SQL.format(hits=" + ".join(f"CAST(regexp_matches(line, '{t}') AS INT)" for t in TRIGGERS)),
 )
 def trigger_lines(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = documents(spark, sf_dir)
     return _trimmed(C.trigger_lines(docs, TRIGGERS))
 
 
@@ -195,7 +195,7 @@ def trigger_lines(spark, sf_dir):
     TRIGGER_SQL.format(hits="CAST(regexp_matches(line, '" + "|".join(TRIGGERS) + "') AS INT)"),
 )
 def trigger_lines_once(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = documents(spark, sf_dir)
     return _trimmed(C.trigger_lines(docs, TRIGGERS, dedup=True))
 
 
@@ -206,7 +206,7 @@ SELECT doc_id, length(t) AS n, md5(t) AS text_md5 FROM p""",
 )
 def printable_text(spark, sf_dir):
     kept = T.printable(F.col("text"))
-    return table(spark, sf_dir, "documents").select(
+    return documents(spark, sf_dir).select(
         "doc_id", F.length(kept).cast("long").alias("n"), F.md5(kept).alias("text_md5")
     )
 
@@ -222,7 +222,7 @@ SELECT doc_id, length(t) AS n, md5(t) AS text_md5 FROM z""",
 )
 def upper_tokens(spark, sf_dir):
     kept = T.upper_tokens(F.col("text"))
-    return table(spark, sf_dir, "documents").select(
+    return documents(spark, sf_dir).select(
         "doc_id", F.length(kept).cast("long").alias("n"), F.md5(kept).alias("text_md5")
     )
 
@@ -239,7 +239,7 @@ FROM u GROUP BY doc_id""",
 )
 def line_dedup(spark, sf_dir):
     kept = T.unique_lines(F.col("text"))
-    return table(spark, sf_dir, "documents").select(
+    return documents(spark, sf_dir).select(
         "doc_id", F.size(T.lines(kept)).cast("long").alias("n_lines"), F.md5(kept).alias("text_md5")
     )
 
@@ -253,7 +253,7 @@ u AS (SELECT doc_id, line, min(pos) AS pos FROM l GROUP BY doc_id, line)
 SELECT doc_id, md5(string_agg(line, ' ' ORDER BY pos)) AS text_md5 FROM u GROUP BY doc_id""",
 )
 def flat_lines(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select(
+    return documents(spark, sf_dir).select(
         "doc_id", F.md5(T.flat_unique_lines(F.col("text"))).alias("text_md5")
     )
 
@@ -329,7 +329,7 @@ def section_labels(spark, sf_dir):
     """Labels only; a label is the last line of each part of the sectioned text."""
     parts = F.split("text", ": ", -1)
     labels = F.transform(parts, lambda p: F.element_at(T.sections(p), -1))
-    return table(spark, sf_dir, "documents").select(
+    return documents(spark, sf_dir).select(
         "doc_id",
         F.size(labels).cast("long").alias("n_labels"),
         F.md5(F.array_join(labels, "\n")).alias("labels_md5"),
@@ -350,7 +350,7 @@ FROM documents d LEFT JOIN b ON b.doc_id = d.doc_id GROUP BY d.doc_id""",
 def sentence_split(spark, sf_dir):
     found = T.sentences(F.col("text"))
     last = F.length("text") - F.length(F.element_at(found, -1))
-    return table(spark, sf_dir, "documents").select(
+    return documents(spark, sf_dir).select(
         "doc_id",
         F.size(found).cast("long").alias("n_sentences"),
         last.cast("long").alias("last_break"),
@@ -366,7 +366,7 @@ SELECT doc_id, len(ws) AS n_words, len(list_filter(ws, lambda x: x = '')) AS n_e
 )
 def word_split(spark, sf_dir):
     found = T.words(F.col("text"))
-    return table(spark, sf_dir, "documents").select(
+    return documents(spark, sf_dir).select(
         "doc_id",
         F.size(found).cast("long").alias("n_words"),
         F.size(F.filter(found, lambda w: w == "")).cast("long").alias("n_empty"),
@@ -384,7 +384,7 @@ FROM m""",
 def find_all(spark, sf_dir):
     pattern = "[A-Za-z]+[0-9]+"
     found = T.find_all(F.col("text"), pattern)
-    return table(spark, sf_dir, "documents").select(
+    return documents(spark, sf_dir).select(
         "doc_id",
         F.size(found).cast("long").alias("n"),
         T.find_all(F.col("text"), pattern, 0).alias("first_match"),
@@ -400,7 +400,7 @@ def find_all(spark, sf_dir):
 )
 def pattern_index(spark, sf_dir):
     choices = {"The|Th": 3, "[A-Z][a-z]+ ": 1, "[0-9]": 2}
-    return table(spark, sf_dir, "documents").select(
+    return documents(spark, sf_dir).select(
         "doc_id", T.first_pattern(F.col("text"), choices).alias("found")
     )
 

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from notemill.functions import features as X
-from notemill.operators import concepts, linkage
-from notemill.plans.base import query, table, tokens_sql
+from notemill.operators import concepts, consumption, linkage
+from notemill.plans.base import documents, query, table, tokens_sql
 from notemill.plans.model_queries import NEAREST_SQL, embedding_neighbours
 
 # --- linkage -------------------------------------------------------------------------------------
@@ -161,7 +161,7 @@ SELECT d.doc_id, coalesce(n.note, ' NOTES_BAC_UNKNOWN') AS note FROM documents d
 @query("reading_fold", _reading_sql())
 def reading_fold(spark, sf_dir):
     read = X.reading_mentions(F.col("text"), X.ReadingRules(**READING))
-    return table(spark, sf_dir, "documents").select(
+    return documents(spark, sf_dir).select(
         "doc_id", F.substring(read, F.length("text") + 1, F.length(read)).alias("note")
     )
 
@@ -184,7 +184,7 @@ t AS (SELECT o.o_orderkey, sum(((0.806::DOUBLE * drinks * 1.2::DOUBLE) / (CASE W
         - CASE WHEN o_orderstatus = 'F' THEN 0.015::DOUBLE ELSE 0.017::DOUBLE END * 2) * 1000 * times * factor) AS total
       FROM u JOIN orders o ON o.o_orderkey = u.l_orderkey GROUP BY o.o_orderkey)
 SELECT DISTINCT l.l_orderkey AS o_orderkey, CAST(trunc(trunc(coalesce(t.total, 0)) / 10) AS BIGINT) AS total_tens
-FROM lineitem l LEFT JOIN t ON t.o_orderkey = l.l_orderkey""",
+FROM lineitem l JOIN orders o ON o.o_orderkey = l.l_orderkey LEFT JOIN t ON t.o_orderkey = l.l_orderkey""",
 )
 def weekly_amount(spark, sf_dir):
     container = F.when(F.col("l_returnflag") == "A", "bottles").when(F.col("l_returnflag") == "N", "pints").otherwise("shots")
@@ -199,30 +199,20 @@ def weekly_amount(spark, sf_dir):
         container,
         drink,
     )
-    # An order has few lines; they form its note.
-    notes = (
-        table(spark, sf_dir, "lineitem")
-        .groupBy("l_orderkey")
-        .agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("text"))
-    )
     orders = table(spark, sf_dir, "orders").select(
-        "o_orderkey",
+        F.col("o_orderkey").alias("doc_id"),
         F.when(F.col("o_orderstatus") == "F", 0).otherwise(1).alias("gender"),
         F.when(F.col("o_orderpriority") == "1-URGENT", "80").otherwise("180").alias("weight"),
         F.when(F.col("o_orderpriority") == "1-URGENT", "kg")
         .when(F.col("o_orderpriority") == "2-HIGH", "lb")
         .otherwise("")
-        .alias("unit"),
+        .alias("weight_unit"),
     )
     # Body-water shares at which no total is a whole number, so truncation cannot differ.
     rules = X.ConsumptionRules(article=r"\ba\b", body_water_male=0.5801, body_water_female=0.4903)
-    mentions = X.consumption_mentions(F.col("text"), rules)
-    total = X.weekly_total(mentions, F.col("gender"), F.col("weight"), F.col("unit"), rules)
-    return (
-        notes.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-        .where(X.usage_gate(F.col("text"), rules))
-        .select("o_orderkey", (total / 10).cast("long").alias("total_tens"))
-    )
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), line.alias("line"))
+    weekly = consumption.weekly_totals(consumption.mention_table(lines, rules), orders, rules)
+    return weekly.select(F.col("doc_id").alias("o_orderkey"), (F.col("total") / 10).cast("long").alias("total_tens"))
 
 
 # --- concepts ------------------------------------------------------------------------------------
@@ -255,8 +245,8 @@ FROM t JOIN term USING (term) GROUP BY doc_id""",
 )
 def concept_tags(spark, sf_dir):
     terms = concepts.concept_terms(dictionary(spark, sf_dir))
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    tagged = concepts.concept_text(concepts.best_spans(concepts.concept_spans(docs, terms, 1)))
+    docs = documents(spark, sf_dir)
+    tagged = concepts.concept_text(concepts.tag(docs, terms, 1))
     return tagged.select(
         "doc_id",
         F.size(F.split("text", " ")).cast("long").alias("n"),
@@ -297,9 +287,9 @@ def concept_spans(spark, sf_dir):
         F.explode(F.array_distinct(ngrams(tokens(F.col("text")), 1, 2))).alias("str"),
         F.lit("Y").alias("ispref"),
     )
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    spans = concepts.concept_spans(docs, concepts.concept_terms(entries), 2)
-    return concepts.best_spans(spans).select("doc_id", "start", "length", "cui")
+    docs = documents(spark, sf_dir)
+    spans = concepts.tag(docs, concepts.concept_terms(entries), 2)
+    return spans.select("doc_id", "start", "length", "cui")
 
 
 @query(
@@ -321,7 +311,7 @@ def concept_names(spark, sf_dir):
     entries = dictionary(spark, sf_dir)
     cuis = F.lower(F.col("cui"))
     words = (
-        table(spark, sf_dir, "documents").select(F.explode(F.array_distinct(tokens(F.col("text")))).alias("term")).distinct()
+        documents(spark, sf_dir).select(F.explode(F.array_distinct(tokens(F.col("text")))).alias("term")).distinct()
     )
     coded = entries.select("cui").distinct().select(
         F.explode(F.array(cuis, F.concat(F.lit("-"), cuis))).alias("term")

@@ -7,7 +7,16 @@ from pyspark.sql import functions as F
 from notemill.operators import bayes, evaluate, neighbours, rules, sampling, vectors
 from notemill.operators.corpus import trigger_lines
 from notemill.operators.vectors import TermOptions
-from notemill.plans.base import CORPUS_SQL, corpus, query, shuffle_sql, strip_sql, table, tokens_sql
+from notemill.plans.base import (
+    CORPUS_SQL,
+    corpus,
+    documents,
+    query,
+    shuffle_sql,
+    strip_sql,
+    table,
+    tokens_sql,
+)
 
 # --- order and samples -------------------------------------------------------------------------
 
@@ -113,7 +122,7 @@ SELECT term, count(DISTINCT doc_id) AS df FROM term GROUP BY term HAVING count(D
 )
 def vocabulary(spark, sf_dir):
     options = TermOptions(1, 2, STOPS, min_df=3, max_df=200)
-    return vectors.vocabulary(table(spark, sf_dir, "documents"), options)
+    return vectors.vocabulary(documents(spark, sf_dir), options)
 
 
 @query(
@@ -127,7 +136,7 @@ w AS (SELECT doc_id, term, tf, tf * (ln((1 + (SELECT count(*) FROM documents)) /
 SELECT doc_id, term, tf, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS tfidf FROM w""",
 )
 def tfidf_long(spark, sf_dir):
-    weighted = vectors.tfidf(table(spark, sf_dir, "documents").select("doc_id", "text"), BIGRAMS)
+    weighted = vectors.tfidf(documents(spark, sf_dir), BIGRAMS)
     return weighted.withColumn("tfidf", F.round("tfidf", 6))
 
 
@@ -137,7 +146,7 @@ def tfidf_long(spark, sf_dir):
   SELECT DISTINCT doc_id, unnest({tokens_sql()}) AS term FROM documents)""",
 )
 def binary_terms(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = documents(spark, sf_dir)
     return vectors.term_counts(docs, TermOptions(binary=True))
 
 
@@ -150,7 +159,7 @@ g AS (SELECT doc_id, c[i] || c[i + 1] || c[i + 2] AS term FROM (SELECT doc_id, c
 SELECT term, count(DISTINCT doc_id) AS df FROM g GROUP BY term HAVING count(DISTINCT doc_id) >= 5""",
 )
 def char_terms(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = documents(spark, sf_dir)
     return vectors.vocabulary(docs, TermOptions(3, 3, analyzer="char", min_df=5))
 
 
@@ -161,7 +170,7 @@ WITH t AS (SELECT DISTINCT unnest({tokens_sql()}) AS term FROM documents)
 SELECT term, row_number() OVER (ORDER BY md5('vocabulary|' || term), term) - 1 AS index FROM t""",
 )
 def indexed_vocabulary(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = documents(spark, sf_dir)
     return vectors.indexed_vocabulary(vectors.vocabulary(docs)).select("term", "index")
 
 
@@ -178,7 +187,7 @@ WITH {ENTITY_SQL.format(source="documents")}
 SELECT entity, count(*) AS docs FROM entity GROUP BY entity""",
 )
 def entity_presence(spark, sf_dir):
-    present = vectors.entity_presence(table(spark, sf_dir, "documents"))
+    present = vectors.entity_presence(documents(spark, sf_dir))
     return present.groupBy("entity").agg(F.count(F.lit(1)).alias("docs"))
 
 
@@ -372,8 +381,9 @@ nb AS (SELECT doc_id, label, fold, round(log_odds, 4) AS score, CAST(log_odds >
 
 
 def nb_predictions(spark, sf_dir):
-    docs = sampling.kfold(corpus(spark, sf_dir), FOLDS)
-    out = bayes.cross_validated(docs)
+    # Folds are drawn on ids alone; the texts meet them in one shuffle by id.
+    folds = sampling.kfold(corpus(spark, sf_dir).select("doc_id", "label"), FOLDS)
+    out = bayes.cross_validated(documents(spark, sf_dir).join(folds, "doc_id"))
     return out.select("doc_id", "label", "fold", F.round("log_odds", 4).alias("score"), "pred")
 
 

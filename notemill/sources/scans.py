@@ -198,3 +198,12 @@ def keyed_strict(df: DataFrame, key: str) -> DataFrame:
     if repeated:
         raise ValueError(f"duplicate {key}: {repeated[0][0]!r}")
     return df
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Deal a scan of fewer splits than cores over the cores; a larger scan stays as it is.
+
+    Few large row groups otherwise leave heavy work on text to a few tasks.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
