@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from notemill.functions import text as T
@@ -109,11 +109,13 @@ def trigger_lines(
     return docs.withColumn(text, F.array_join(kept, "\n"))
 
 
-def counted(df: DataFrame, name: str, **conditions: Column) -> tuple[DataFrame, Observation]:
-    """Attach run counters that fill while the frame is written; no second pass."""
-    seen = Observation(name)
-    return df.observe(
-        seen,
+def run_counts(df: DataFrame, **conditions: Column) -> DataFrame:
+    """One row of run counters: all records, and those that meet each named condition.
+
+    A plain aggregate: an observation attached to the session would keep models fitted later in
+    that session from being shipped to tasks.
+    """
+    return df.agg(
         F.count(F.lit(1)).alias("records"),
         *[F.count_if(c).alias(k) for k, c in conditions.items()],
-    ), seen
+    )

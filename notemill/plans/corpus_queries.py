@@ -476,3 +476,13 @@ def typed_literals(spark, sf_dir):
     return table(spark, sf_dir, "customer").select(
         "c_custkey", read["kind"].alias("kind"), read["value"].alias("value")
     )
+
+
+@query(
+    "run_counts",
+    """SELECT count(*) AS records, count(*) FILTER (role = 'user') AS from_user,
+       count(*) FILTER (length(text) > 200) AS long_notes FROM conversations""",
+)
+def run_counts(spark, sf_dir):
+    notes = table(spark, sf_dir, "conversations")
+    return C.run_counts(notes, from_user=F.col("role") == "user", long_notes=F.length("text") > 200)
