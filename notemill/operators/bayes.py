@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from notemill.operators.vectors import TermOptions, term_counts
-from notemill.scale import lookup_join
+from notemill.scale import cut, lookup_join
 
 
 def cross_validated(
@@ -19,8 +19,11 @@ def cross_validated(
     ``docs`` has doc_id, label, fold and text.
     """
     tf = term_counts(docs, options, ["label", "fold"])
-    by_fold = tf.groupBy("term", "fold").agg(
-        _mass(1).alias("pos"), _mass(0).alias("neg"), F.count(F.lit(1)).alias("rows")
+    # Written once: five consumers below would otherwise tokenise the texts again.
+    by_fold = cut(
+        tf.groupBy("term", "fold").agg(
+            _mass(1).alias("pos"), _mass(0).alias("neg"), F.count(F.lit(1)).alias("rows")
+        )
     )
     # Folds are few, so a term's counts per fold fit in one map.
     by_term = by_fold.groupBy("term").agg(

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from notemill.functions import text as T
-from notemill.scale import hashed_rank, lookup_join
+from notemill.scale import cut, hashed_rank, lookup_join
 
 
 @dataclass(frozen=True)
@@ -86,7 +86,9 @@ def tfidf(docs: DataFrame, options: TermOptions = TermOptions()) -> DataFrame:
     """(doc_id, term, tf, tfidf), each document's weights scaled to unit length."""
     counts = term_counts(docs, options)
     n = docs.agg(F.count(F.lit(1))).scalar()
-    idf = vocabulary(docs, options).select("term", "df", smoothed_idf(F.col("df"), n).alias("idf"))
+    # Written once: the join reads it for its hot and for its other terms.
+    vocab = cut(vocabulary(docs, options))
+    idf = vocab.select("term", "df", smoothed_idf(F.col("df"), n).alias("idf"))
     weighted = lookup_join(counts, idf, "term", ["doc_id"], "inner", frequency="df").withColumn(
         "_w", F.col("tf") * F.col("idf")
     )

@@ -8,6 +8,7 @@ from notemill.functions import features as X
 from notemill.operators import concepts, consumption, linkage
 from notemill.plans.base import documents, query, table, tokens_sql
 from notemill.plans.model_queries import NEAREST_SQL, embedding_neighbours
+from notemill.sources.scans import spread
 
 # --- linkage -------------------------------------------------------------------------------------
 
@@ -210,7 +211,8 @@ def weekly_amount(spark, sf_dir):
     )
     # Body-water shares at which no total is a whole number, so truncation cannot differ.
     rules = X.ConsumptionRules(article=r"\ba\b", body_water_male=0.5801, body_water_female=0.4903)
-    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), line.alias("line"))
+    items = spread(table(spark, sf_dir, "lineitem"), "l_orderkey")
+    lines = items.select(F.col("l_orderkey").alias("doc_id"), line.alias("line"))
     weekly = consumption.weekly_totals(consumption.mention_table(lines, rules), orders, rules)
     return weekly.select(F.col("doc_id").alias("o_orderkey"), (F.col("total") / 10).cast("long").alias("total_tens"))
 
