@@ -186,7 +186,7 @@ def nearest(
         .cogroup(right.groupBy("qb", "ib"))
         .applyInPandas(compare, "query_id long, item_id long, similarity double")
     )
-    return top_k(kept, k)
+    return top_k(kept, k, n_item)
 
 
 def _blocks(df: DataFrame, rows: int | None, block_rows: int) -> int:
@@ -200,20 +200,29 @@ def _unit(vectors: pd.Series) -> np.ndarray:
     return matrix / np.where(length == 0, 1, length)
 
 
-def top_k(kept: DataFrame, k: int) -> DataFrame:
-    """Best ``k`` of the block winners; a query has k of them per item block."""
+# Above this many item blocks the block winners of a query are first merged in slots.
+MERGE_BLOCKS = 256
+
+
+def top_k(kept: DataFrame, k: int, blocks: int = 1) -> DataFrame:
+    """Best ``k`` of the block winners; a query has k of them per item block.
+
+    With many blocks they are merged in two steps, so no row gathers all blocks' winners at once.
+    """
     place = F.struct((-F.col("similarity")).alias("minus"), "item_id")
-    best = F.slice(F.array_sort(F.collect_list(place)), 1, k)
-    return (
-        kept.groupBy("query_id")
-        .agg(best.alias("best"))
-        .select("query_id", F.posexplode("best").alias("pos", "b"))
-        .select(
-            "query_id",
-            F.col("b.item_id").alias("item_id"),
-            (-F.col("b.minus")).alias("similarity"),
-            (F.col("pos") + 1).alias("rank"),
-        )
+    best = F.slice(F.array_sort(F.collect_list(place)), 1, k).alias("best")
+    if blocks > MERGE_BLOCKS:
+        slot = F.pmod(F.xxhash64("item_id"), F.lit(-(-blocks // MERGE_BLOCKS)))
+        local = kept.groupBy("query_id", slot.alias("_slot")).agg(best)
+        merged = F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, k).alias("best")
+        winners = local.groupBy("query_id").agg(merged)
+    else:
+        winners = kept.groupBy("query_id").agg(best)
+    return winners.select("query_id", F.posexplode("best").alias("pos", "b")).select(
+        "query_id",
+        F.col("b.item_id").alias("item_id"),
+        (-F.col("b.minus")).alias("similarity"),
+        (F.col("pos") + 1).alias("rank"),
     )
 
 

@@ -62,9 +62,14 @@ def learning_sizes(least: int, most: int, step: int) -> list[float]:
 def per_class(
     docs: DataFrame, size: int, label: str = "label", seed: int = 0, ident: str = "doc_id"
 ) -> DataFrame:
-    """A fixed number of rows of each class."""
-    ranked = hashed_rank(docs, ident, seed, [label], "_rank", "_n")
-    return ranked.where(F.col("_rank") <= size).select(docs.columns)
+    """A fixed number of rows of each class.
+
+    Only ids are ranked; the picked ones, ``size`` per class at most, are then looked up, so texts
+    are not shuffled.
+    """
+    ranked = hashed_rank(docs.select(ident, label), ident, seed, [label], "_rank", "_n")
+    picked = ranked.where(F.col("_rank") <= size).select(ident)
+    return docs.join(F.broadcast(picked), ident, "left_semi")
 
 
 def shuffled(docs: DataFrame, seed: int = 0, ident: str = "doc_id") -> DataFrame:

@@ -146,6 +146,14 @@ def test_blocked_search_equals_brute_force(spark):
         assert neighbours.knn_vote(near, labels, weights).count() == 60
 
 
+def test_merging_many_blocks_changes_nothing(spark):
+    kept = spark.range(2000).select(
+        (F.col("id") % 3).alias("query_id"), F.col("id").alias("item_id"), F.rand(1).alias("similarity")
+    ).cache()
+    plain = neighbours.top_k(kept, 7)
+    assert sorted(plain.collect()) == sorted(neighbours.top_k(kept, 7, blocks=5000).collect())
+
+
 def test_concepts(spark):
     entries = spark.createDataFrame(
         [("C0000001", "Heart", "Y"), ("C0000002", "heart attack", "Y"), ("C0000003", "attack, acute", "N"), ("C0000002", "mi", "N")],
