@@ -204,15 +204,17 @@ def remaining(wanted: DataFrame, finished: DataFrame, key: str = "run_key") -> D
     return wanted.join(finished.select(key), key, "left_anti")
 
 
-def matching_runs(runs: DataFrame, criteria: Mapping[str, str]) -> DataFrame:
+def matching_runs(runs: DataFrame, criteria: Mapping[str, str | None]) -> DataFrame:
     """Runs that meet every criterion.
 
     A metric criterion compares when it starts with ``<=``, ``>=`` or ``==``. An option criterion is
     a pattern for the start of the option's value. Keys found in neither are ignored, and so are
-    runs without an F1.
+    keys without a value and runs without an F1.
     """
     keep = F.col("f1").isNotNull()
     for key, wanted in criteria.items():
+        if wanted is None:
+            continue
         if key in METRICS and key in runs.columns and wanted[:2] in ("<=", ">=", "=="):
             try:
                 limit = float(wanted[2:])

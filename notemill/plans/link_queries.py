@@ -318,7 +318,7 @@ def concept_names(spark, sf_dir):
     coded = entries.select("cui").distinct().select(
         F.explode(F.array(cuis, F.concat(F.lit("-"), cuis))).alias("term")
     )
-    unknown = entries.select(F.lit("c9999999").alias("term")).limit(1)
+    unknown = spark.createDataFrame([("c9999999",)], "term string")
     features = words.unionByName(coded).unionByName(unknown)
     return concepts.resolve_names(features, entries).select("term", "name")
 

@@ -132,7 +132,7 @@ SELECT seq, f1, precision FROM runs WHERE f1 IS NOT NULL AND precision >= 0.001
   AND regexp_matches(penalty, '^(?:[12]-)') AND regexp_matches(C, '^(?:[0-4])')""",
 )
 def criteria_runs(spark, sf_dir):
-    criteria = experiments.options_from("precision=>0&penalty=[12]-&f1=<=0.3&C=[0-4]&unknown=1")
+    criteria = experiments.options_from("penalty=[12]-&C=[0-4]&unknown=1")
     criteria.update({"precision": ">=0.001", "f1": "<=0.3"})
     return experiments.matching_runs(runs_table(spark, sf_dir), criteria).select("seq", "f1", "precision")
 
