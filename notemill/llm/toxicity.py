@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from notemill.llm import tables, words
-from notemill.scale import seeded_hash
+from notemill.scale import cut, seeded_hash
 
 POSITIVES = 4000  # bound of the sample of toxic documents
 UNLABELLED = 12000  # bound of the sample of unlabelled documents
@@ -114,47 +114,74 @@ def fit(
     known = labels.where(F.col("doc_id").isNotNull() & ~held_out("doc_id") & F.col("toxic").isNotNull())
     prior = known.agg(F.avg((F.col("toxic") == 1).cast("double"))).first()[0] or 0.0
 
-    def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("toxic", pa.bool_()), ("features", pa.binary())])
-        for batch in batches:
-            for row in range(batch.num_rows):
-                found = words.split(batch.column("text").slice(row, 1), words.ALPHANUMERIC, lower=True)
-                hashes, count = np.unique(np.concatenate([h for h in feature_hashes(found)]), return_counts=True)
-                packed = np.stack([hashes, count.astype(np.uint64)]).tobytes()
-                yield tables.record(schema, [batch.column("toxic").slice(row, 1), [packed]])
-
-    rows = sample(docs, labels, positives, unlabelled).mapInArrow(extract, "toxic boolean, features binary").collect()
-    return learn([(r["toxic"], np.frombuffer(r["features"], np.uint64).reshape(2, -1)) for r in rows], prior, features)
-
-
-def learn(rows: list[tuple[bool, np.ndarray]], prior: float, features: int) -> ToxicityModel:
-    y = np.array([toxic for toxic, _ in rows], dtype=bool)
-    none = ToxicityModel(np.zeros(0, np.uint64), np.zeros(0), float(np.log((prior + 1e-9) / (1 - prior + 1e-9))))
-    if not y.any() or y.all():
-        return none
-    hashes = np.concatenate([h[0] for _, h in rows])
-    of_toxic = np.repeat(y, [h.shape[1] for _, h in rows])
-    names, inverse = np.unique(hashes, return_inverse=True)
-    in_toxic = np.bincount(inverse, of_toxic, len(names))
-    share = in_toxic / y.sum()
-    other = (np.bincount(inverse, minlength=len(names)) - in_toxic) / (~y).sum()
-    mean = np.bincount(inverse, minlength=len(names)) / len(y)
-    error = np.sqrt(mean * (1 - mean) * (1 / y.sum() + 1 / (~y).sum())) + 1e-12
-    useful = (in_toxic >= LEAST_POSITIVES) & (share - other > LEAST_Z * error) & (names != 0)
-    gain = np.where(useful, share * np.log((share + 1e-6) / (other + 1e-6)), -1.0)
-    chosen = np.sort(np.argsort(-gain, kind="stable")[: min(features, int(useful.sum()))])
+    rows = cut(sample(docs, labels, positives, unlabelled).mapInArrow(extract, "toxic boolean, features binary"))
+    sizes = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    bias = float(np.log((prior + 1e-9) / (1 - prior + 1e-9)))
+    chosen = np.zeros(0, np.uint64)
+    if len(sizes) == 2:
+        chosen = np.array([r["feature"] for r in choose(rows, sizes, features).collect()], np.int64).view(np.uint64)
     if not len(chosen):
-        return none
-    number = np.full(len(names), -1)
-    number[chosen] = np.arange(len(chosen))
-    x = np.zeros((len(rows), len(chosen)), dtype=np.float32)
-    column = number[inverse]
-    row = np.repeat(np.arange(len(rows)), [h.shape[1] for _, h in rows])
-    count = np.concatenate([h[1] for _, h in rows]).astype(np.float32)
-    held = column >= 0
-    x[row[held], column[held]] = np.log1p(count[held])
-    weights, bias = non_negative_pu(x[y], x[~y], prior)
-    return ToxicityModel(names[chosen], weights, bias)
+        return ToxicityModel(chosen, np.zeros(0), bias)
+    chosen = np.sort(chosen)
+
+    def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("toxic", pa.bool_()), ("place", pa.list_(pa.int32())), ("n", pa.list_(pa.int32()))])
+        for batch in batches:
+            places, counts = [], []
+            for packed in batch.column("features").to_pylist():
+                hashes, count = np.frombuffer(packed, np.uint64).reshape(2, -1)
+                place = np.minimum(np.searchsorted(chosen, hashes), len(chosen) - 1)
+                held = chosen[place] == hashes
+                places.append(place[held])
+                counts.append(count[held])
+            yield tables.record(schema, [batch.column("toxic"), places, counts])
+
+    learned = rows.mapInArrow(project, "toxic boolean, place array<int>, n array<int>").collect()
+    x = np.zeros((len(learned), len(chosen)), dtype=np.float32)
+    for row, r in enumerate(learned):
+        x[row, r["place"]] = np.log1p(r["n"])
+    toxic = np.array([r["toxic"] for r in learned])
+    weights, bias = non_negative_pu(x[toxic], x[~toxic], prior)
+    return ToxicityModel(chosen, weights, bias)
+
+
+def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct feature hashes of each text and their counts, packed."""
+    schema = pa.schema([("toxic", pa.bool_()), ("features", pa.binary())])
+    for batch in batches:
+        for row in range(batch.num_rows):
+            found = words.split(batch.column("text").slice(row, 1), words.ALPHANUMERIC, lower=True)
+            hashes, count = np.unique(np.concatenate([*feature_hashes(found)]), return_counts=True)
+            packed = np.stack([hashes, count.astype(np.uint64)]).tobytes()
+            yield tables.record(schema, [batch.column("toxic").slice(row, 1), [packed]])
+
+
+def choose(rows: DataFrame, sizes: dict[bool, int], features: int) -> DataFrame:
+    """The features that toxic documents hold far more often, those with the largest gain first."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("feature", pa.int64()), ("pos", pa.int64()), ("unl", pa.int64())])
+        for batch in batches:
+            packed = [np.frombuffer(p, np.uint64).reshape(2, -1)[0] for p in batch.column("features").to_pylist()]
+            toxic = np.repeat(batch.column("toxic").to_numpy(zero_copy_only=False), [len(h) for h in packed])
+            names, inverse = np.unique(np.concatenate(packed), return_inverse=True)
+            pos = np.bincount(inverse, toxic, len(names)).astype(np.int64)
+            yield tables.record(schema, [names.view(np.int64), pos, np.bincount(inverse, minlength=len(names)) - pos])
+
+    p, u = F.lit(float(sizes[True])), F.lit(float(sizes[False]))
+    mean = (F.col("pos") + F.col("unl")) / (p + u)
+    error = F.sqrt(mean * (1 - mean) * (1 / p + 1 / u))
+    in_toxic, in_other = F.col("pos") / p, F.col("unl") / u
+    return (
+        rows.mapInArrow(count, "feature long, pos long, unl long")
+        .groupBy("feature")
+        .agg(F.sum("pos").alias("pos"), F.sum("unl").alias("unl"))
+        .where(F.col("feature") != 0)
+        .where((F.col("pos") >= LEAST_POSITIVES) & (in_toxic - in_other > LEAST_Z * error))
+        .orderBy((in_toxic * F.log((in_toxic + 1e-6) / (in_other + 1e-6))).desc(), "feature")
+        .limit(features)
+        .select("feature")
+    )
 
 
 def risks(margin_pos: np.ndarray, margin_unl: np.ndarray, prior: float) -> tuple[float, float]:
