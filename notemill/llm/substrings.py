@@ -17,7 +17,7 @@ other; repeated rows get equal results. Input columns that carry an output's nam
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,9 +29,12 @@ from notemill.llm import tables, words
 from notemill.scale import cut
 
 WINDOW = 13
-GRAM = 3
+GRAM = 2
+SLICE_BYTES = 8 << 20  # text per slice: larger slices share more equal super-k-mers and compress better
 LONGEST_RUN = 64  # windows of one super-k-mer at most; a longer run is cut into several
 BUCKETS_PER_PARTITION = 4
+MADE = ("kept", "n_words", "n_removed")
+OUT = (pa.string(), pa.string(), pa.int64(), pa.int64())
 LAST = np.iinfo(np.int64).max  # stands for a null doc_id
 
 PIECES = pa.schema(
@@ -39,8 +42,8 @@ PIECES = pa.schema(
      ("version", pa.binary()), ("position", pa.binary())]
 )
 PIECES_DDL = "bucket long, packed binary, piece binary, doc binary, version binary, position binary"
-SPANS = pa.schema([("doc", pa.int64()), ("version", pa.int64()), ("start", pa.int32()), ("stop", pa.int32())])
-SPANS_DDL = "doc long, version long, start int, stop int"
+SPANS = pa.schema([("doc", pa.int64()), ("version", pa.int32()), ("start", pa.int32()), ("stop", pa.int32())])
+SPANS_DDL = "doc long, version int, start int, stop int"
 
 
 def dedup_substrings(
@@ -53,22 +56,22 @@ def dedup_substrings(
     if not 1 <= gram <= window or window < 2:
         raise ValueError("1 <= gram <= window and window >= 2 are required")
     keyed = docs.select(
-        F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text"), tables.version(text).alias("version")
+        F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text"), F.hash(text).alias("version")
     )
     buckets = BUCKETS_PER_PARTITION * tables.shuffle_partitions(docs)
     spans = repeated_spans(keyed, window, gram, buckets)
-    carried = docs.select(
-        F.col(doc_id).cast("long").alias("_doc"),
-        tables.version(text).alias("_version"),
-        F.col(text).alias("_text"),
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in ("kept", "n_words", "n_removed")]).alias("_row"),
+    rows = tables.carried(docs, text, MADE).select(
+        F.col(f"_row.`{doc_id}`").cast("long").alias("_doc"), F.hash("_text").alias("_version"), "_text", "_row"
     )
+    # Texts cross the exchange compressed: the exchange's own codec hardly shrinks them.
+    packed = T.StructType([T.StructField("_text", T.BinaryType()) if f.name == "_text" else f for f in rows.schema])
+    rows = rows.mapInArrow(pack_texts, packed)
     removed = spans.groupBy("doc", "version").agg(F.collect_list(F.struct("start", "stop")).alias("_spans"))
-    joined = carried.join(
-        removed, carried["_doc"].eqNullSafe(removed["doc"]) & (carried["_version"] == removed["version"]), "left"
+    joined = rows.join(
+        removed, rows["_doc"].eqNullSafe(removed["doc"]) & (rows["_version"] == removed["version"]), "left"
     ).select("_row", "_text", "_spans")
-    out = T.StructType([joined.schema["_row"], *T.StructType.fromDDL("kept string, n_words long, n_removed long")])
-    return joined.mapInArrow(remove_spans, out).select("_row.*", "kept", "n_words", "n_removed")
+    out = T.StructType([joined.schema["_row"], *T.StructType.fromDDL("_text string, kept string, n_words long, n_removed long")])
+    return tables.restored(joined.mapInArrow(remove_spans, out), docs, text, MADE)
 
 
 def repeated_spans(keyed: DataFrame, window: int, gram: int, buckets: int) -> DataFrame:
@@ -77,7 +80,7 @@ def repeated_spans(keyed: DataFrame, window: int, gram: int, buckets: int) -> Da
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in words.slices(batch, "text"):
+            for part in words.slices(batch, "text", SLICE_BYTES):
                 yield from super_kmers(part, window, gram, buckets, hot)
 
     def solve(table: pa.Table) -> pa.Table:
@@ -157,16 +160,14 @@ def super_kmers(part: pa.RecordBatch, window: int, gram: int, buckets: int, hot:
         piece = [
             seen.setdefault(text[a:b], len(seen)) for a, b in zip(left[chosen].tolist(), right[chosen].tolist(), strict=True)
         ]
-        packed = pa.compress(b"\n".join(seen), codec="zstd", asbytes=True)
-        size = sum(map(len, seen)) + len(seen) - 1
         yield tables.record(
             PIECES,
             [
                 [int(bucket[chosen[0]])],
-                [size.to_bytes(8, "little") + packed],
+                [pack(b"\n".join(seen))],
                 [np.array(piece, dtype=np.int32).tobytes()],
                 [ids[chosen].astype(np.int64).tobytes()],
-                [versions[chosen].astype(np.int64).tobytes()],
+                [versions[chosen].astype(np.int32).tobytes()],
                 [place[chosen].tobytes()],
             ],
         )
@@ -176,13 +177,14 @@ def resolve_bucket(table: pa.Table, window: int) -> pa.Table:
     """Sort the windows of one bucket and return the spans that smaller documents cover."""
     blobs, piece, base = [], [], 0
     for packed, part in zip(table.column("packed").to_pylist(), table.column("piece").to_pylist(), strict=True):
-        blobs.append(pa.decompress(packed[8:], int.from_bytes(packed[:8], "little"), codec="zstd", asbytes=True))
+        blobs.append(unpack(packed))
         piece.append(np.frombuffer(part, np.int32) + base)
         base += blobs[-1].count(b"\n") + 1
     raw = np.frombuffer(b"\n".join(blobs), dtype=np.uint8)
     del blobs
     whole = np.concatenate(piece)
-    doc, version = (np.frombuffer(b"".join(table.column(c).to_pylist()), np.int64) for c in ("doc", "version"))
+    doc = np.frombuffer(b"".join(table.column("doc").to_pylist()), np.int64)
+    version = np.frombuffer(b"".join(table.column("version").to_pylist()), np.int32)
     position = np.frombuffer(b"".join(table.column("position").to_pylist()), np.int32)
     offsets = np.concatenate([[0], np.flatnonzero(raw == 0x0A) + 1, [len(raw)]])
     found = words.split_bytes(raw, offsets, words.NOT_BLANK)
@@ -262,9 +264,9 @@ def remove_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in words.slices(batch, "_text"):
             kept, total, gone = [], [], []
-            spans = part.column("_spans").to_pylist()
-            for text, ranges in zip(part.column("_text").to_pylist(), spans, strict=True):
-                parts = blank_split(text)
+            texts = [None if t is None else unpack(t) for t in part.column("_text").to_pylist()]
+            for text, ranges in zip(texts, part.column("_spans").to_pylist(), strict=True):
+                parts = (text or b"").split()  # at the six ASCII blanks, as words do
                 out = np.zeros(len(parts), dtype=bool)
                 for r in ranges or ():
                     out[r["start"] : r["stop"]] = True
@@ -275,12 +277,21 @@ def remove_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     parts = [w for w, x in zip(parts, out.tolist(), strict=True) if not x]
                 kept.append(b" ".join(parts).decode())
             yield pa.RecordBatch.from_arrays(
-                [part.column("_row"), pa.array(kept, pa.string()), pa.array(total, pa.int64()), pa.array(gone, pa.int64())],
-                names=["_row", "kept", "n_words", "n_removed"],
+                [part.column("_row"), *(pa.array(x, k) for x, k in zip((texts, kept, total, gone), OUT, strict=True))],
+                names=["_row", "_text", *MADE],
             )
 
 
-def blank_split(text: str | None) -> Sequence[bytes]:
-    """Words between ASCII blanks: ``bytes.split`` knows exactly these six."""
-    return (text or "").encode().split()
+def pack_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = [None if t is None else pack(t.encode()) for t in batch.column("_text").to_pylist()]
+        at = batch.schema.get_field_index("_text")
+        yield batch.set_column(at, "_text", pa.array(texts, pa.binary()))
+
+
+def pack(raw: bytes) -> bytes:
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", 3).compress(raw, asbytes=True)
+
 
+def unpack(packed: bytes) -> bytes:
+    return pa.decompress(packed[8:], int.from_bytes(packed[:8], "little"), codec="zstd", asbytes=True)
