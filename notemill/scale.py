@@ -52,7 +52,8 @@ def lookup_join(
 
     Keys holding more than ``1/hot_share`` of the left rows are fewer than ``hot_share``, so their
     right rows can be broadcast whatever the data volume. All other rows take an ordinary join, in
-    which the already matched hot rows are spread over the partitions by the ``spread`` columns.
+    which the already matched hot rows, and those whose key is null, are spread over the partitions by
+    the ``spread`` columns.
     ``frequency`` names a column of ``right`` that already holds the number of left rows per key;
     without it the keys are counted first.
     """
@@ -70,15 +71,15 @@ def lookup_join(
     )
     cold = right.select(
         F.col(key).alias("_cold_key"),
-        F.lit(0).alias("_cold_salt"),
+        _no_salt(key).alias("_cold_salt"),
         F.struct(F.lit(1).alias("_m"), *values).alias("_cold"),
     )
-    unmatched = F.col("_hot").isNull()
+    unmatched = F.col("_hot").isNull() & F.col(key).isNotNull()
     tagged = left.join(F.broadcast(hot), F.col(key) == F.col("_hot_key"), "left").select(
         *left.columns,
         "_hot",
         F.when(unmatched, F.col(key)).alias("_key"),
-        F.when(unmatched, 0).otherwise(_bucket_of(spread)).alias("_salt"),
+        F.when(unmatched, _no_salt(key)).otherwise(_bucket_of(spread)).alias("_salt"),
     )
     joined = tagged.join(
         cold, (F.col("_key") == F.col("_cold_key")) & (F.col("_salt") == F.col("_cold_salt")), "left"
@@ -88,6 +89,11 @@ def lookup_join(
     return joined.select(*left.columns, *[F.col(f"_found.{v}").alias(v) for v in values])
 
 
+def _no_salt(key: str) -> Column:
+    """Always zero, but not a literal: the optimizer would take a literal out of the join's keys."""
+    return F.pmod(F.xxhash64(key), F.lit(1)).cast("int")
+
+
 def _is_hot(counts: DataFrame, n: str, hot_share: int) -> Column:
     return F.col(n) * hot_share > counts.agg(F.sum(n)).scalar()
 

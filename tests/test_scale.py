@@ -25,17 +25,35 @@ def test_lookup_join_equals_a_plain_join(spark, skewed, how, hot_share):
         assert sorted(known.collect()) == sorted(want.collect())
 
 
-def test_lookup_join_spreads_the_hot_key(spark, skewed):
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
+@pytest.mark.parametrize("how", ["left", "inner"])
+@pytest.mark.parametrize("null_share", [0, 3])
+def test_lookup_join_spreads_hot_and_null_keys(spark, tmp_path, how, null_share):
+    """Two thirds of the rows under one key, and a third of these without a key in the second case."""
+    left = spark.range(30_000).select(
+        F.col("id"),
+        F.when((F.col("id") % 3 == 0) | (F.col("id") % 9 < 6) & (F.col("id") % 9 > 0), F.lit("hot"))
+        .otherwise(F.concat(F.lit("k"), F.col("id") % 5000)).alias("key"),
+    )
+    if null_share:
+        left = left.withColumn("key", F.when(F.col("id") % null_share == 0, None).otherwise(F.col("key")))
+    right = left.where("key is not null").groupBy("key").agg(F.count("*").alias("n"), F.max("id").alias("top"))
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "16"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
     try:
-        right = skewed.groupBy("key").agg(F.count("*").alias("n"))
-        joined = lookup_join(skewed, right, "key", ["id"], hot_share=10)
-        sizes = joined.groupBy(F.spark_partition_id()).count().collect()
-        assert max(r["count"] for r in sizes) < 1000
+        joined = lookup_join(left, right, "key", ["id"], how, hot_share=10).withColumn("part", F.spark_partition_id())
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(_key" in plan and "_salt" in plan.split("hashpartitioning(_key")[1].split(")")[0]
+        joined.write.parquet(f"{tmp_path}/joined")  # with the right-hand columns
     finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-        spark.conf.unset("spark.sql.adaptive.enabled")
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    rows = spark.read.parquet(f"{tmp_path}/joined")
+    sizes = [r["count"] for r in rows.groupBy("part").count().collect()]
+    assert len(sizes) == 16 and max(sizes) < 2 * sum(sizes) / 16
+    assert rows.where("key is not null and (top is null or n is null)").count() == 0
+    assert sum(sizes) == (30_000 if how == "left" else left.where("key is not null").count())
 
 
 def test_hashed_rank_is_a_dense_order(spark, skewed):
