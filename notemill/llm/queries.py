@@ -7,11 +7,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notemill.llm import decontaminate, mixing, simhash, substrings, toxicity
+from notemill.llm import decontaminate, language, licenses, mixing, simhash, substrings, token_counts, topk, toxicity, urls
 from notemill.llm.tables import load
+from notemill.llm.toxicity import held_out
+
+TOKEN_LIMIT = 512
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -32,6 +36,14 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL["op1_mix_sources"] = mixing.MIX_SQL
 
 
+@query
+def op2_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(load(spark, sf_dir, "embeddings"))
+
+
+SQL["op2_top_k"] = topk.TOP_K_SQL
+
+
 @query
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
@@ -52,12 +64,52 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.fit(docs, load(spark, sf_dir, "labels"))
     return toxicity.score(docs, model).select(
         "doc_id",
-        toxicity.held_out("doc_id").alias("held_out"),
+        held_out("doc_id").alias("held_out"),
         "score",
         (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
     )
 
 
+@query
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files of a tree: source, language, and 64 documents a folder.
+
+    Every eighth document is the licence file of its folder, every 64th that of its language and every
+    512th that of its source.
+    """
+    up = lambda n: F.col("doc_id") % n == 0
+    folder = (
+        F.when(up(512), F.col("source"))
+        .when(up(64), F.concat_ws("/", "source", "lang"))
+        .otherwise(F.concat_ws("/", F.col("source"), F.col("lang"), F.expr("doc_id DIV 64")))
+    )
+    name = F.when(up(8), F.lit("LICENSE")).otherwise(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    files = load(spark, sf_dir, "documents").select("doc_id", "text", F.concat(folder, F.lit("/"), name).alias("path"))
+    return licenses.scan_licenses(files)
+
+
+@query
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = load(spark, sf_dir, "pages").select("page_id", "url")
+    return urls.filter_urls(pages).select("page_id", "host", "path", "rule", "verdict")
+
+
+@query
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language.fit(docs)
+    return language.identify(docs.select("doc_id", "text"), model).select(
+        "doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score"
+    )
+
+
+@query
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    counts = token_counts.count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return counts.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
+
+
 @query
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")

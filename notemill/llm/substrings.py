@@ -164,7 +164,7 @@ def super_kmers(part: pa.RecordBatch, window: int, gram: int, buckets: int, hot:
             PIECES,
             [
                 [int(bucket[chosen[0]])],
-                [pack(b"\n".join(seen))],
+                [tables.pack(b"\n".join(seen))],
                 [np.array(piece, dtype=np.int32).tobytes()],
                 [ids[chosen].astype(np.int64).tobytes()],
                 [versions[chosen].astype(np.int32).tobytes()],
@@ -177,7 +177,7 @@ def resolve_bucket(table: pa.Table, window: int) -> pa.Table:
     """Sort the windows of one bucket and return the spans that smaller documents cover."""
     blobs, piece, base = [], [], 0
     for packed, part in zip(table.column("packed").to_pylist(), table.column("piece").to_pylist(), strict=True):
-        blobs.append(unpack(packed))
+        blobs.append(tables.unpack(packed))
         piece.append(np.frombuffer(part, np.int32) + base)
         base += blobs[-1].count(b"\n") + 1
     raw = np.frombuffer(b"\n".join(blobs), dtype=np.uint8)
@@ -264,7 +264,7 @@ def remove_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in words.slices(batch, "_text"):
             kept, total, gone = [], [], []
-            texts = [None if t is None else unpack(t) for t in part.column("_text").to_pylist()]
+            texts = [None if t is None else tables.unpack(t) for t in part.column("_text").to_pylist()]
             for text, ranges in zip(texts, part.column("_spans").to_pylist(), strict=True):
                 parts = (text or b"").split()  # at the six ASCII blanks, as words do
                 out = np.zeros(len(parts), dtype=bool)
@@ -284,14 +284,6 @@ def remove_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def pack_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = [None if t is None else pack(t.encode()) for t in batch.column("_text").to_pylist()]
+        texts = [None if t is None else tables.pack(t.encode()) for t in batch.column("_text").to_pylist()]
         at = batch.schema.get_field_index("_text")
         yield batch.set_column(at, "_text", pa.array(texts, pa.binary()))
-
-
-def pack(raw: bytes) -> bytes:
-    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", 3).compress(raw, asbytes=True)
-
-
-def unpack(packed: bytes) -> bytes:
-    return pa.decompress(packed[8:], int.from_bytes(packed[:8], "little"), codec="zstd", asbytes=True)
