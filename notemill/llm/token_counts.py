@@ -8,14 +8,17 @@ follows. Token ids are never gathered.
 
 * A pre-token in over 1/``OFTEN`` of a slice's documents is dealt by pre-token and slice, so the posting
   lists of frequent ones spread over all buckets.
-* A bucket returns one partial sum per document and slice, so the last shuffle carries numbers only.
+* A slice sends its list of documents once. Buckets return partial sums by the documents' places in the
+  slice, and the slice adds them up, so neither texts nor ids travel with the numbers.
+* A slice is named by its task and turn. All its rows carry a mark of its contents, so a rerun over input
+  in another order fails instead of mixing two slices.
 
 Pre-tokens follow the byte-level pattern; texts with characters from U+0530 on are split by the
 tokenizer itself, whose Unicode tables may be older. Special strings of the file's added tokens count
 as one token wherever they stand, which is the library's default.
 
-Defined cases: null and empty texts have no bytes and no tokens; rows of one doc_id are counted apart
-by the hash of their text; repeated rows get equal counts; a null doc_id is an id of its own.
+Defined cases: null and empty texts have no bytes and no tokens; every row is counted for itself, so rows
+of one or of no doc_id, and repeated rows, each get their own count.
 """
 
 from __future__ import annotations
@@ -26,8 +29,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
-from pyspark.sql import DataFrame, Window
+import xxhash
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from notemill.llm import tables, words
@@ -39,14 +45,20 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 LATER_BYTE = 0xD4
 
 PACKED = pa.schema(
-    [("bucket", pa.int64()), ("tokens", pa.binary()), ("sizes", pa.binary()), ("postings", pa.binary()),
-     ("documents", pa.binary()), ("counts", pa.binary()), ("ids", pa.list_(pa.int64())), ("versions", pa.binary())]
+    [("bucket", pa.int64()), ("slice", pa.int64()), ("mark", pa.int64()), ("ids", pa.list_(pa.int64())),
+     ("n_bytes", pa.list_(pa.int64())), ("tokens", pa.binary()), ("sizes", pa.binary()), ("postings", pa.binary()),
+     ("documents", pa.binary()), ("counts", pa.binary())]
 )
 PACKED_DDL = (
-    "bucket long, tokens binary, sizes binary, postings binary, documents binary, counts binary, "
-    "ids array<long>, versions binary"
+    "bucket long, slice long, mark long, ids array<long>, n_bytes array<long>, tokens binary, sizes binary, "
+    "postings binary, documents binary, counts binary"
 )
-SUMS = pa.schema([("doc", pa.int64()), ("version", pa.int32()), ("n", pa.int64())])
+SUMS = pa.schema(
+    [("slice", pa.int64()), ("mark", pa.int64()), ("ids", pa.list_(pa.int64())), ("n_bytes", pa.list_(pa.int64())),
+     ("documents", pa.binary()), ("sums", pa.binary())]
+)
+SUMS_DDL = "slice long, mark long, ids array<long>, n_bytes array<long>, documents binary, sums binary"
+TOTALS = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64())])
 
 
 class PreTokens:
@@ -107,38 +119,36 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", t
     PreTokens(content)  # refuse an unsupported file here
     definition = docs.sparkSession.sparkContext.broadcast(content)
     buckets = tables.shuffle_partitions(docs)
-    keyed = docs.select(F.col(doc_id).cast("long").alias("doc"), F.hash(text).alias("version"), F.col(text).alias("text"))
+    keyed = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text"))
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn = TaskContext.get().partitionId() << 32
         for batch in batches:
             for part in words.slices(batch, "text", SLICE_BYTES):
-                yield from frequencies(part, loaded(definition), buckets)
+                yield from frequencies(part, loaded(definition), buckets, turn)
+                turn += 1
 
     def join(table: pa.Table) -> pa.Table:
         return partial_sums(table, loaded(definition))
 
-    sums = (
+    return (
         keyed.mapInArrow(split, PACKED_DDL)
         .groupBy("bucket")
-        .applyInArrow(join, "doc long, version int, n long")
-        .groupBy("doc", "version")
-        .agg(F.sum("n").alias("n"))
-    )
-    rows = keyed.select("doc", "version", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes")).alias("k")
-    s = sums.alias("s")
-    # Repeated rows share one sum, to which each of them has added its own tokens.
-    copies = F.count(F.lit(1)).over(Window.partitionBy("k.doc", "k.version"))
-    return rows.join(
-        s, F.col("k.doc").eqNullSafe(F.col("s.doc")) & (F.col("k.version") == F.col("s.version")), "left"
-    ).select(
-        F.col("k.doc").alias("doc_id"), "n_bytes", F.coalesce((F.col("n") / copies).cast("long"), F.lit(0)).alias("n_tokens")
+        .applyInArrow(join, SUMS_DDL)
+        .groupBy("slice")
+        .applyInArrow(totals, "doc_id long, n_bytes long, n_tokens long")
     )
 
 
-def frequencies(part: pa.RecordBatch, pre: PreTokens, buckets: int) -> Iterator[pa.RecordBatch]:
-    """For each bucket, its pre-tokens with the documents that hold them and how often."""
+def frequencies(part: pa.RecordBatch, pre: PreTokens, buckets: int, turn: int) -> Iterator[pa.RecordBatch]:
+    """The slice's documents, and for each bucket its pre-tokens with the documents that hold them and how often."""
     column = part.column("text")
     raw, offsets = words.bytes_of(column)
+    mark = xxhash.xxh64_intdigest(raw, len(offsets)) ^ xxhash.xxh64_intdigest(offsets.tobytes())
+    mark = (mark & (2**63 - 1)) - 2**62
+    home = int(words.scramble(np.array([turn], np.uint64))[0] % np.uint64(buckets))
+    ids, n_bytes = (tables.lists(a, [part.num_rows]) for a in (part.column("doc"), pa.array(np.diff(offsets))))
+    yield tables.record(PACKED, [[home], [turn], [mark], ids, n_bytes, *[[None]] * 5])
     filled = np.flatnonzero(np.diff(offsets))
     if not len(filled):
         return
@@ -159,13 +169,11 @@ def frequencies(part: pa.RecordBatch, pre: PreTokens, buckets: int) -> Iterator[
         np.frombuffer(b"".join(names), np.uint8), np.concatenate([[0], np.cumsum(size)]), np.ones(256, dtype=bool)
     )
     h = found.hashes(9)
-    slice_key = words.scramble(np.array([hash((part.column("doc")[0].as_py(), len(raw), part.num_rows)) & (2**63 - 1)], np.uint64))[0]
-    h = np.where(n * OFTEN > part.num_rows, words.scramble(h ^ slice_key), h)
+    own = words.scramble(np.array([turn + 1], np.uint64))[0]
+    h = np.where(n * OFTEN > part.num_rows, words.scramble(h ^ own), h)
     bucket = (h % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
     first = np.cumsum(n) - n
-    ids = part.column("doc")
-    versions = part.column("version").to_numpy(zero_copy_only=False).astype(np.int32).tobytes()
     bounds = np.flatnonzero(np.diff(bucket[order], prepend=-1, append=-1))
     for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
         chosen = order[lo:hi]
@@ -178,38 +186,48 @@ def frequencies(part: pa.RecordBatch, pre: PreTokens, buckets: int) -> Iterator[
             count[at].astype(np.int32).tobytes(),
         ]
         yield tables.record(
-            PACKED,
-            [
-                [int(bucket[chosen[0]])],
-                *[[tables.pack(c)] for c in columns],
-                tables.lists(ids, [len(ids)]),
-                [tables.pack(versions)],
-            ],
+            PACKED, [[int(bucket[chosen[0]])], [turn], [mark], [None], [None], *[[tables.pack(c)] for c in columns]]
         )
 
 
 def partial_sums(table: pa.Table, pre: PreTokens) -> pa.Table:
     """Encode each pre-token of a bucket once and sum its pieces over the documents of each slice."""
+    lists_only = table.filter(pc.is_null(table.column("tokens"))).select(["slice", "mark", "ids", "n_bytes"])
     numbers: dict[bytes, int] = {}
     slices = []
-    for r in table.to_batches():
-        for i in range(r.num_rows):
-            text, size, n, document, count = (
-                tables.unpack(r.column(c)[i].as_py()) for c in ("tokens", "sizes", "postings", "documents", "counts")
-            )
-            ends = np.cumsum(np.frombuffer(size, np.int32)).tolist()
-            begins = [0, *ends[:-1]]
-            own = np.fromiter(
-                (numbers.setdefault(text[a:b], len(numbers)) for a, b in zip(begins, ends, strict=True)), np.int64, len(ends)
-            )
-            ids = r.column("ids")[i].values
-            version = np.frombuffer(tables.unpack(r.column("versions")[i].as_py()), np.int32)
-            slices.append((own, n, document, count, ids, version))
+    for r in table.filter(pc.is_valid(table.column("tokens"))).select(["slice", "mark", *PACKED.names[5:]]).to_pylist():
+        text, size, n, document, count = (tables.unpack(r[c]) for c in PACKED.names[5:])
+        ends = np.cumsum(np.frombuffer(size, np.int32)).tolist()
+        own = np.fromiter(
+            (numbers.setdefault(text[a:b], len(numbers)) for a, b in zip([0, *ends[:-1]], ends, strict=True)), np.int64, len(ends)
+        )
+        slices.append((r["slice"], r["mark"], own, *(np.frombuffer(x, np.int32) for x in (n, document, count))))
     pieces = pre.pieces([t.decode() for t in numbers])
-    out = []
-    for own, n, document, count, ids, version in slices:
-        value = np.repeat(pieces[own], np.frombuffer(n, np.int32)) * np.frombuffer(count, np.int32)
-        sums = np.bincount(np.frombuffer(document, np.int32), value, len(ids)).astype(np.int64)
+    rows = []
+    for turn, mark, own, n, document, count in slices:
+        sums = np.bincount(document, np.repeat(pieces[own], n) * count).astype(np.int64)
         some = np.flatnonzero(sums)
-        out.append(pa.table([ids.take(pa.array(some)), pa.array(version[some]), pa.array(sums[some])], schema=SUMS))
-    return pa.concat_tables(out)
+        rows.append((turn, mark, tables.pack(some.astype(np.int32).tobytes()), tables.pack(sums[some].tobytes())))
+    columns = [list(c) for c in zip(*rows, strict=True)] or [[], [], [], []]
+    none = [None] * len(rows)
+    given = [pa.concat_arrays(c.chunks) if c.num_chunks else pa.array([], c.type) for c in lists_only.columns]
+    parts = [
+        [*given, pa.nulls(len(lists_only), pa.binary()), pa.nulls(len(lists_only), pa.binary())],
+        [columns[0], columns[1], none, none, columns[2], columns[3]],
+    ]
+    return pa.Table.from_batches([tables.record(SUMS, p) for p in parts], schema=SUMS)
+
+
+def totals(table: pa.Table) -> pa.Table:
+    """Add up what the buckets returned for one slice."""
+    if len(pc.unique(table.column("mark"))) > 1:
+        raise ValueError("the documents came in another order when a task was repeated; read them from written files")
+    rows = table.to_pylist()
+    documents = next(r for r in rows if r["ids"] is not None)
+    sums = np.zeros(len(documents["ids"]), dtype=np.int64)
+    for r in rows:
+        if r["ids"] is None:
+            sums[np.frombuffer(tables.unpack(r["documents"]), np.int32)] += np.frombuffer(tables.unpack(r["sums"]), np.int64)
+    return pa.Table.from_arrays(
+        [pa.array(documents["ids"], pa.int64()), pa.array(documents["n_bytes"], pa.int64()), pa.array(sums)], schema=TOTALS
+    )
