@@ -16,6 +16,7 @@ import xxhash
 
 SLICE_BYTES = 4 << 20
 PAD = 8
+JOINED_WORDS = 1 << 16
 LONG_WORD = 2048  # bytes from which a word is hashed by the C library instead of in steps of eight
 
 # The bytes that separate words. Bytes from 0x80 on belong to other letters.
@@ -85,9 +86,10 @@ class Words:
         offsets = np.zeros(len(length) + 1, dtype=np.int64)
         np.cumsum(length + 1, out=offsets[1:])
         out = np.full(offsets[-1], 0x20, dtype=np.uint8)
-        moved = np.repeat(self.starts - offsets[:-1], length)
-        target = np.arange(len(moved)) + np.repeat(np.arange(len(length)), length)
-        out[target] = self.data[target + moved]
+        for lo in range(0, len(length), JOINED_WORDS):  # a number per byte is held for these words only
+            part = slice(lo, lo + JOINED_WORDS)
+            from_start, to_start, size = self.starts[part], offsets[:-1][part], length[part]
+            out[ranges(to_start, size)] = self.data[ranges(from_start, size)]
         return out.tobytes(), offsets
 
     def same_document(self, n: int) -> np.ndarray:
