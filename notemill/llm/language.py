@@ -98,7 +98,7 @@ class LanguageModel:
         if not self.families:
             return np.full(n, "und", dtype=object), np.zeros(n)
         x = np.hstack([x, np.ones((n, 1), np.float32)])
-        sigmoid = lambda m: 1 / (1 + np.exp(-np.clip(2 * m, -500, 500)))
+        sigmoid = lambda m: 1 / (1 + np.exp(-np.clip(2 * m.astype(np.float64), -500, 500)))
         if len(self.families) > 1:
             margin = x @ self.family.T
             chosen, certain = margin.argmax(axis=1), sigmoid(margin.max(axis=1))

@@ -57,7 +57,17 @@ LABELLED = (
     ("block", "https://www.free-xxx.example/videos/7"),
     ("block", "http://free-download-crack.example/en/10"),
     ("block", "https://blog.get-rich-quick.example/es/4"),
+    ("block", "https://m.poker-bonus.example.net/en/25"),
+    ("block", "http://www.replica-watches.example.com/fr/9"),
+    ("block", "https://blog.spam-offers.example.org/de/17"),
     ("allow", "https://www.university.example/en/4"),
+    ("allow", "https://m.that.example.net/en/14"),
+    ("allow", "http://m.hatter.example.com/en/61?page=2&ref=x"),
+    ("allow", "https://www.father.example.org/fr/35"),
+    ("allow", "http://m.interest.example.net/es/20#top"),
+    ("allow", "https://blog.weathered.example.com/de/73"),
+    ("allow", "http://thread.example.net/en/52.html"),
+    ("allow", "https://m.otherwise.example.org/en/84/"),
     ("allow", "http://library.example/fr/77"),
     ("allow", "https://blog.gardening.example/en/9.html"),
     ("allow", "https://m.weather.example/de/8?page=2&ref=x"),
