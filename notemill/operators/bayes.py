@@ -93,8 +93,8 @@ def _training_constants(
     )
 
 
-def majority(docs: DataFrame) -> DataFrame:
-    """Every document predicted as the most frequent class, the smaller label on a tie."""
-    sizes = docs.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+def majority(docs: DataFrame, train: DataFrame | None = None) -> DataFrame:
+    """Every document predicted as the most frequent class of ``train``, the smaller label on a tie."""
+    sizes = (docs if train is None else train).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
     best = sizes.agg(F.min_by("label", F.struct(-F.col("n"), "label"))).scalar()
     return docs.select("doc_id", "label", best.alias("pred"))

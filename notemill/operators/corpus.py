@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from notemill.functions import text as T
 from notemill.scale import lookup_join
 
-# Notes of one patient are kept together in parts of this many sequence numbers.
+# Notes of one patient are first gathered over this many sequence numbers, then part after part.
 PART_WIDTH = 10_000
 
 
@@ -38,27 +38,33 @@ def part_of(order: str, width: int = PART_WIDTH) -> Column:
 
 
 def group_notes(notes: DataFrame, key: str, order: str, width: int = PART_WIDTH) -> DataFrame:
-    """Notes per patient as arrays in order, in parts of bounded width.
+    """One row per patient with all notes as an array in order, however far apart they stand.
 
-    A patient whose sequence numbers span less than ``width`` has one row; the parts of a larger
-    patient follow each other by ``part``, so no task ever gathers a whole hot patient.
+    Parts of bounded width are sorted on their own and then strung together, so the notes of a hot
+    patient are sorted by many tasks; only the finished row is as large as the patient.
     """
     rest = [c for c in notes.columns if c not in (key, order)]
     entry = F.struct(order, *rest)
-    return notes.groupBy(key, part_of(order, width).alias("part")).agg(
+    parts = notes.groupBy(key, part_of(order, width).alias("part")).agg(
         F.array_sort(F.collect_list(entry)).alias("notes")
     )
+    return parts.groupBy(key).agg(F.flatten(_in_parts("notes")).alias("notes"))
 
 
 def merge_text(
     notes: DataFrame, keys: Sequence[str], order: str, text: str = "text", width: int = PART_WIDTH
 ) -> DataFrame:
-    """Texts per key in order without a separator, in parts as in ``group_notes``."""
-    return notes.groupBy(*keys, part_of(order, width).alias("part")).agg(
+    """One row per key: its texts in order without a separator, merged in parts as in ``group_notes``."""
+    parts = notes.groupBy(*keys, part_of(order, width).alias("part")).agg(
         F.array_join(
             F.transform(F.array_sort(F.collect_list(F.struct(order, text))), lambda e: e[text]), ""
         ).alias("text")
     )
+    return parts.groupBy(*keys).agg(F.array_join(_in_parts("text"), "").alias("text"))
+
+
+def _in_parts(column: str) -> Column:
+    return F.transform(F.array_sort(F.collect_list(F.struct("part", column))), lambda p: p[column])
 
 
 def merge_corpora(sources: Sequence[DataFrame], name: str = "doc_id", text: str = "text") -> DataFrame:
@@ -67,7 +73,7 @@ def merge_corpora(sources: Sequence[DataFrame], name: str = "doc_id", text: str
     for i, source in enumerate(sources):
         tagged = source.select(name, text, F.lit(i).alias("_source"))
         union = tagged if union is None else union.unionByName(tagged)
-    return merge_text(union, [name], "_source", text).drop("part")
+    return merge_text(union, [name], "_source", text)
 
 
 def mirror_split(source: DataFrame, mirror: DataFrame, name: str = "doc_id") -> tuple[DataFrame, DataFrame]:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from notemill.functions.text import anchored
-from notemill.operators import evaluate, models, sampling
+from notemill.operators import evaluate, models, sampling, text_models
 from notemill.operators.vectors import TermOptions, VocabularyTooLarge, prepare, preprocess
 from notemill.sources.sinks import feature_names
 
@@ -172,6 +172,8 @@ def run_grid(
         wanted = [(i, r) for i, r in wanted if r.key() in open_keys]
     store = FeatureStore(docs)
     for _, r in wanted:
+        if r.classifier in text_models.TEXT_CLASSIFIERS:
+            continue
         try:
             store.get(r)
         except (models.UnsupportedOption, VocabularyTooLarge):
@@ -186,12 +188,15 @@ def run_grid(
             "options": {k: str(v) for k, v in {**vars(r.terms), **r.params, "mode": r.mode}.items()},
         }
         try:
-            result = cross_validate(store.get(r), r)
-            summary = result.summary().first()
-            area = evaluate.auc(result.predictions).agg(F.avg("auc")).first()[0]
+            if r.classifier in text_models.TEXT_CLASSIFIERS:
+                predictions = text_models.cross_validate(docs, r.classifier, r.params, r.folds, r.seed).persist()
+            else:
+                predictions = cross_validate(store.get(r), r).predictions
+            summary = evaluate.fold_summary(evaluate.fold_metrics(predictions)).first()
+            area = evaluate.auc(predictions).agg(F.avg("auc")).first()[0]
             row.update({m: summary[m] for m in ("precision", "recall", "f1", "std", "acc", "spc", "npv")}, auc=area)
         except Exception as problem:  # a failed combination is a row, the grid goes on
-            row["error"] = repr(problem)[:500]
+            row["error"] = repr(problem)
         return row
 
     with ThreadPoolExecutor(parallelism) as pool:
@@ -297,7 +302,7 @@ def sweep(features: Features, options: Sequence[RunOptions], share: float = 0.2)
             r = evaluate.fold_metrics(holdout_eval(features, o, share), []).first()
             rows.append((o.classifier, r["precision"], r["recall"], r["f1"], None))
         except Exception as problem:
-            rows.append((o.classifier, -1.0, -1.0, -1.0, repr(problem)[:500]))
+            rows.append((o.classifier, -1.0, -1.0, -1.0, repr(problem)))
     schema = "classifier string, precision double, recall double, f1 double, error string"
     return features.docs.sparkSession.createDataFrame(rows, schema)
 

@@ -50,15 +50,15 @@ def print_predict(docs: DataFrame, prints: DataFrame) -> DataFrame:
 
 
 def bit_knn(
-    docs: DataFrame, sample_size: int, k: int, seed: int = 1, rank_vote: bool = False
+    docs: DataFrame, sample_size: int, k: int, seed: int = 1, rank_vote: bool = False, train: DataFrame | None = None
 ) -> DataFrame:
-    """Vote of the ``k`` nearest documents of a fixed-size sample per class.
+    """Vote of the ``k`` nearest documents of a fixed-size sample per class of ``train`` (or of ``docs``).
 
     Distance is the number of entities only one of the two documents has; ties go to the smaller
     sample id, votes to the smaller label. With ``rank_vote`` the shared-entity counts of each
     class are sorted upwards and, for each rank, the class with the smallest count gets the vote.
     """
-    sample = entity_bits(per_class(docs, sample_size, seed=seed)).select(
+    sample = entity_bits(per_class(docs if train is None else train, sample_size, seed=seed)).select(
         F.struct("label", "doc_id", "bits").alias("s")
     )
     samples = sample.agg(F.array_sort(F.collect_list("s"))).scalar()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -113,18 +114,15 @@ def predict_by(docs: DataFrame, rule: Callable[[Column], Column]) -> DataFrame:
 def skip_grams(text: Column, size: int = 2, gap: int = 1) -> Column:
     """Distinct ordered word combinations of a text's sentences, up to ``size`` words with at most
     ``gap`` words between neighbours, as words joined by a line feed."""
-    if not 1 <= size <= 3:
-        raise ValueError("combinations have one to three words")
+    if size < 1:
+        raise ValueError("combinations have at least one word")
     flat = F.regexp_replace(text, "\n", " ")
     split = F.transform(sentences(flat), lambda s: F.filter(words(s), lambda w: w != ""))
 
     def combine(ws: Column) -> Column:
         found = [ws]
-        steps = [ (a,) for a in range(1, gap + 2) ]
-        if size >= 2:
-            found += [_apart(ws, s) for s in steps]
-        if size == 3:
-            found += [_apart(ws, (a, b)) for (a,) in steps for (b,) in steps]
+        for words_after in range(1, size):
+            found += [_apart(ws, steps) for steps in itertools.product(range(1, gap + 2), repeat=words_after)]
         return F.concat(*found) if len(found) > 1 else found[0]
 
     return F.array_distinct(F.flatten(F.transform(split, combine)))

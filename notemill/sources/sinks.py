@@ -14,8 +14,12 @@ def write_corpus(docs: DataFrame, path: str, label: str = "label", mode: str = "
     docs.write.partitionBy(label).mode(mode).parquet(path)
 
 
-def write_text(docs: DataFrame, path: str, label: str = "label", text: str = "text", mode: str = "append") -> None:
-    docs.select(F.col(text).cast("string").alias("value"), label).write.partitionBy(label).mode(mode).text(path)
+def write_text(
+    docs: DataFrame, path: str, label: str = "label", ident: str = "doc_id", text: str = "text", mode: str = "append"
+) -> None:
+    """Plain text in one folder per label and document, from which both can be read back."""
+    rows = docs.select(F.col(text).cast("string").alias("value"), label, ident)
+    rows.write.partitionBy(label, ident).mode(mode).text(path)
 
 
 def write_report(df: DataFrame, path: str, mode: str = "overwrite") -> None:

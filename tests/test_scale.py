@@ -88,10 +88,26 @@ def test_percent_and_stratified_sizes(spark):
     assert sampling.learning_sizes(10, 130, 30) == [0.1, 0.4, 0.7, 1.0]
 
 
-def test_parts_of_a_hot_patient_are_bounded_and_whole(spark):
-    notes = spark.range(100).select(F.lit("p").alias("patient_id"), F.col("id").alias("seq"), F.col("id").cast("string").alias("text"))
-    parts = corpus.merge_text(notes, ["patient_id"], "seq", width=30).orderBy("part").collect()
-    assert len(parts) == 4
-    assert "".join(p["text"] for p in parts) == "".join(str(i) for i in range(100))
-    grouped = corpus.group_notes(notes, "patient_id", "seq", width=30).orderBy("part").collect()
-    assert [n["seq"] for g in grouped for n in g["notes"]] == list(range(100))
+def test_patients_stay_whole_and_in_order(spark):
+    notes = spark.range(25_000).select(
+        F.when(F.col("id") % 5000 == 7, "q").otherwise("p").alias("patient_id"), F.col("id").alias("seq"), F.col("id").cast("string").alias("text")
+    )
+    want = {"p": [i for i in range(25_000) if i % 5000 != 7], "q": [7, 5007, 10007, 15007, 20007]}
+    for width in (30, corpus.PART_WIDTH):
+        merged = {r["patient_id"]: r["text"] for r in corpus.merge_text(notes.repartition(9), ["patient_id"], "seq", width=width).collect()}
+        assert merged == {k: "".join(map(str, v)) for k, v in want.items()}
+        grouped = corpus.group_notes(notes, "patient_id", "seq", width=width).collect()
+        assert {r["patient_id"]: [n["seq"] for n in r["notes"]] for r in grouped} == want
+    again = corpus.merge_corpora([notes.where("seq < 9").withColumnRenamed("seq", "doc_id")] * 2).orderBy("doc_id").collect()
+    assert [r["text"] for r in again] == [f"{i}{i}" for i in range(9)]
+
+
+def test_notes_far_apart_in_a_file_make_one_document(spark, tmp_path):
+    from notemill.sources.scans import read_notes
+
+    lines = [f"{'x' if i in (5, 20_005) else 'y%d' % i}||A,B||note||text {i}" for i in range(20_100)]
+    (tmp_path / "notes.txt").write_text("\n".join(lines))
+    notes = read_notes(spark, str(tmp_path / "notes.txt")).select("patient_id", "seq", "note_text")
+    merged = corpus.merge_text(notes, ["patient_id"], "seq", "note_text")
+    assert [r["text"] for r in merged.where("patient_id = 'x'").collect()] == ["text 5text 20005"]
+    assert merged.count() == 20_099

@@ -71,8 +71,10 @@ def test_corpus_round_trip(spark, tmp_path):
     sinks.write_corpus(docs.where("label = 1"), path)
     back = spark.read.parquet(path)
     assert sorted(map(tuple, back.select("doc_id", "label", "text").collect())) == [("1", 0, "a"), ("2", 1, "b")]
-    sinks.write_text(docs, str(tmp_path / "text"))
-    assert spark.read.text(str(tmp_path / "text")).where("label = 1").first()["value"] == "b"
+    lines = spark.createDataFrame([("1", 0, "a\nb  c"), ("x y", 1, "d")], docs.schema)
+    sinks.write_text(lines, str(tmp_path / "text"))
+    back = spark.read.text(str(tmp_path / "text"), wholetext=True)
+    assert sorted((r["doc_id"], r["label"], r["value"].rstrip("\n")) for r in back.collect()) == [("1", 0, "a\nb  c"), ("x y", 1, "d")]
     sinks.write_json(docs, str(tmp_path / "json"))
     assert spark.read.json(str(tmp_path / "json")).count() == 2
     sinks.write_report(docs, str(tmp_path / "csv"))
