@@ -6,7 +6,7 @@ from notemill.operators import experiments, rules, text_models
 
 
 def corpus(spark, n=60):
-    rows = [(i, i % 3 == 0, f"note {i} about {'fever and cough' if i % 3 == 0 else 'routine visit'} today") for i in range(n)]
+    rows = [(i, i % 3 == 0, f"note {i} about {'fever with high fever and cough' if i % 3 == 0 else 'routine visit'} today") for i in range(n)]
     return spark.createDataFrame([(i, int(y), t) for i, y, t in rows], "doc_id long, label int, text string")
 
 
