@@ -196,7 +196,7 @@ def run_grid(
             area = evaluate.auc(predictions).agg(F.avg("auc")).first()[0]
             row.update({m: summary[m] for m in ("precision", "recall", "f1", "std", "acc", "spc", "npv")}, auc=area)
         except Exception as problem:  # a failed combination is a row, the grid goes on
-            row["error"] = repr(problem)
+            row["error"] = f"{type(problem).__name__}: {problem}"
         return row
 
     with ThreadPoolExecutor(parallelism) as pool:
@@ -302,7 +302,7 @@ def sweep(features: Features, options: Sequence[RunOptions], share: float = 0.2)
             r = evaluate.fold_metrics(holdout_eval(features, o, share), []).first()
             rows.append((o.classifier, r["precision"], r["recall"], r["f1"], None))
         except Exception as problem:
-            rows.append((o.classifier, -1.0, -1.0, -1.0, repr(problem)))
+            rows.append((o.classifier, -1.0, -1.0, -1.0, f"{type(problem).__name__}: {problem}"))
     schema = "classifier string, precision double, recall double, f1 double, error string"
     return features.docs.sparkSession.createDataFrame(rows, schema)
 
