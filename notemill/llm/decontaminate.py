@@ -31,7 +31,7 @@ from notemill.llm import tables, words
 
 WINDOW = 10
 BLOCK_BYTES = 8 << 20
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
 SAMPLE = 8  # every eighth suffix position is kept
 FILTER_BITS = 20
 END, GAP, FIRST = 0, 1, 2  # symbols: end of the shard, gap between runs, first word
@@ -295,7 +295,7 @@ def contamination(
     out = tables.carried(docs, text, MADE).select(
         "_row", "_text", *[F.lit(None).cast(f.dataType).alias(f.name) for f in schema]
     )
-    # A slice of 8 MB of text stays one shard whatever the number of rows in it.
+    # A slice of 4 MB of text stays one shard whatever the number of rows in it.
     for block in blocks_of(benchmark, item_id, item_text, block_bytes):
         known = docs.sparkSession.sparkContext.broadcast(phrases_of(block, window))
 

@@ -160,7 +160,9 @@ def near_links(distinct: DataFrame, max_bits: int) -> DataFrame:
     bucket = F.pmod(F.col("cell"), F.lit(8 * tables.shuffle_partitions(distinct)))
 
     def link(table: pa.Table) -> pa.Table:
-        return cell_links(table, max_bits)
+        links = cell_links(table, max_bits)
+        words.give_back()
+        return links
 
     return dealt.withColumn("bucket", bucket).groupBy("bucket").applyInArrow(link, "a long, b long").distinct()
 

@@ -30,7 +30,7 @@ from notemill.scale import cut
 
 WINDOW = 13
 GRAM = 2
-SLICE_BYTES = 8 << 20  # text per slice: larger slices share more equal super-k-mers and compress better
+SLICE_BYTES = 4 << 20  # text per slice: larger slices share more equal super-k-mers and compress better
 LONGEST_RUN = 64  # windows of one super-k-mer at most; a longer run is cut into several
 BUCKETS_PER_PARTITION = 4
 MADE = ("kept", "n_words", "n_removed")
@@ -84,7 +84,9 @@ def repeated_spans(keyed: DataFrame, window: int, gram: int, buckets: int) -> Da
                 yield from super_kmers(part, window, gram, buckets, hot)
 
     def solve(table: pa.Table) -> pa.Table:
-        return resolve_bucket(table, window)
+        spans = resolve_bucket(table, window)
+        words.give_back()
+        return spans
 
     return keyed.mapInArrow(pieces, PIECES_DDL).groupBy("bucket").applyInArrow(solve, SPANS_DDL)
 
@@ -284,6 +286,6 @@ def remove_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def pack_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = [None if t is None else tables.pack(t.encode()) for t in batch.column("_text").to_pylist()]
-        at = batch.schema.get_field_index("_text")
-        yield batch.set_column(at, "_text", pa.array(texts, pa.binary()))
+        for part in words.slices(batch, "_text"):
+            texts = [None if t is None else tables.pack(t.encode()) for t in part.column("_text").to_pylist()]
+            yield part.set_column(part.schema.get_field_index("_text"), "_text", pa.array(texts, pa.binary()))

@@ -129,7 +129,9 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", t
                 turn += 1
 
     def join(table: pa.Table) -> pa.Table:
-        return partial_sums(table, loaded(definition))
+        sums = partial_sums(table, loaded(definition))
+        words.give_back()
+        return sums
 
     return (
         keyed.mapInArrow(split, PACKED_DDL)
