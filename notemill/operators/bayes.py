@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from notemill.operators.vectors import TermOptions, term_counts
+from notemill.operators.vectors import TermOptions, term_bags
 from notemill.scale import cut, lookup_join
 
 
@@ -18,8 +18,9 @@ def cross_validated(
     folds minus its own, so nothing is fitted k times. The vocabulary is that of all documents.
     ``docs`` has doc_id, label, fold and text.
     """
-    tf = term_counts(docs, options, ["label", "fold"])
-    # Written once: five consumers below would otherwise tokenise the texts again.
+    # Written once, one row a document, and so are the counts: neither is made again below.
+    bags = cut(term_bags(docs, options, ["label", "fold"]))
+    tf = bags.select("doc_id", "label", "fold", F.inline("bag"))
     by_fold = cut(
         tf.groupBy("term", "fold").agg(
             _mass(1).alias("pos"), _mass(0).alias("neg"), F.count(F.lit(1)).alias("rows")
@@ -43,14 +44,14 @@ def cross_validated(
             F.sum("tf").alias("length"),
         )
     )
-    constants = _training_constants(docs, by_fold, by_term, alpha)
+    constants = _training_constants(bags, by_fold, by_term, alpha)
     odds = (
         F.coalesce("odds", F.lit(0.0))
         + F.coalesce("length", F.lit(0)) * F.col("per_token")
         + F.col("prior")
     )
     return (
-        docs.select("doc_id", "label", "fold")
+        bags.select("doc_id", "label", "fold")
         .join(per_doc, "doc_id", "left")
         .join(F.broadcast(constants), "fold")  # one row per fold
         .select("doc_id", "label", "fold", odds.alias("log_odds"))

@@ -77,16 +77,16 @@ def roc_bins(predictions: DataFrame, keys: Sequence[str] = ("fold",)) -> DataFra
     return running_totals(ties, keys, [F.desc("score")], {"tp": "pos", "fp": "neg"})
 
 
-def _class_sizes(predictions: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return predictions.groupBy(*keys).agg(
-        F.count_if(F.col("label") == 1).alias("n_pos"), F.count_if(F.col("label") == 0).alias("n_neg")
-    )
+def _sized_bins(predictions: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The bins with the class sizes of their group, which are sums over the bins already written."""
+    bins = roc_bins(predictions, keys)
+    sizes = bins.groupBy(*keys).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
+    return bins.join(sizes, list(keys))
 
 
 def roc_points(predictions: DataFrame, keys: Sequence[str] = ("fold",)) -> DataFrame:
     """(fpr, tpr, threshold) at every distinct score, for the probability of class 1."""
-    sized = roc_bins(predictions, keys).join(_class_sizes(predictions, keys), list(keys))
-    return sized.select(
+    return _sized_bins(predictions, keys).select(
         *keys,
         _ratio(F.col("fp"), F.col("n_neg")).alias("fpr"),
         _ratio(F.col("tp"), F.col("n_pos")).alias("tpr"),
@@ -98,8 +98,7 @@ def auc(predictions: DataFrame, keys: Sequence[str] = ("fold",)) -> DataFrame:
     """Area under the ROC curve, ties counted half; null when a class is missing."""
     wins = F.col("pos") * ((F.col("n_neg") - F.col("fp")) + F.col("neg") / 2)
     return (
-        roc_bins(predictions, keys)
-        .join(_class_sizes(predictions, keys), list(keys))
+        _sized_bins(predictions, keys)
         .groupBy(*keys)
         .agg(
             F.try_divide(F.sum(wins), F.first("n_pos").cast("double") * F.first("n_neg")).alias("auc")
@@ -114,7 +113,7 @@ def mean_roc(predictions: DataFrame, steps: int = 100, keys: Sequence[str] = ("f
     what is interpolated has ``steps + 1`` rows per fold whatever the number of documents.
     """
     points = roc_points(predictions, keys).select(*keys, "fpr", "tpr")
-    corners = predictions.select(*keys).distinct()
+    corners = points.select(*keys).distinct()
     points = points.unionByName(
         corners.select(*keys, F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
     )

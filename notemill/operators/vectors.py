@@ -42,15 +42,44 @@ def terms(text: Column, options: TermOptions = TermOptions()) -> Column:
     raise ValueError(f"unknown analyzer {options.analyzer!r}")
 
 
+def bag(found: Column) -> Column:
+    """(term, tf) of the distinct terms of an array, counted in the row: sorted, then cut into runs."""
+
+    def runs(ordered: Column) -> Column:
+        places = F.sequence(F.lit(0), F.size(ordered) - 1)
+        starts = F.filter(places, lambda i: (i == 0) | (F.get(ordered, i) != F.get(ordered, i - 1)))
+
+        def measured(first: Column) -> Column:
+            return F.transform(
+                first,
+                lambda i, k: F.struct(
+                    F.get(ordered, i).alias("term"),
+                    (F.coalesce(F.get(first, k + 1), F.size(ordered)) - i).cast("long").alias("tf"),
+                ),
+            )
+
+        return F.when(F.size(ordered) > 0, T.let(starts, measured))
+
+    return T.let(F.array_sort(found), runs)
+
+
+def term_bags(docs: DataFrame, options: TermOptions = TermOptions(), carry: Sequence[str] = ()) -> DataFrame:
+    """(doc_id, carried columns, bag): each row of ``docs`` is one document and stays where it is."""
+    found = terms(F.col("text"), options)
+    if options.binary:
+        counted = F.transform(
+            F.array_distinct(found), lambda t: F.struct(t.alias("term"), F.lit(1).cast("long").alias("tf"))
+        )
+    else:
+        counted = bag(found)
+    return docs.select("doc_id", *carry, counted.alias("bag"))
+
+
 def term_counts(
     docs: DataFrame, options: TermOptions = TermOptions(), carry: Sequence[str] = ()
 ) -> DataFrame:
-    """(doc_id, carried columns, term, tf). Documents are spread by id, so counting is local."""
-    exploded = docs.repartition("doc_id").select(
-        "doc_id", *carry, F.explode(terms(F.col("text"), options)).alias("term")
-    )
-    tf = F.lit(1).cast("long") if options.binary else F.count(F.lit(1))
-    return exploded.groupBy("doc_id", *carry, "term").agg(tf.alias("tf"))
+    """(doc_id, carried columns, term, tf), without a shuffle."""
+    return term_bags(docs, options, carry).select("doc_id", *carry, F.inline("bag"))
 
 
 def vocabulary(docs: DataFrame, options: TermOptions = TermOptions()) -> DataFrame:
@@ -82,17 +111,20 @@ def smoothed_idf(df: Column, n: Column) -> Column:
     return F.ln((1 + n) / (1 + df)) + 1
 
 
-def tfidf(docs: DataFrame, options: TermOptions = TermOptions()) -> DataFrame:
-    """(doc_id, term, tf, tfidf), each document's weights scaled to unit length."""
-    counts = term_counts(docs, options)
-    n = docs.agg(F.count(F.lit(1))).scalar()
+def tfidf(docs: DataFrame, options: TermOptions = TermOptions(), carry: Sequence[str] = ()) -> DataFrame:
+    """(doc_id, carried columns, term, tf, tfidf), each document's weights scaled to unit length."""
+    # Written once, one row a document: texts are tokenised for the counts and the vocabulary together.
+    bags = cut(term_bags(docs, options, carry))
+    counts = bags.select("doc_id", *carry, F.inline("bag"))
+    n = bags.agg(F.count(F.lit(1))).scalar()
+    df = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     # Written once: the join reads it for its hot and for its other terms.
-    vocab = cut(vocabulary(docs, options))
+    vocab = cut(bounded(df, options))
     idf = vocab.select("term", "df", smoothed_idf(F.col("df"), n).alias("idf"))
     weighted = lookup_join(counts, idf, "term", ["doc_id"], "inner", frequency="df").withColumn(
         "_w", F.col("tf") * F.col("idf")
     )
-    return unit_length(weighted, "doc_id", "_w", "tfidf").select("doc_id", "term", "tf", "tfidf")
+    return unit_length(weighted, "doc_id", "_w", "tfidf").select("doc_id", *carry, "term", "tf", "tfidf")
 
 
 def unit_length(weighted: DataFrame, doc: str, weight: str, name: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from notemill.operators import bayes, evaluate, neighbours, rules, sampling, vectors
@@ -214,38 +215,12 @@ SELECT label, CAST(rank AS INT) AS rank, term, weight FROM r WHERE rank <= 20"""
 def top_terms(spark, sf_dir):
     """Trigger-trimmed labelled corpus, TF-IDF, and the 20 heaviest terms per label."""
     docs = trigger_lines(corpus(spark, sf_dir), ["the", "tion", "[0-9]"])
-    weighted = vectors.tfidf(docs, TermOptions(min_df=2))
-    labels = docs.select("doc_id", "label")
-    summed = (
-        weighted.join(labels, "doc_id")
-        .groupBy("label", "term")
-        .agg(F.round(F.sum("tfidf"), 6).alias("weight"))
-    )
-    place = F.struct((-F.col("weight")).alias("minus"), "term")
-    return heaviest(summed, place, 20)
-
-
-def heaviest(summed, place, k):
-    """First ``k`` per label; every task keeps its own best before the labels are gathered."""
-    slot = F.pmod(F.xxhash64("term"), F.lit(1024))
-
-    def keep(df, *keys):
-        best = F.slice(F.array_sort(F.collect_list(place)), 1, k)
-        return df.groupBy("label", *keys).agg(best.alias("best"))
-
-    local = keep(summed.withColumn("_slot", slot), "_slot")
-    merged = F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, k)
-    return (
-        local.groupBy("label")
-        .agg(merged.alias("best"))
-        .select("label", F.posexplode("best").alias("pos", "b"))
-        .select(
-            "label",
-            (F.col("pos") + 1).alias("rank"),
-            F.col("b.term").alias("term"),
-            (-F.col("b.minus")).alias("weight"),
-        )
-    )
+    weighted = vectors.tfidf(docs, TermOptions(min_df=2), ["label"])
+    summed = weighted.groupBy("label", "term").agg(F.round(F.sum("tfidf"), 6).alias("weight"))
+    # Spark keeps the first 20 of a label in every task before it gathers them.
+    place = Window.partitionBy("label").orderBy(F.desc("weight"), "term")
+    ranked = summed.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= 20)
+    return ranked.select("label", "rank", "term", "weight")
 
 
 # --- closed-form classifiers ---------------------------------------------------------------------
@@ -381,8 +356,9 @@ nb AS (SELECT doc_id, label, fold, round(log_odds, 4) AS score, CAST(log_odds >
 
 
 def nb_predictions(spark, sf_dir):
-    # Folds are drawn on ids alone; the texts meet them in one shuffle by id.
-    folds = sampling.kfold(corpus(spark, sf_dir).select("doc_id", "label"), FOLDS)
+    # Folds are drawn on ids alone; the texts meet them in one shuffle by id, where the ids are hashed:
+    # left to itself, Spark may take a small table of texts for the side to broadcast.
+    folds = sampling.kfold(corpus(spark, sf_dir).select("doc_id", "label"), FOLDS).hint("shuffle_hash")
     out = bayes.cross_validated(documents(spark, sf_dir).join(folds, "doc_id"))
     return out.select("doc_id", "label", "fold", F.round("log_odds", 4).alias("score"), "pred")
 
