@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 from notemill.functions.text import anchored
 from notemill.operators import evaluate, models, sampling, text_models
 from notemill.operators.vectors import TermOptions, VocabularyTooLarge, prepare, preprocess
+from notemill.scale import hashed_rank
 from notemill.sources.sinks import feature_names
 
 METRICS = ("f1", "precision", "recall", "acc", "auc", "spc", "npv")
@@ -96,6 +97,10 @@ class FeatureStore:
 
 
 def fit(train: DataFrame, name: str, params: Mapping[str, object]):
+    """Fit a classifier; what has seen one class only predicts that class."""
+    seen = [r["label"] for r in train.select(F.col("label").cast("int")).distinct().limit(2).collect()]
+    if len(seen) == 1:
+        return models.OneClass(seen[0])
     if params.get("class_weight") == "balanced":
         train = models.with_weights(train)
     # Balanced weights add up to the number of rows.
@@ -320,17 +325,20 @@ def learning_curve(
 ) -> DataFrame:
     """(fraction, f1) on the test set for growing stratified shares of the training set."""
     features = features_of(train, options.mode, options.terms)
-    vectors = features.docs.persist()
+    # The shares grow along one order, which is drawn once.
+    ranked = hashed_rank(features.docs, "doc_id", options.seed, ["label"], "_rank", "_n").persist()
     tested = features.stages.transform(prepare(test, options.mode, options.terms)).persist()
-    points = []
-    for share in sampling.learning_sizes(least, most, step):
-        model = fit(sampling.stratified(vectors, share, seed=options.seed), options.classifier, options.params)
-        points.append(
-            evaluate.fold_metrics(models.predictions(model, tested), []).select(
-                F.lit(share).alias("fraction"), "f1"
-            )
-        )
-    return _union(points)
+    try:
+        points = []
+        for share in sampling.learning_sizes(least, most, step):
+            part = ranked.where(F.col("_rank") <= F.floor(F.col("_n") * share))
+            model = fit(part, options.classifier, options.params)
+            scored = evaluate.fold_metrics(models.predictions(model, tested), []).first()
+            points.append((share, scored["f1"]))
+    finally:
+        ranked.unpersist()
+        tested.unpersist()
+    return train.sparkSession.createDataFrame(points, "fraction double, f1 double")
 
 
 def options_from(text_options: str) -> dict[str, str | None]:

@@ -87,6 +87,17 @@ def make_classifier(name: str, options: Mapping[str, object], weight_sum: float
     return estimator
 
 
+@dataclass(frozen=True)
+class OneClass:
+    """Stands for a model whose training rows all had one label."""
+
+    label: int
+
+    def transform(self, docs: DataFrame) -> DataFrame:
+        sure = array_to_vector(F.array(F.lit(1.0 - self.label), F.lit(float(self.label))))
+        return docs.withColumn("prediction", F.lit(float(self.label))).withColumn("probability", sure)
+
+
 def with_weights(train: DataFrame) -> DataFrame:
     """Balanced class weights as a ``weight`` column; there is one weight per class to broadcast."""
     return train.join(F.broadcast(balance_weights(train).select("label", "weight")), "label")

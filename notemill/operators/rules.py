@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from notemill.functions import text as T
 from notemill.functions.text import flat_unique_lines, sentences, words
+from notemill.operators.vectors import bag
+from notemill.scale import cut, hashed_rank, lookup_join
 from notemill.sources.scans import read_list
 
 Rules = Sequence[str]
@@ -111,9 +113,9 @@ def predict_by(docs: DataFrame, rule: Callable[[Column], Column]) -> DataFrame:
     return docs.withColumn("pred", rule(F.col("text")).cast("int"))
 
 
-def skip_grams(text: Column, size: int = 2, gap: int = 1) -> Column:
-    """Distinct ordered word combinations of a text's sentences, up to ``size`` words with at most
-    ``gap`` words between neighbours, as words joined by a line feed."""
+def skip_grams(text: Column, size: int = 2, gap: int = 1, distinct: bool = True) -> Column:
+    """Ordered word combinations of a text's sentences, up to ``size`` words with at most ``gap``
+    words between neighbours, as words joined by a line feed; each one once, or as often as it occurs."""
     if size < 1:
         raise ValueError("combinations have at least one word")
     flat = F.regexp_replace(text, "\n", " ")
@@ -125,7 +127,8 @@ def skip_grams(text: Column, size: int = 2, gap: int = 1) -> Column:
             found += [_apart(ws, steps) for steps in itertools.product(range(1, gap + 2), repeat=words_after)]
         return F.concat(*found) if len(found) > 1 else found[0]
 
-    return F.array_distinct(F.flatten(F.transform(split, combine)))
+    found = F.flatten(F.transform(split, combine))
+    return F.array_distinct(found) if distinct else found
 
 
 def _apart(ws: Column, steps: tuple[int, ...]) -> Column:
@@ -162,6 +165,48 @@ def mine_rules(docs: DataFrame, size: int = 2, gap: int = 1, min_docs: int = 2)
     )
 
 
+def mined_predict(
+    train: DataFrame, test: DataFrame, share: float = 1.0, seed: int = 0, size: int = 2, gap: int = 1, min_docs: int = 2
+) -> DataFrame:
+    """Rules mined from a stratified share of ``train``, weighed on all of it, applied to ``test``.
+
+    A combination weighs its hits per matching document, one added to both counts, in each class; a
+    document adds up the weights of its combinations and is 1 when the positive sum is larger. The
+    statistics are joined to the combinations of each document, so thousands of rules cost a join and
+    no pattern is searched. ``share`` bounds the labelled sample that rules come from.
+    """
+    bags = cut(train.select("doc_id", "label", bag(skip_grams(F.col("text"), size, gap, False)).alias("bag")))
+    drawn = hashed_rank(bags.select("doc_id", "label"), "doc_id", seed, ["label"], "_rank", "_n")
+    drawn = drawn.select("doc_id", (F.col("_rank") <= F.floor(F.col("_n") * share)).alias("drawn"))
+    hits = bags.join(drawn, "doc_id").select("label", "drawn", F.inline("bag"))
+    pos, neg = F.col("label") == 1, F.col("label") == 0
+    weights = (
+        hits.groupBy("term")
+        .agg(
+            F.count(F.lit(1)).alias("docs"),
+            F.max("drawn").alias("drawn"),
+            _weight(pos).alias("pos"),
+            _weight(neg).alias("neg"),
+        )
+        .where(F.col("drawn") & (F.col("docs") >= min_docs))
+        .select("term", "pos", "neg")
+    )
+    asked = test.select("doc_id", "label", F.explode_outer(skip_grams(F.col("text"), size, gap)).alias("term"))
+    return (
+        lookup_join(asked, cut(weights), "term", ["doc_id"])
+        .groupBy("doc_id", "label")
+        .agg(
+            (1.0 + F.coalesce(F.sum("pos"), F.lit(0.0))).alias("pos_score"),
+            (1.0 + F.coalesce(F.sum("neg"), F.lit(0.0))).alias("neg_score"),
+        )
+        .withColumn("pred", (F.col("pos_score") / F.col("neg_score") > 1).cast("int"))
+    )
+
+
+def _weight(of_class: Column) -> Column:
+    return (1 + F.coalesce(F.sum(F.when(of_class, F.col("tf"))), F.lit(0))) / (1 + F.count_if(of_class))
+
+
 def combination_pattern(combination: Column, gap: int) -> Column:
     """Regular expression of a mined combination, its words quoted and up to ``gap`` words between."""
     quoted = F.transform(

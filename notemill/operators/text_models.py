@@ -37,8 +37,13 @@ def _bit_knn(train: DataFrame, test: DataFrame, params: Mapping[str, object]) ->
     )
 
 
+def _mined(train: DataFrame, test: DataFrame, params: Mapping[str, object]) -> DataFrame:
+    return rules.mined_predict(train, test, **params)
+
+
 TEXT_CLASSIFIERS: dict[str, Predictor] = {
     "rules": _rules,
+    "mined_rules": _mined,
     "class_print": _prints,
     "bit_knn": _bit_knn,
     "majority": lambda train, test, params: bayes.majority(test, train),

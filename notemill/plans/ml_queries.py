@@ -1,6 +1,6 @@
 """Fitted ``pyspark.ml`` models: cross-validation, grids, hold-out tests and learning curves.
 
-Fitting is iterative and has no SQL counterpart, so most of these have no check there.
+Bayes has a closed form and is checked in SQL; iterative fits have no counterpart there.
 """
 
 from __future__ import annotations
@@ -10,53 +10,94 @@ from pyspark.sql import functions as F
 from notemill.operators import evaluate, experiments, models, sampling
 from notemill.operators.experiments import RunOptions
 from notemill.operators.vectors import TermOptions
-from notemill.plans.base import corpus, query, table
+from notemill.plans.base import CORPUS_SQL, corpus, query, shuffle_sql, table, tokens_sql
 
 TERMS = TermOptions(min_df=5)
+FOLDS = 5
+
+# Multinomial Bayes in SQL: ``trn`` and ``tst`` hold (run, doc_id, label), ``alphas`` (run, alpha), ``voc`` the terms.
+BAYES_SQL = """
+mass AS (SELECT run, term, coalesce(sum(tf) FILTER (label = 1), 0) AS pos, coalesce(sum(tf) FILTER (label = 0), 0) AS neg
+  FROM trn JOIN tf USING (doc_id) JOIN voc USING (term) GROUP BY run, term),
+tot AS (SELECT run, sum(pos) AS pos, sum(neg) AS neg FROM mass GROUP BY run),
+cls AS (SELECT run, count(*) FILTER (label = 1) AS pos, count(*) FILTER (label = 0) AS neg FROM trn GROUP BY run),
+odds AS (SELECT t.run, t.doc_id, sum(tf.tf) AS length,
+    sum(tf.tf * (ln(coalesce(m.pos, 0) + a.alpha) - ln(coalesce(m.neg, 0) + a.alpha))) AS odds
+  FROM tst t JOIN alphas a USING (run) JOIN tf USING (doc_id) JOIN voc USING (term)
+  LEFT JOIN mass m ON m.run = t.run AND m.term = tf.term GROUP BY t.run, t.doc_id),
+bayes AS (SELECT t.run, t.doc_id, t.label, CASE WHEN c.neg = 0 THEN 1 WHEN c.pos = 0 THEN 0 ELSE CAST(coalesce(o.odds, 0) + coalesce(o.length, 0)
+    * (ln(w.neg + (SELECT count(*) FROM voc) * a.alpha) - ln(w.pos + (SELECT count(*) FROM voc) * a.alpha))
+    + ln(c.pos + a.alpha) - ln(c.neg + a.alpha) > 0 AS INT) END AS pred
+  FROM tst t JOIN alphas a USING (run) JOIN cls c USING (run) JOIN tot w USING (run)
+  LEFT JOIN odds o ON o.run = t.run AND o.doc_id = t.doc_id),
+cm AS (SELECT run, count(*) FILTER (pred = 1 AND label = 1) AS tp, count(*) FILTER (pred = 1 AND label = 0) AS fp,
+   count(*) FILTER (pred = 0 AND label = 1) AS fn, count(*) FILTER (pred = 0 AND label = 0) AS tn FROM bayes GROUP BY run)"""
+
+TF_SQL = f"tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({tokens_sql()}) AS term FROM corpus) GROUP BY ALL)"
+VOC_SQL = "voc AS (SELECT term FROM tf GROUP BY term HAVING count(*) >= 5)"
+
+
+def _folds_sql(folds: int) -> str:
+    return f"f AS (SELECT doc_id, label, CAST(ntile({folds}) OVER (ORDER BY {shuffle_sql(0)}) - 1 AS INT) AS fold FROM corpus)"
+
+
+def _part(a: str, b: str) -> str:
+    return f"CASE WHEN {b} = 0 THEN 0 ELSE round(({a}) / ({b}), 6) END"
 
 
 def _cross_validated(spark, sf_dir, classifier, mode="tfidf", **params):
     docs = corpus(spark, sf_dir)
-    options = RunOptions(classifier, folds=3, mode=mode, terms=TERMS, params=params)
+    options = RunOptions(classifier, folds=FOLDS, mode=mode, terms=TERMS, params=params)
     store = experiments.FeatureStore(docs)
     return experiments.cross_validate(store.get(options), options)
 
 
 @query("svm_cv")
 def svm_cv(spark, sf_dir):
-    return _cross_validated(spark, sf_dir, "LinearSVC", C=1.0, class_weight="balanced", max_iter=20).metrics()
+    return _cross_validated(spark, sf_dir, "LinearSVC", C=1.0, class_weight="balanced", max_iter=100).metrics()
 
 
 @query("logreg_cv")
 def logreg_cv(spark, sf_dir):
-    return _cross_validated(spark, sf_dir, "LogisticRegression", C=10.0, max_iter=20).metrics()
+    return _cross_validated(spark, sf_dir, "LogisticRegression", C=10.0, max_iter=100).metrics()
 
 
-@query("nb_cv")
+@query(
+    "nb_cv",
+    f"""
+WITH {CORPUS_SQL}, {TF_SQL}, {VOC_SQL}, {_folds_sql(FOLDS)},
+alphas AS (SELECT DISTINCT fold AS run, 1.0 AS alpha FROM f),
+trn AS (SELECT a.run, f.doc_id, f.label FROM alphas a JOIN f ON f.fold <> a.run),
+tst AS (SELECT fold AS run, doc_id, label FROM f), {BAYES_SQL}
+SELECT run AS fold, tp, fp, fn, tn, {_part("tp", "tp + fp")} AS precision, {_part("tp", "tp + fn")} AS recall,
+  {_part("2 * tp", "2 * tp + fp + fn")} AS f1, {_part("tp + tn", "tp + fp + fn + tn")} AS acc,
+  {_part("tn", "tn + fp")} AS spc, {_part("tn", "tn + fn")} AS npv FROM cm""",
+)
 def nb_cv(spark, sf_dir):
-    return _cross_validated(spark, sf_dir, "MultinomialNB", "count", alpha=1.0).metrics()
+    found = _cross_validated(spark, sf_dir, "MultinomialNB", "count", alpha=1.0).metrics()
+    return found.select(*[F.round(c, 6).alias(c) if c in evaluate.METRICS else F.col(c) for c in found.columns])
 
 
 @query("forest_cv")
 def forest_cv(spark, sf_dir):
     return _cross_validated(
-        spark, sf_dir, "RandomForestClassifier", n_estimators=10, max_depth=4, random_state=1
+        spark, sf_dir, "RandomForestClassifier", n_estimators=40, max_depth=5, random_state=1
     ).metrics()
 
 
 @query("feature_weights")
 def feature_weights(spark, sf_dir):
     """One row per term, one column per fold."""
-    result = _cross_validated(spark, sf_dir, "LinearSVC", C=1.0, max_iter=10)
-    return evaluate.weight_pivot(result.weights, 3)
+    result = _cross_validated(spark, sf_dir, "LinearSVC", C=1.0, max_iter=100)
+    return evaluate.weight_pivot(result.weights, FOLDS)
 
 
 @query("rff_svm")
 def rff_svm(spark, sf_dir):
     features = experiments.features_of(corpus(spark, sf_dir), "tfidf", TERMS)
-    mapped = models.random_fourier(features.docs, size=64, gamma=0.5)
-    split = sampling.holdout(mapped, 0.2).persist()
-    model = experiments.fit(split.where("is_test = 0"), "LinearSVC", {"C": 1.0, "max_iter": 10})
+    mapped = models.random_fourier(features.docs, size=256, gamma=0.5)
+    split = sampling.holdout(mapped, 0.2)
+    model = experiments.fit(split.where("is_test = 0"), "LinearSVC", {"C": 1.0, "max_iter": 100})
     return evaluate.fold_metrics(models.predictions(model, split.where("is_test = 1")), [])
 
 
@@ -64,16 +105,29 @@ def rff_svm(spark, sf_dir):
 def holdout_eval(spark, sf_dir):
     """Refit on four fifths of the corpus, predict the rest with the same stages."""
     split = sampling.holdout(corpus(spark, sf_dir), 0.2)
-    options = RunOptions("LogisticRegression", terms=TERMS, params={"max_iter": 10})
+    options = RunOptions("LogisticRegression", terms=TERMS, params={"max_iter": 100})
     predictions, _ = experiments.evaluate_on(split.where("is_test = 0"), split.where("is_test = 1"), options)
     return predictions
 
 
-@query("learning_curve")
+@query(
+    "learning_curve",
+    f"""
+WITH {CORPUS_SQL}, {TF_SQL},
+h AS (SELECT doc_id, label, row_number() OVER (ORDER BY {shuffle_sql(0)}) <= ceil(count(*) OVER () * 0.2) AS is_test FROM corpus),
+voc AS (SELECT term FROM tf JOIN h USING (doc_id) WHERE NOT is_test GROUP BY term HAVING count(*) >= 5),
+s AS (SELECT doc_id, label, row_number() OVER (PARTITION BY label ORDER BY {shuffle_sql(0)}) AS r,
+        count(*) OVER (PARTITION BY label) AS n FROM h WHERE NOT is_test),
+alphas AS (SELECT unnest([10, 20, 30, 40, 50, 60, 70, 80, 90, 100]) AS run, 1.0 AS alpha),
+trn AS (SELECT a.run, s.doc_id, s.label FROM alphas a JOIN s ON s.r <= floor(s.n * (a.run / 100))),
+tst AS (SELECT a.run, h.doc_id, h.label FROM alphas a JOIN h ON h.is_test), {BAYES_SQL}
+SELECT run / 100 AS fraction, {_part("2 * tp", "2 * tp + fp + fn")} AS f1 FROM cm""",
+)
 def learning_curve(spark, sf_dir):
     split = sampling.holdout(corpus(spark, sf_dir), 0.2)
     options = RunOptions("MultinomialNB", mode="count", terms=TERMS, params={"alpha": 1.0})
-    return experiments.learning_curve(split.where("is_test = 0"), split.where("is_test = 1"), options, 40, 101, 30)
+    curve = experiments.learning_curve(split.where("is_test = 0"), split.where("is_test = 1"), options, 10, 101, 10)
+    return curve.select("fraction", F.round("f1", 6).alias("f1"))
 
 
 @query("grid_runs")
@@ -81,20 +135,40 @@ def grid_runs(spark, sf_dir):
     """A small grid, one combination of which the estimator does not offer."""
     grid = experiments.grid({"loss": ["hinge", "squared_hinge"], "C": [1.0]})
     runs = [
-        RunOptions("LinearSVC", folds=2, terms=TERMS, params={**row, "max_iter": 5}) for row in grid
+        RunOptions("LinearSVC", folds=2, terms=TERMS, params={**row, "max_iter": 100}) for row in grid
     ]
     return experiments.run_grid(corpus(spark, sf_dir), runs).drop("options")
 
 
-@query("grid_search")
+SMOOTHING = [0.1, 0.5, 1.0, 2.0]
+
+
+@query(
+    "grid_search",
+    f"""
+WITH {CORPUS_SQL}, {TF_SQL}, {VOC_SQL}, {_folds_sql(FOLDS)},
+alphas AS (SELECT fold * 1000 + CAST(alpha * 100 AS INT) AS run, fold, alpha FROM
+  (SELECT DISTINCT fold FROM f), (SELECT CAST(unnest({SMOOTHING}) AS DOUBLE) AS alpha)),
+trn AS (SELECT a.run, f.doc_id, f.label FROM alphas a JOIN f ON f.fold <> a.fold),
+tst AS (SELECT a.run, f.doc_id, f.label FROM alphas a JOIN f ON f.fold = a.fold), {BAYES_SQL}
+SELECT alpha AS smoothing, round(avg((CASE WHEN tp + fp = 0 THEN 0 ELSE tp / (tp + fp) END
+  + CASE WHEN tn + fn = 0 THEN 0 ELSE tn / (tn + fn) END) / 2), 6) AS precision_macro
+FROM cm JOIN alphas USING (run) GROUP BY alpha""",
+)
 def grid_search(spark, sf_dir):
     """Mean macro precision of each candidate by the built-in search."""
     features = experiments.features_of(corpus(spark, sf_dir), "count", TERMS)
     vectors = features.docs.persist()
-    found = experiments.grid_search(
-        vectors, "MultinomialNB", {"smoothing": [0.5, 1.0]}, "precision_macro", folds=2
-    )
-    rows = [(float(p[found.getEstimator().smoothing]), float(m)) for p, m in zip(found.getEstimatorParamMaps(), found.avgMetrics)]
+    try:
+        found = experiments.grid_search(
+            vectors, "MultinomialNB", {"smoothing": SMOOTHING}, "precision_macro", folds=FOLDS
+        )
+    finally:
+        vectors.unpersist()
+    rows = [
+        (float(p[found.getEstimator().smoothing]), round(float(m), 6))
+        for p, m in zip(found.getEstimatorParamMaps(), found.avgMetrics)
+    ]
     return spark.createDataFrame(rows, "smoothing double, precision_macro double")
 
 

@@ -310,6 +310,30 @@ def mined_rules(spark, sf_dir):
     return rules.mine_rules(corpus(spark, sf_dir), size=2, gap=1, min_docs=5)
 
 
+@query(
+    "mined_rule_predict",
+    f"""
+WITH {CORPUS_SQL}, {SENTENCE_SQL},
+g AS (SELECT doc_id, unnest(w) AS term FROM ws
+  UNION ALL SELECT doc_id, w[i] || chr(10) || w[i + 1] FROM (SELECT doc_id, w, unnest(range(1, len(w))) AS i FROM ws)
+  UNION ALL SELECT doc_id, w[i] || chr(10) || w[i + 2] FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM ws)),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM g GROUP BY doc_id, term),
+s AS (SELECT doc_id, label, row_number() OVER (PARTITION BY label ORDER BY {shuffle_sql(0)})
+        <= floor(count(*) OVER (PARTITION BY label) * 0.5) AS drawn FROM corpus),
+weight AS (SELECT term,
+   (1 + coalesce(sum(tf) FILTER (label = 1), 0)) / (1 + count(*) FILTER (label = 1)) AS pos,
+   (1 + coalesce(sum(tf) FILTER (label = 0), 0)) / (1 + count(*) FILTER (label = 0)) AS neg
+   FROM tf JOIN s USING (doc_id) GROUP BY term HAVING bool_or(drawn) AND count(*) >= 5),
+p AS (SELECT c.doc_id, c.label, 1 + coalesce(sum(w.pos), 0) AS pos, 1 + coalesce(sum(w.neg), 0) AS neg
+   FROM corpus c LEFT JOIN tf USING (doc_id) LEFT JOIN weight w USING (term) GROUP BY c.doc_id, c.label)
+SELECT doc_id, label, round(pos, 5) AS pos_score, round(neg, 5) AS neg_score, CAST(pos / neg > 1 AS INT) AS pred FROM p""",
+)
+def mined_rule_predict(spark, sf_dir):
+    docs = corpus(spark, sf_dir)
+    out = rules.mined_predict(docs, docs, share=0.5, min_docs=5)
+    return _rounded(out, ("pos_score", "neg_score"), 5)
+
+
 @query(
     "majority",
     f"""

@@ -11,7 +11,7 @@ import __spark_entry__ as entry_module
 from notemill.plans.catalog import QUERIES, SQL
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-FITTED = {"svm_cv", "logreg_cv", "nb_cv", "forest_cv", "rff_svm", "feature_weights", "grid_runs", "grid_search", "holdout_eval", "learning_curve"}
+FITTED = {"svm_cv", "logreg_cv", "forest_cv", "rff_svm", "feature_weights", "grid_runs", "holdout_eval"}
 
 
 @pytest.fixture(scope="module")
