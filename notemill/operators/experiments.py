@@ -167,8 +167,12 @@ def run_grid(
     runs: Iterable[RunOptions],
     finished: DataFrame | None = None,
     parallelism: int = 2,
+    record: str | None = None,
 ) -> DataFrame:
-    """One result row per run, failures included; runs whose key is in ``finished`` are left out."""
+    """One result row per run, failures included; runs whose key is in ``finished`` are left out.
+
+    With ``record``, a shared folder, the parts of every run are kept there: see ``write_record``.
+    """
     spark = docs.sparkSession
     wanted = [(i, r) for i, r in enumerate(runs)]
     if finished is not None:
@@ -192,24 +196,74 @@ def run_grid(
             "classifier": r.classifier,
             "options": {k: str(v) for k, v in {**vars(r.terms), **r.params, "mode": r.mode}.items()},
         }
+        predictions = weights = None
         try:
             if r.classifier in text_models.TEXT_CLASSIFIERS:
                 predictions = text_models.cross_validate(docs, r.classifier, r.params, r.folds, r.seed).persist()
             else:
-                predictions = cross_validate(store.get(r), r).predictions
+                result = cross_validate(store.get(r), r)
+                predictions, weights = result.predictions.persist(), result.weights
+            if record is not None:
+                write_record(record, seq, predictions, r.folds, weights)
             summary = evaluate.fold_summary(evaluate.fold_metrics(predictions)).first()
             area = evaluate.auc(predictions).agg(F.avg("auc")).first()[0]
             row.update({m: summary[m] for m in ("precision", "recall", "f1", "std", "acc", "spc", "npv")}, auc=area)
         except Exception as problem:  # a failed combination is a row, the grid goes on
             row["error"] = f"{type(problem).__name__}: {problem}"
+        finally:
+            if predictions is not None:
+                predictions.unpersist()
         return row
 
-    with ThreadPoolExecutor(parallelism) as pool:
-        rows = list(pool.map(one, wanted))
-    store.close()
+    try:
+        with ThreadPoolExecutor(parallelism) as pool:
+            rows = list(pool.map(one, wanted))
+    finally:
+        store.close()
     return spark.createDataFrame(rows, RESULT_SCHEMA)
 
 
+RECORD_PARTS = ("counts", "curves", "misses", "predictions", "weights")
+
+
+def write_record(path: str, seq: int, predictions: DataFrame, folds: int, weights: DataFrame | None = None) -> None:
+    """Keep the parts of a run as tables under ``path``, one folder per part and run.
+
+    Outcome counts and curves per fold, ids of the misses, predictions with one column per fold, and
+    term weights where the model has any. A run that is repeated replaces its own parts.
+    """
+    parts = {
+        "counts": evaluate.fold_metrics(predictions),
+        "curves": evaluate.roc_points(predictions),
+        "misses": predictions.where(F.col("pred") != F.col("label")).select("doc_id").distinct(),
+        "predictions": evaluate.prediction_pivot(predictions, folds),
+    }
+    if weights is not None:
+        parts["weights"] = evaluate.weight_pivot(weights, folds)
+    for name, part in parts.items():
+        part.write.mode("overwrite").parquet(f"{path}/{name}/seq={seq}")
+
+
+def recorded(spark: SparkSession, path: str, part: str) -> DataFrame:
+    """One part of all recorded runs, with the run's ``seq``."""
+    if part not in RECORD_PARTS:
+        raise ValueError(f"unknown part {part!r}; known: {RECORD_PARTS}")
+    return spark.read.option("mergeSchema", True).parquet(f"{path}/{part}")
+
+
+def export_best(spark: SparkSession, runs: DataFrame, path: str, metric: str = "f1") -> dict[str, DataFrame]:
+    """Every recorded part of the best run; a part its classifier does not have is left out."""
+    best = best_run(runs, metric).first()
+    if best is None:
+        return {}
+    found = {}
+    for part in RECORD_PARTS:
+        if part == "weights" and best["classifier"] in text_models.TEXT_CLASSIFIERS:
+            continue
+        found[part] = recorded(spark, path, part).where(F.col("seq") == best["seq"])
+    return found
+
+
 def remaining(wanted: DataFrame, finished: DataFrame, key: str = "run_key") -> DataFrame:
     return wanted.join(finished.select(key), key, "left_anti")
 

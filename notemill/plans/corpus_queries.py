@@ -486,3 +486,16 @@ def typed_literals(spark, sf_dir):
 def run_counts(spark, sf_dir):
     notes = table(spark, sf_dir, "conversations")
     return C.run_counts(notes, from_user=F.col("role") == "user", long_notes=F.length("text") > 200)
+
+
+@query(
+    "file_names",
+    """SELECT doc_id, source || '-' || CAST(doc_id AS VARCHAR) AS name, ' ' || coalesce(lang, '') || ' ' AS padded FROM documents""",
+)
+def file_names(spark, sf_dir):
+    """Ids read from file names, and padded values."""
+    path = F.concat(F.lit("/notes/yes/"), "source", F.lit("-"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", path.alias("path"))
+    return docs.select(
+        "doc_id", T.doc_id_of(F.col("path")).alias("name"), T.pad(F.coalesce("lang", F.lit(""))).alias("padded")
+    )

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
-from notemill.operators import text_models
+import uuid
+
+from pyspark.sql import functions as F
+
+from notemill.operators import experiments, text_models
+from notemill.operators.experiments import RunOptions
 from notemill.plans.base import CORPUS_SQL, corpus, query, shuffle_sql
 from notemill.plans.model_queries import ENTITY_SQL, RULES
+from notemill.scale import shared_folder
 
 FOLDS = 5
 SIZE, NEAREST = 10, 5
@@ -93,3 +99,40 @@ def bit_knn_cv(spark, sf_dir):
 @query("rule_cv", per_fold_sql(RULE_SQL))
 def rule_cv(spark, sf_dir):
     return _cross_validated(spark, sf_dir, "rules", rules=RULES)
+
+
+# --- records of a grid ---------------------------------------------------------------------------
+
+RECORD_SQL = f"""
+p AS (SELECT 0 AS seq, * FROM ({per_fold_sql(RULE_SQL)}) UNION ALL SELECT 1, * FROM ({per_fold_sql(MAJORITY_SQL)})),
+c AS (SELECT seq, fold, count(*) FILTER (pred = 1 AND label = 1) AS tp, count(*) FILTER (pred = 1 AND label = 0) AS fp,
+   count(*) FILTER (pred = 0 AND label = 1) AS fn, count(*) FILTER (pred = 0 AND label = 0) AS tn FROM p GROUP BY seq, fold),
+f AS (SELECT seq, avg(CASE WHEN 2 * tp + fp + fn = 0 THEN 0 ELSE 2 * tp / (2 * tp + fp + fn) END) AS f1 FROM c GROUP BY seq),
+best AS (SELECT seq FROM f WHERE f1 > 0 ORDER BY f1 DESC, seq LIMIT 1)"""
+
+
+def _recorded_grid(spark, sf_dir):
+    runs = [
+        RunOptions("rules", FOLDS, "text", params={"rules": RULES}),
+        RunOptions("majority", FOLDS, "text"),
+    ]
+    folder = f"{shared_folder(spark)}/runs-{uuid.uuid4().hex}"
+    return experiments.run_grid(corpus(spark, sf_dir), runs, record=folder), folder
+
+
+@query("run_record", f"WITH {RECORD_SQL} SELECT * FROM c")
+def run_record(spark, sf_dir):
+    """Outcome counts per run and fold, read back from the record of a grid."""
+    _, folder = _recorded_grid(spark, sf_dir)
+    counts = experiments.recorded(spark, folder, "counts")
+    return counts.select("seq", "fold", "tp", "fp", "fn", "tn")
+
+
+@query(
+    "run_export",
+    f"WITH {RECORD_SQL} SELECT CAST(seq AS INT) AS seq, doc_id FROM p JOIN best USING (seq) WHERE pred <> label",
+)
+def run_export(spark, sf_dir):
+    """Misses of the best run of a recorded grid."""
+    runs, folder = _recorded_grid(spark, sf_dir)
+    return experiments.export_best(spark, runs, folder)["misses"].select(F.col("seq").cast("int").alias("seq"), "doc_id")

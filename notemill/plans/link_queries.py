@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from notemill.functions import features as X
-from notemill.operators import concepts, consumption, linkage
-from notemill.plans.base import documents, query, table, tokens_sql
+from notemill.operators import concepts, consumption, corpus, linkage
+from notemill.plans.base import documents, query, strip_sql, table, tokens_sql
 from notemill.plans.model_queries import NEAREST_SQL, embedding_neighbours
+from notemill.sources import scans
 from notemill.sources.scans import spread
 
 # --- linkage -------------------------------------------------------------------------------------
@@ -59,6 +60,44 @@ def link_unmatched(spark, sf_dir):
     return linkage.unmatched(patients, links).select("patient_id")
 
 
+@query(
+    "notes_to_corpus",
+    r"""
+WITH notes AS (SELECT conv_id, turn, regexp_replace(regexp_replace(text, '[\r\n]', ' ', 'g'), '\s+$', '') AS t FROM conversations),
+doc AS (SELECT n.conv_id, c.c_acctbal, CASE WHEN n.conv_id % 2 = 0 THEN 'exact' ELSE 'padded' END AS tier,
+    replace(string_agg(n.t, '' ORDER BY n.turn), '. ', '.' || chr(10)) AS text
+  FROM notes n JOIN customer c ON c.c_custkey = n.conv_id GROUP BY ALL),
+l AS (SELECT conv_id, pos, lower({strip}) AS line FROM (
+  SELECT conv_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM doc)),
+k AS (SELECT conv_id, pos, line, r.c FROM (SELECT *, CASE WHEN line = '' THEN 0 WHEN line LIKE '%:' AND length(line) > 2 THEN 1
+    ELSE CAST(line LIKE '%the%' AS INT) + CAST(line LIKE '%tion%' AS INT) END AS n FROM l), range(2) r(c) WHERE r.c < n),
+t AS (SELECT conv_id, string_agg(line, chr(10) ORDER BY pos, c) AS text FROM k GROUP BY conv_id)
+SELECT CAST(d.conv_id AS VARCHAR) AS doc_id, CAST(d.c_acctbal > 0 AS INT) AS label, d.tier,
+  md5(coalesce(t.text, '')) AS text_md5 FROM doc d LEFT JOIN t USING (conv_id)""".replace("{strip}", strip_sql("line")),
+)
+def notes_to_corpus(spark, sf_dir):
+    """From raw note lines to a labelled corpus: scan, link, merge by patient, trim to trigger lines."""
+    ident = F.col("conv_id").cast("string")
+    written = F.when(F.col("conv_id") % 2 == 0, ident).otherwise(F.concat(F.lit("00"), ident))
+    raw = table(spark, sf_dir, "conversations").select(
+        F.col("turn").alias("seq"),
+        F.concat_ws("||", written, F.lit(""), "role", F.regexp_replace("text", "[\r\n]", " ")).alias("value"),
+    )
+    notes = scans.parse_notes(raw)
+    diagnosis = table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").cast("string").alias("diag_id"),
+        F.col("c_custkey").alias("diag_seq"),
+        (F.col("c_acctbal") > 0).cast("int").alias("label"),
+    )
+    patients = notes.select("patient_id", F.lit("").alias("patient_name")).distinct()
+    links = linkage.link(patients, diagnosis.drop("label"), fuzzy=False).join(diagnosis.select("diag_id", "label"), "diag_id")
+    linked = corpus.with_diagnosis(notes, links.select("patient_id", "diag_id", "label", "tier"))
+    docs = corpus.merge_text(linked, ["diag_id", "label", "tier"], "seq", "note_text")
+    lines = docs.withColumn("text", F.replace("text", F.lit(". "), F.lit(".\n")))
+    trimmed = corpus.trigger_lines(lines, ["the", "tion"])
+    return trimmed.select(F.col("diag_id").alias("doc_id"), "label", "tier", F.md5("text").alias("text_md5"))
+
+
 @query("link_fuzzy")
 def link_fuzzy(spark, sf_dir):
     """All tiers: ids with a dropped or moved part, names with a changed letter.

@@ -219,6 +219,11 @@ def best_run(spark, sf_dir):
     return experiments.best_run(runs_table(spark, sf_dir)).select("seq", "f1", "precision")
 
 
+@query("run_by_index", f"WITH {RUNS_SQL} SELECT seq, f1, precision FROM runs WHERE seq = 7")
+def run_by_index(spark, sf_dir):
+    return experiments.run_at(runs_table(spark, sf_dir), 7).select("seq", "f1", "precision")
+
+
 @query(
     "grid_rows",
     """

@@ -164,6 +164,19 @@ def char_terms(spark, sf_dir):
     return vectors.vocabulary(docs, TermOptions(3, 3, analyzer="char", min_df=5))
 
 
+@query(
+    "word_bound_char_terms",
+    r"""
+WITH w AS (SELECT doc_id, string_split(' ' || w || ' ', '') AS c FROM (
+  SELECT doc_id, unnest(string_split_regex(regexp_replace(lower(text), '\s\s+', ' ', 'g'), '\s+')) AS w FROM documents) WHERE w <> ''),
+g AS (SELECT doc_id, c[i] || c[i + 1] || c[i + 2] AS term FROM (SELECT doc_id, c, unnest(range(1, len(c) - 1)) AS i FROM w))
+SELECT term, count(DISTINCT doc_id) AS df FROM g GROUP BY term HAVING count(DISTINCT doc_id) >= 5""",
+)
+def word_bound_char_terms(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    return vectors.vocabulary(docs, TermOptions(3, 3, analyzer="char_wb", min_df=5))
+
+
 @query(
     "indexed_vocabulary",
     f"""
