@@ -293,16 +293,16 @@ def merged_text(spark, sf_dir):
     "merged_sources",
     """
 WITH s AS (SELECT conv_id, role, string_agg(text, '' ORDER BY turn) AS text
-           FROM conversations WHERE role IN ('user', 'assistant') GROUP BY conv_id, role)
-SELECT conv_id, md5(string_agg(text, '' ORDER BY CASE role WHEN 'user' THEN 0 ELSE 1 END)) AS text_md5
+           FROM conversations GROUP BY conv_id, role)
+SELECT conv_id, md5(string_agg(text, '' ORDER BY CASE role WHEN 'system' THEN 0 WHEN 'user' THEN 1 ELSE 2 END)) AS text_md5
 FROM s GROUP BY conv_id""",
 )
 def merged_sources(spark, sf_dir):
     notes = table(spark, sf_dir, "conversations")
-    halves = [
-        C.merge_text(notes.where(F.col("role") == role), ["conv_id"], "turn") for role in ("user", "assistant")
+    parts = [
+        C.merge_text(notes.where(F.col("role") == role), ["conv_id"], "turn") for role in ("system", "user", "assistant")
     ]
-    return C.merge_corpora(halves, "conv_id").select("conv_id", F.md5("text").alias("text_md5"))
+    return C.merge_corpora(parts, "conv_id").select("conv_id", F.md5("text").alias("text_md5"))
 
 
 @query(
