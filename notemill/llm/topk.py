@@ -1,6 +1,6 @@
 """Exact top-k inner products by block-at-a-time pruning.
 
-Vectors are range-sorted by their nearest pivot and id and cut into blocks of ``BLOCK`` rows. A block
+Rows are first made distinct by id and quantised vector. Vectors are range-sorted by their nearest pivot and id and cut into blocks of ``BLOCK`` rows. A block
 keeps its forward index (the quantised rows) and the smallest and largest value of each term. The sum over
 terms of the query's weight times the extreme that suits its sign bounds every score inside. Per query,
 blocks are scored in falling order of that bound until it drops below the k-th best score.
@@ -69,11 +69,24 @@ def valid(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
     )
 
 
+def distinct(rows: DataFrame) -> DataFrame:
+    """Rows that differ in id or quantised vector, trailing zeros aside; ``x`` becomes a multiple of 1 / SCALE.
+
+    The aggregation is partial first, so a hot row reaches the shuffle once a task.
+    """
+    bound = F.lit(float(LARGEST))
+    step = lambda v: F.floor(F.greatest(F.least(v * SCALE, bound), -bound)).cast("double") / SCALE
+    exact = rows.select("vec_id", F.transform("x", step).alias("x"))
+    last = F.array_position(F.reverse(F.transform("x", lambda v: v != 0)), F.lit(True))
+    size = F.when(last > 0, F.size("x") - last + 1).otherwise(F.lit(0)).cast("int")
+    return exact.select("vec_id", F.slice("x", F.lit(1), size).alias("x")).distinct()
+
+
 def top_k(
     vectors: DataFrame, every: int = 50, k: int = 5, vec_id: str = "vec_id", embedding: str = "embedding"
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` best rows for each row whose id is divisible by ``every``."""
-    rows = valid(vectors, vec_id, embedding)
+    rows = cut(distinct(valid(vectors, vec_id, embedding)))
     blocks = cut(index_blocks(rows))
     queries = cut(
         rows.where(F.col("vec_id") % every == 0)
@@ -135,10 +148,8 @@ def index_blocks(rows: DataFrame) -> DataFrame:
 
 def block_of(table: pa.Table) -> pa.RecordBatch:
     table = table.combine_chunks()
-    ids = table.column("vec_id").to_numpy()
+    ids = np.ascontiguousarray(table.column("vec_id").to_numpy())
     matrix = quantised(table.column("x").chunk(0))
-    both = np.unique(np.column_stack([ids, matrix]), axis=0)  # repeated rows count once
-    ids, matrix = np.ascontiguousarray(both[:, 0]), both[:, 1:]
     small = matrix.astype(np.int16)
     packed = small if (small == matrix).all() else np.ascontiguousarray(matrix)
     return tables.record(BLOCKS, [[int(ids[0])], [ids.tobytes()], [packed.tobytes()], [packed.shape[1]]])

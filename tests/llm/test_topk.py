@@ -36,6 +36,21 @@ def test_against_brute_force(spark, monkeypatch, n, k):
     assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in out) == brute(rows, 10, k)
 
 
+def test_rows_repeated_over_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(topk, "ROWS", 256)
+    rng = np.random.default_rng(11)
+    rows = [(int(i), [float(x) for x in np.float32(rng.normal(size=8))]) for i in range(300)]
+    hot = max(rows[1:], key=lambda r: sum(a * b for a, b in zip(r[1], rows[0][1])))
+    # Equal rows, the same with other digits below the step and with trailing zeros; and every row twice.
+    near = [(math.floor(256 * x) + 0.5) / 256 for x in hot[1]]
+    rows += [hot] * 1000 + [(hot[0], near), (hot[0], hot[1] + [0.0, 0.0])] + rows + [(5000, [0.0, -0.0]), (5000, [])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    out = topk.top_k(df, every=10, k=5).collect()
+    want = [r for r in rows[:300]] + [(5000, [0.0] * 8)]
+    assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in out) == brute(want, 10, 5)
+    assert topk.distinct(topk.valid(df, "vec_id", "embedding")).count() == 301
+
+
 def test_blocks_are_pruned(monkeypatch):
     rng = np.random.default_rng(3)
     centres = 2 * rng.normal(size=(16, 24))
