@@ -1,15 +1,20 @@
 """License scans with column expressions only: sparse TF-IDF cosine to templates, then inheritance by path.
 
-Every line of a file is a candidate header, and the whole text of a licence file is one more. A line's
-vector holds term frequency times inverse document frequency; the best template at or above ``threshold``
+Every line of a file is a candidate header, and so is every block of consecutive lines, so that a header may
+be wrapped; the whole text of a licence file is one more. A candidate's vector holds term frequency times inverse document frequency; the best template at or above ``threshold``
 names the licence. Files without a header of their own take the licence of the nearest ancestor
 directory (their own first) that holds a licence file.
 
 * Document frequencies count all files, for the terms of the templates; a term outside them weighs as
   one that no file holds, so no table of all terms is needed.
+* Lines without a term are left out of blocks, and comment marks are no terms. A block has at most as many
+  lines as the longest notice has terms, and at most twice as many terms. Its dot products and a lower bound
+  of its norm are sums over its lines; only blocks that can reach the threshold by these are judged.
+* The whole text of a licence file is also compared with the licences' own texts (``license_texts``), if it
+  holds as many of a text's terms as the threshold takes at least.
 * A line can only reach the threshold if it shares one of a template's heaviest terms, those without
   which the rest of the template stays below it. One pattern of these terms finds all candidate lines;
-  nothing that could match is left out. All further work stays inside the row.
+  nothing that could match is left out; a block lies around such a line. All further work stays inside the row.
 * Directories are joined, not files: distinct directories meet their ancestors, and the files look their
   directory up through the join that spreads hot keys.
 
@@ -22,21 +27,39 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import cache, reduce
+from importlib import resources
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from notemill.functions.text import let
 from notemill.scale import lookup_join
 
+GNU = (
+    "This program is free software: you can redistribute it and/or modify it under the terms of the {} as published by "
+    "the Free Software Foundation, either version {} of the License, or (at your option) any later version."
+)
 # Notices of common licences.
 TEMPLATES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted."),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
+    ("AGPL-3.0", GNU.format("GNU Affero General Public License", "3")),
+    ("GPL-2.0", GNU.format("GNU General Public License", "2")),
+    ("GPL-3.0", GNU.format("GNU General Public License", "3")),
+    ("LGPL-2.1", GNU.format("GNU Lesser General Public License", "2.1")),
+    ("LGPL-3.0", GNU.format("GNU Lesser General Public License", "3")),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("MIT", "Released under the MIT License."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    (
+        "MPL-2.0",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not "
+        "distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    ),
 )
 THRESHOLD = 0.8
 TERM = r"[a-z0-9]+(?:\.[0-9]+)*"
@@ -45,6 +68,13 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 MADE = ("license", "cosine", "origin", "licensed_by")
 
 
+@cache
+def license_texts() -> tuple[tuple[str, str], ...]:
+    """(name, body) of the licences whose own texts the package holds."""
+    files = (resources.files("notemill.llm") / "license_texts").iterdir()
+    return tuple(sorted((f.name.removesuffix(".txt"), f.read_text("utf-8")) for f in files if f.name.endswith(".txt")))
+
+
 def lowered(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
@@ -60,7 +90,7 @@ def template_terms(spark, templates: Sequence[tuple[str, str]]) -> list[tuple[st
 
 def term_weights(files: DataFrame, text: str, vocabulary: list[str]) -> tuple[dict[str, float], float]:
     """Inverse document frequency of each template term, and that of a term which no file holds."""
-    known = F.array(*[F.lit(t) for t in vocabulary])
+    known = literal_terms(vocabulary)
     held = F.explode(F.array_intersect(terms_of(lowered(F.col(text))), known))
     # One row per template term reaches the driver, and the number of files.
     counts = {r["term"]: r["n"] for r in files.select(held.alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -95,30 +125,142 @@ def best_template(
     line: Column, templates: list[tuple[str, dict[str, float], float]], idf: dict[str, float], unknown: float, threshold: float
 ) -> Column:
     """struct(cosine, name) of the closest template of a line, null below the threshold."""
-    weight = F.create_map(*[F.lit(v) for pair in idf.items() for v in pair])
+    return let(terms_of(line), lambda terms: closest(terms, templates, idf, unknown, threshold))
+
+
+def literal_terms(terms: Sequence[str]) -> Column:
+    return F.split(F.lit(" ".join(terms)), " ")
+
+
+def literal_map(values: dict[str, float]) -> Column:
+    return F.map_from_arrays(
+        literal_terms(list(values)), F.split(F.lit(" ".join(map(repr, values.values()))), " ").cast("array<double>")
+    )
+
+
+def squares(terms: Column, idf: dict[str, float], unknown: float) -> Column:
+    """Squared weights of the terms, each occurrence counted once: at most the squared norm."""
+    weight = literal_map({t: w * w for t, w in idf.items()})
+    return F.aggregate(terms, F.lit(0.0), lambda a, t: a + F.coalesce(F.element_at(weight, t), F.lit(unknown * unknown)))
+
+
+def dot(terms: Column, weights: dict[str, float], idf: dict[str, float]) -> Column:
+    own = literal_map({t: w * idf[t] for t, w in weights.items()})
+    return F.aggregate(terms, F.lit(0.0), lambda a, t: a + F.coalesce(F.element_at(own, t), F.lit(0.0)))
+
+
+def closest(
+    terms: Column, templates: list[tuple[str, dict[str, float], float]], idf: dict[str, float], unknown: float, threshold: float
+) -> Column:
+    weight = literal_map(idf)
     of = lambda t: F.coalesce(F.element_at(weight, t), F.lit(unknown))
     zero = F.lit(0.0)
 
-    def closeness(terms: Column, low: Column, norm: Column, name: str, weights: dict[str, float], size: float) -> Column:
-        own = F.create_map(*[F.lit(v) for pair in weights.items() for v in pair])
-        dot = F.aggregate(terms, zero, lambda a, t: a + of(t) * F.coalesce(F.element_at(own, t), zero))
-        cosine = F.when(dot >= low * size * (threshold - 1e-9), F.round(dot / (norm * size), 6))
+    def closeness(both: Column, norm: Column, place: int, name: str) -> Column:
+        cosine = F.round(both["products"][place] / norm, 6)
         return F.when(cosine >= threshold, F.struct((-cosine).alias("order"), F.lit(name).alias("name")))
 
-    def judge(terms: Column) -> Column:
-        # Counting every occurrence once gives a lower bound of the norm, and spares long lines.
-        low = F.sqrt(F.aggregate(terms, zero, lambda a, t: a + of(t) * of(t)))
-        norm = F.sqrt(
-            F.aggregate(
-                F.transform(F.array_distinct(terms), lambda t: F.size(F.filter(terms, lambda u: u == t)) * of(t)),
-                zero,
-                lambda a, w: a + w * w,
-            )
+    exact = F.sqrt(
+        F.aggregate(
+            F.transform(F.array_distinct(terms), lambda t: F.size(F.filter(terms, lambda u: u == t)) * of(t)),
+            zero,
+            lambda a, w: a + w * w,
+        )
+    )
+    # Counting every occurrence once gives a lower bound of the norm, and spares long lines.
+    products = F.array(*[dot(terms, weights, idf) / size for _, weights, size in templates])
+
+    def tests(both: Column) -> Column:
+        near = F.array_max(both["products"]) >= both["low"] * (threshold - 1e-9)
+        return F.when(near, let(exact, lambda norm: F.array_min(F.array(*[closeness(both, norm, i, t[0]) for i, t in enumerate(templates)]))))
+
+    return let(F.struct(F.sqrt(squares(terms, idf, unknown)).alias("low"), products.alias("products")), tests)
+
+
+def header_blocks(
+    whole: Column,
+    pattern: str,
+    templates: list[tuple[str, dict[str, float], float]],
+    longest: int,
+    idf: dict[str, float],
+    unknown: float,
+    threshold: float,
+) -> Column:
+    """The blocks of two lines or more around a line with ``pattern`` that can reach the threshold."""
+    most = 2 * longest
+    one, none = F.lit(1), F.array().cast("array<string>")
+    long = F.lit(most + 1)
+
+    def measured(line: Column) -> Column:
+        sums = lambda terms: F.struct(
+            F.size(terms).alias("n"),
+            squares(terms, idf, unknown).alias("low"),
+            F.array(*[dot(terms, weights, idf) / size for _, weights, size in templates]).alias("dots"),
         )
-        tests = [closeness(terms, low, norm, name, weights, size) for name, weights, size in templates]
-        return F.array_min(F.array(*tests))
+        return let(terms_of(line), lambda terms: F.when(F.size(terms) <= most, sums(terms)))
+
+    def ends(held: Column, start: Column) -> Column:
+        """Numbers of lines, two or more, of the blocks from ``start`` on that can reach the threshold."""
+        zero = F.struct(
+            F.lit(0).alias("n"), F.lit(0.0).alias("low"), F.array(*[F.lit(0.0) for _ in templates]).alias("dots"),
+            F.lit(0).alias("lines"), F.array().cast("array<int>").alias("ends"),
+        )
+
+        def longer(a: Column, line: Column) -> Column:
+            new = F.struct(
+                (a["n"] + F.coalesce(line["n"], long)).alias("n"), (a["low"] + line["low"]).alias("low"),
+                F.zip_with(a["dots"], line["dots"], lambda x, y: x + y).alias("dots"),
+                (a["lines"] + 1).alias("lines"), a["ends"].alias("ends"),
+            )
+            near = lambda b: (b["lines"] > 1) & (F.array_max(b["dots"]) >= F.sqrt(b["low"]) * (threshold - 1e-9))
+            fits = lambda b: F.when(
+                b["n"] <= most, b.withField("ends", F.when(near(b), F.concat(b["ends"], F.array(b["lines"]))).otherwise(b["ends"]))
+            ).otherwise(a.withField("n", long))
+            return F.when(a["n"] > most, a).otherwise(let(new, fits))
+
+        return F.aggregate(F.slice(held, start, longest), zero, longer)["ends"]
+
+    def around(lines: Column, hits: Column) -> Column:
+        span = lambda low, high: F.sequence(F.greatest(low, one), F.least(high, F.size(lines)))
+        near = F.array_distinct(F.flatten(F.transform(hits, lambda h: span(h - (longest - 1), h + (longest - 1)))))
+        starts = F.array_distinct(F.flatten(F.transform(hits, lambda h: span(h - (longest - 1), h))))
+
+        def blocks(held: Column) -> Column:
+            # A first line without a term of any template only adds to the norm.
+            useful = F.filter(starts, lambda i: F.coalesce(F.array_max(F.element_at(held, i)["dots"]) > 0, F.lit(False)))
+            texts = lambda i: F.transform(ends(held, i), lambda n: F.array_join(F.slice(lines, i, n), "\n"))
+            return F.flatten(F.transform(useful, texts))
+
+        held = let(near, lambda kept: F.transform(lines, lambda x, i: F.when(F.array_contains(kept, i + 1), measured(x))))
+        return let(held, blocks)
 
-    return F.element_at(F.transform(F.array(terms_of(line)), judge), 1)
+    def of_lines(lines: Column) -> Column:
+        hits = F.filter(F.transform(lines, lambda x, i: F.when(x.rlike(pattern), i + 1)), lambda i: i.isNotNull())
+        return let(hits, lambda h: F.when((F.size(h) > 0) & (F.size(lines) > 1), around(lines, h)).otherwise(none))
+
+    written = F.filter(F.split(whole, "\n"), lambda line: line.rlike("[a-z0-9]"))
+    return F.when(whole.rlike(pattern), let(written, of_lines)).otherwise(none)
+
+
+def own_text(
+    whole: Column, texts: list[tuple[str, dict[str, float], float]], idf: dict[str, float], unknown: float, threshold: float
+) -> Column:
+    """struct(order, name) of the licence whose own text is closest to a whole file, null below the threshold."""
+
+    def possible(terms: Column, weights: dict[str, float], size: float) -> Column:
+        # The terms of a text that a file holds must carry the threshold's part of its norm.
+        left, least = (0.999 * threshold * size) ** 2, 0
+        for w in sorted(weights.values(), reverse=True):
+            if left <= 0:
+                break
+            left, least = left - w * w, least + 1
+        return F.size(F.array_intersect(terms, literal_terms(list(weights)))) >= least
+
+    def judged(terms: Column) -> Column:
+        any_possible = reduce(or_, [possible(terms, weights, size) for _, weights, size in texts])
+        return F.when(any_possible, closest(terms, texts, idf, unknown, threshold))
+
+    return let(terms_of(whole), judged)
 
 
 def scan_licenses(
@@ -127,18 +269,28 @@ def scan_licenses(
     text: str = "text",
     templates: Sequence[tuple[str, str]] = TEMPLATES,
     threshold: float = THRESHOLD,
+    texts: Sequence[tuple[str, str]] | None = None,
 ) -> DataFrame:
-    """``files`` with license, cosine, origin (header, inherited or null) and licensed_by (a directory)."""
+    """``files`` with license, cosine, origin (header, inherited or null) and licensed_by (a directory).
+
+    ``texts`` are (name, body) of whole licences for licence files, those of the package if not given.
+    """
     spark = files.sparkSession
     terms = template_terms(spark, templates)
-    idf, unknown = term_weights(files, text, sorted({t for _, own in terms for t in own}))
-    known = vectors(terms, idf)
+    bodies = template_terms(spark, license_texts() if texts is None else texts)
+    all_idf, unknown = term_weights(files, text, sorted({t for _, own in terms + bodies for t in own}))
+    idf = {t: all_idf[t] for t in sorted({t for _, own in terms for t in own})}
+    known, whole_texts = vectors(terms, idf), vectors(bodies, all_idf)
+    longest = max(len(own) for _, own in terms)
     pattern = r"(^|[^a-z0-9])(" + "|".join(t.replace(".", r"\.") for t in heavy_terms(known, threshold)) + ")($|[^a-z0-9])"
     whole = lowered(F.coalesce(F.col(text), F.lit("")))
     is_license_file = F.coalesce(F.col(path).rlike(LICENSE_FILE), F.lit(False))
     lines = F.filter(F.split(whole, "\n"), lambda line: line.rlike(pattern))
+    lines = F.concat(lines, header_blocks(whole, pattern, known, longest, idf, unknown, threshold))
     lines = F.concat(lines, F.when(is_license_file & whole.rlike(pattern), F.array(whole)).otherwise(F.array().cast("array<string>")))
     best = F.array_min(F.transform(lines, lambda line: best_template(line, known, idf, unknown, threshold)))
+    if whole_texts:
+        best = F.array_min(F.array(best, F.when(is_license_file, own_text(whole, whole_texts, all_idf, unknown, threshold))))
     own = files.select(
         F.struct(*[F.col(f"`{c}`") for c in files.columns if c not in MADE and c != text]).alias("_row"),
         F.col(path).alias("_path"),

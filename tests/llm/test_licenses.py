@@ -77,3 +77,27 @@ def test_odd_tables(spark, rows):
 
 def test_empty_table(spark):
     assert licenses.scan_licenses(spark.createDataFrame([], "path string, text string")).count() == 0
+
+
+def test_wrapped_headers(spark):
+    gnu = licenses.GNU.format("GNU General Public License", "3").split()
+    rows = [
+        ("a/x.py", "# some program\n# Licensed under the Apache\n# License, Version 2.0\nimport os\n" + "x = y + z\n" * 30),
+        ("a/y.c", "/* This work is licensed under a Creative Commons\n *\n * Attribution 4.0 International License. */\nint main"),
+        ("a/z.h", "int a;\n// " + " ".join(gnu[:16]) + "\n// " + " ".join(gnu[16:32]) + "\n// " + " ".join(gnu[32:]) + "\nint b;"),
+        ("a/w.h", "other words\n" + "\n".join(gnu) + "\nand more"),
+        ("a/v.txt", "Licensed under\nother terms of use"),
+    ] + [(f"b/{i}", f"the words of file {i} are under\nthe desk and this is all") for i in range(30)]
+    got = {p: (name, origin) for p, name, _, origin, _ in run(spark, rows)}
+    want = {"a/x.py": "Apache-2.0", "a/y.c": "CC-BY-4.0", "a/z.h": "GPL-3.0", "a/w.h": "GPL-3.0"}
+    assert {p: n for p, (n, o) in got.items() if o == "header"} == want
+
+
+def test_texts_of_licenses(spark):
+    bodies = dict(licenses.license_texts())
+    assert {"Apache-2.0", "BSD-3-Clause", "GPL-2.0", "GPL-3.0", "MIT", "MPL-2.0"} <= set(bodies)
+    rows = [(f"{name}/LICENSE", "Copyright 2020 A. Holder\n" + body[len(body) // 50 :]) for name, body in bodies.items()]
+    rows += [(f"{name}/src/x.txt", "no notice") for name in bodies] + [("other/LICENSE", "you may do with these files what you want")]
+    got = {p: (name, origin) for p, name, _, origin, _ in run(spark, rows)}
+    assert {p: n for p, (n, o) in got.items() if o == "header"} == {f"{n}/LICENSE": n for n in bodies}
+    assert all(got[f"{n}/src/x.txt"] == (n, "inherited") for n in bodies)
