@@ -11,7 +11,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notemill.llm import decontaminate, language, licenses, mixing, simhash, substrings, token_counts, topk, toxicity, urls
+from notemill.llm import (
+    alignment,
+    decontaminate,
+    language,
+    licenses,
+    manifest,
+    mixing,
+    sentence_pieces,
+    simhash,
+    substrings,
+    token_counts,
+    topk,
+    toxicity,
+    urls,
+)
 from notemill.llm.tables import load
 from notemill.llm.toxicity import held_out
 
@@ -125,6 +139,42 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op11_align_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    aligned = alignment.align(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    side = lambda g, name: F.array_join(g[name].cast("array<string>"), ",")
+    written = F.array_join(F.transform("groups", lambda g: F.concat(side(g, "a"), F.lit("|"), side(g, "b"))), ";")
+    return aligned.select(
+        "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum",
+        F.when(F.col("n_a") > 0, F.sha2(written, 256)).otherwise(F.lit("")).alias("groups_sha256"),
+    )
+
+
+@query
+def op12_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    coded = sentence_pieces.decode(sentence_pieces.encode(docs, model), model)
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("text", 256).alias("decoded_sha256"),
+    )
+
+
+@query
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = manifest.manifest(load(spark, sf_dir, "documents"))
+    return made.select(
+        "doc_id", "leaf", "subroot", "root", manifest.proof_digest(F.col("proof")).alias("proof_sha256"),
+        "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
+
+
+SQL["op13_merkle_manifest"] = manifest.MANIFEST_SQL
+
 SQL["op4_substring_dedup"] = r"""
 WITH words AS (
   SELECT row_number() OVER () AS doc, doc_id, COALESCE(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w
