@@ -1,6 +1,7 @@
 """Groups, links and counts against a plain comparison of byte borders over whole texts."""
 
 import random
+from bisect import bisect_right
 from collections import Counter
 
 import public_tokenizers
@@ -44,10 +45,10 @@ def plain(texts, libraries, rule="end"):
             continue
         left, right = spans(ids[0], pair.a_bytes), spans(ids[1], pair.b_bytes)
         borders = sorted({e for _, _, e in left} & {e for _, _, e in right})
-        groups, before = [], 0
-        for border in borders:
-            groups.append(tuple([i for i, s, _ in side if before <= s < border] for side in (left, right)))
-            before = border
+        groups = [([], []) for _ in borders]
+        for number, side in enumerate((left, right)):
+            for i, s, _ in side:
+                groups[bisect_right(borders, s)][number].append(i)
         rows.append((len(left), len(right), groups))
         ends = {e: i for i, _, e in right}
         if rule == "end":
