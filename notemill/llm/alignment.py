@@ -28,6 +28,8 @@ import os
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain, compress
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -85,6 +87,7 @@ class Tokenizers:
         self.b_bytes = [
             bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(MARK, " ").encode() for i, p in enumerate(pieces)
         ]
+        self.a_sizes, self.b_sizes = (np.fromiter(map(len, t), np.int64, len(t)) for t in (self.a_bytes, self.b_bytes))
         before = config["pre_tokenizer"] or {}
         by_words = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not config["normalizer"]
         joins = any(re.search(f"[^{MARK}]{MARK}", p) for p in pieces)
@@ -152,25 +155,38 @@ def coalesce(a: np.ndarray, a_size: np.ndarray, b: np.ndarray, b_size: np.ndarra
     )
 
 
+def same(ids: list[list[int]], table: list[bytes], texts: list[bytes]) -> bool:
+    """Whether every list's bytes are its text: all bytes at once, then the borders."""
+    made = [table[t] for t in chain.from_iterable(ids)]
+    if b"".join(made) != b"".join(texts):
+        return False
+    ends = np.cumsum(np.fromiter(map(len, made), np.int64, len(made)))
+    counts = np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))
+    borders = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
+    return bool((counts > 0).all()) and np.array_equal(ends[counts - 1], borders)
+
+
 def align_parts(parts: list[str], pair: Tokenizers, links: str) -> tuple[Aligned, np.ndarray]:
     """The alignment of all parts, and which of them both sides give back byte for byte."""
-    sides: tuple[list, list] = ([], [])
     whole = np.ones(len(parts), dtype=bool)
     sizes = np.zeros(len(parts), dtype=np.int64)
+    sides: tuple[list, list] = ([], [])
     for lo in range(0, len(parts), PARTS_AT_ONCE):
         some = parts[lo : lo + PARTS_AT_ONCE]
-        for i, (p, a, b) in enumerate(zip(some, *pair.encode(some), strict=True), lo):
-            text = b" " + p.encode()
-            if b"".join([pair.a_bytes[t] for t in a]) == text == b"".join([pair.b_bytes[t] for t in b]):
-                sizes[i] = len(text)
-                sides[0].append(np.array(a, dtype=np.int32))
-                sides[1].append(np.array(b, dtype=np.int32))
-            else:
-                whole[i] = False
+        encoded = pair.encode(some)
+        texts = [b" " + p.encode() for p in some]
+        size = np.fromiter(map(len, texts), np.int64, len(texts))
+        kept = np.ones(len(some), dtype=bool)
+        for ids, table in zip(encoded, (pair.a_bytes, pair.b_bytes), strict=True):
+            if not same(ids, table, texts):
+                made = (b"".join([table[t] for t in one]) for one in ids)
+                kept &= np.fromiter(map(eq, made, texts), bool, len(texts))
+        whole[lo : lo + len(some)] = kept
+        sizes[lo : lo + len(some)] = np.where(kept, size, 0)
+        for held, ids in zip(sides, encoded, strict=True):
+            held.append(np.fromiter(chain.from_iterable(compress(ids, kept.tolist())), np.int32))
     flat = [np.concatenate([*s, np.zeros(0, dtype=np.int32)]) for s in sides]
-    tokens = [
-        np.fromiter(map(len, t), np.int64, len(t))[ids] for t, ids in zip((pair.a_bytes, pair.b_bytes), flat, strict=True)
-    ]
+    tokens = [sizes_of[ids] for sizes_of, ids in zip((pair.a_sizes, pair.b_sizes), flat, strict=True)]
     return coalesce(flat[0], tokens[0], flat[1], tokens[1], sizes, links), whole
 
 
@@ -190,7 +206,7 @@ def sliced(part: pa.RecordBatch, number: int, pair: Tokenizers, links: str, name
     sequences = []
     for text in part.column("_text"):
         cuts = pair.parts(text.as_py()) if text.as_py() else []
-        sequences.append(np.fromiter((numbers.setdefault(p, len(numbers)) for p in cuts), np.int32, len(cuts)))
+        sequences.append(np.array([numbers.setdefault(p, len(numbers)) for p in cuts], dtype=np.int32))
     aligned, whole = align_parts(list(numbers), pair, links)
     sequences = [s if whole[s].all() else s[:0] for s in sequences]
     sequence = np.concatenate([*sequences, np.zeros(0, dtype=np.int32)])
