@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from notemill.functions.text import let
-from notemill.scale import lookup_join
+from notemill.scale import cut, lookup_join
 
 GNU = (
     "This program is free software: you can redistribute it and/or modify it under the terms of the {} as published by "
@@ -291,13 +291,15 @@ def scan_licenses(
     best = F.array_min(F.transform(lines, lambda line: best_template(line, known, idf, unknown, threshold)))
     if whole_texts:
         best = F.array_min(F.array(best, F.when(is_license_file, own_text(whole, whole_texts, all_idf, unknown, threshold))))
-    own = files.select(
+    judged = files.select(
         F.struct(*[F.col(f"`{c}`") for c in files.columns if c not in MADE and c != text]).alias("_row"),
         F.col(path).alias("_path"),
         F.regexp_replace(F.col(path), r"/?[^/]*$", "").alias("_dir"),
         is_license_file.alias("_is_license_file"),
         best.alias("_best"),
     )
+    # Written once, without texts: the join's counts, the directories and the files all read it.
+    own = cut(judged)
     licensed = nearest_license(own)
     found = lookup_join(own, licensed, "_dir", ["_path"])
     header = F.col("_best").isNotNull()
