@@ -30,6 +30,7 @@ from __future__ import annotations
 import codecs
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -76,14 +77,16 @@ class Model:
         self.score = {p: library.get_score(i) for p, i in pieces.items()}
         self.byte_id = {int(library.id_to_piece(i)[3:5], 16): i for i in ids if kind[i] == "byte"}
         self.automaton = ahocorasick.Automaton()
-        for symbol in {*pieces, *"".join(pieces)}:
-            self.automaton.add_word(symbol, symbol)
+        # Every symbol carries what is known about the tokens that may stand before it.
+        self.before: dict[str, dict[str, bool]] = {symbol: {} for symbol in {*pieces, *"".join(pieces)}}
+        for symbol, known in self.before.items():
+            self.automaton.add_word(symbol, (symbol, len(symbol), known))
         self.automaton.make_automaton()
         inside = re.compile(f"[^{MARK}]{MARK}")
         self.cuts = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+") if not any(map(inside.search, pieces)) else None
         self.histories: dict[str, list[tuple[float, str, str]] | None] = {}
-        self.pairs: dict[tuple[str, str], bool] = {}
-        self.stretches: dict[str, np.ndarray] = {}
+        self.n_pairs = 0
+        self.stretches: dict[str, list[int]] = {}
         # Decoding: the bytes of every id, and which ids lose the blank before the first word.
         made = {
             "byte": lambda i: bytes([int(library.id_to_piece(i)[3:5], 16)]),
@@ -112,14 +115,16 @@ class Model:
         return self.histories[token]
 
     def compatible(self, left: str, right: str) -> bool:
-        """Whether merging the characters of both tokens gives these two tokens."""
-        pair = (left, right)
-        known = self.pairs.get(pair)
-        if known is None:
-            if len(self.pairs) >= KEPT_PAIRS:
-                self.pairs.clear()
-            known = self.pairs[pair] = self._stay_apart(left, right)
-        return known
+        """Whether merging the characters of both tokens gives these two; an empty left stands for the text's start."""
+        known = self.before.get(right, {})
+        if left not in known:
+            if self.n_pairs >= KEPT_PAIRS:
+                self.n_pairs = 0
+                for held in self.before.values():
+                    held.clear()
+            self.n_pairs += 1
+            known[left] = self._stay_apart(left, right) if left else self.history(right) is not None
+        return known[left]
 
     def _stay_apart(self, left: str, right: str) -> bool:
         before, after = self.history(left), self.history(right)
@@ -144,40 +149,40 @@ class Model:
                 j += 1
 
     def last_tokens(self, text: str) -> list[str]:
-        """For every length of a prefix, the last token of its encoding."""
+        """For every length of a prefix, the last token of its encoding; empty for a character that no piece holds."""
         last = [""] * (len(text) + 1)
-        compatible = self.compatible
-        for end, token in self.automaton.iter(text):
+        for end, (token, size, known) in self.automaton.iter(text):
             stop = end + 1
             if last[stop]:
                 continue
-            start = stop - len(token)
-            if start == 0:
-                if self.history(token) is not None:
-                    last[stop] = token
+            start = stop - size
             # A character that no piece holds is a token of its own.
-            elif compatible(last[start] or text[start - 1], token):
+            left = (last[start] or text[start - 1]) if start else ""
+            fits = known.get(left)
+            if fits is None:
+                fits = self.compatible(left, token)
+            if fits:
                 last[stop] = token
         return last
 
-    def encode_stretch(self, text: str) -> np.ndarray:
+    def encode_stretch(self, text: str) -> list[int]:
         known = self.stretches.get(text)
         if known is not None:
             return known
-        last = self.last_tokens(text)
-        backwards: list[int] = []
+        last, id_of = self.last_tokens(text), self.id_of
+        ids: list[int] = []
         at = len(text)
         while at:
             token = last[at] or text[at - 1]
-            number = self.id_of.get(token)
+            number = id_of.get(token)
             if number is not None:
-                backwards.append(number)
+                ids.append(number)
             elif self.byte_id:
-                backwards += [self.byte_id[b] for b in reversed(token.encode())]
+                ids += [self.byte_id[b] for b in reversed(token.encode())]
             else:
-                backwards.append(self.unknown)
+                ids.append(self.unknown)
             at -= len(token)
-        ids = np.array(backwards[::-1], dtype=np.int32)
+        ids.reverse()
         if len(text) <= KEPT_LENGTH:
             if len(self.stretches) >= KEPT:
                 self.stretches.clear()
@@ -191,14 +196,13 @@ class Model:
         for text in texts:
             plain = self.library.normalize(text.as_py() or "")
             parts = [plain] * bool(plain) if self.cuts is None else self.cuts.findall(plain)
-            found.append(np.fromiter((numbers.setdefault(p, len(numbers)) for p in parts), np.int32, len(parts)))
+            found.append(np.array([numbers.setdefault(p, len(numbers)) for p in parts], dtype=np.int32))
         encoded = [self.encode_stretch(s) for s in numbers]
-        size = np.fromiter(map(len, encoded), np.int64, len(encoded))
         if end:
             found = [np.append(f, len(encoded)) for f in found]
-            encoded.append(np.array([self.end], dtype=np.int32))
-            size = np.append(size, 1)
-        flat = np.concatenate([*encoded, np.zeros(0, dtype=np.int32)])
+            encoded.append([self.end])
+        size = np.fromiter(map(len, encoded), np.int64, len(encoded))
+        flat = np.fromiter(chain.from_iterable(encoded), np.int32, int(size.sum()))
         first = np.cumsum(size) - size
         out = [flat[words.ranges(first[f], size[f])] for f in found]
         return tables.lists(pa.array(np.concatenate([*out, np.zeros(0, np.int32)])), [len(o) for o in out])
