@@ -3,9 +3,11 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from notemill.llm import substrings, words
+from notemill.llm import substrings, tables, words
 
 
 def brute(rows, window):
@@ -60,6 +62,43 @@ def test_hot_minimisers_travel_singly(spark):
     assert run(spark, rows) == brute(rows, 13)
 
 
+def test_rows_of_one_id_are_told_apart_by_their_texts(spark):
+    """Two texts without an id whose 32-bit hashes are equal; one repeats document 1, the other nothing."""
+    found = (
+        spark.range(200_000)
+        .select(F.concat(F.lit("a b c d e f g h i j k l m w"), F.col("id")).alias("t"))
+        .groupBy(F.hash("t"))
+        .agg(F.collect_list("t").alias("t"))
+        .where(F.size("t") == 2)
+        .first()
+    )
+    one, other = found["t"]
+    rows = [(1, "u v " + one), (None, one), (None, other)]
+    got = run(spark, rows, window=14)
+    assert got == brute(rows, 14)
+    assert sorted(r[2] for r in got) == [0, 0, 14]
+
+
+def test_a_passage_in_all_documents_costs_a_bucket_one_entry_a_slice(spark):
+    passage = " ".join(f"p{i}" for i in range(30))
+    rows = [(i, f"w{i} {passage} v{i}") for i in range(900)] + [(None, passage)] * 300
+    assert run(spark, rows) == brute(rows, 13)
+    part = pa.RecordBatch.from_pydict(
+        {"doc": [d for d, _ in rows], "text": [t for _, t in rows], "version": [bytes(16)] * len(rows)},
+        schema=pa.schema([("doc", pa.int64()), ("text", pa.string()), ("version", pa.binary())]),
+    )
+    sent = list(substrings.super_kmers(part, 13, 2, 8, np.zeros(0, np.uint64), 0))
+    passed = [b for batch in sent for b in batch.column("packed").to_pylist() if b is not None]
+    pieces = [p for b in passed for p in tables.unpack(b).split(b"\n")]
+    assert len(pieces) == len(set(pieces)) and sum(passage.encode() in p or p in passage.encode() for p in pieces) < 30
+
+
+def test_very_long_text_and_texts_over_many_slices(spark, monkeypatch):
+    monkeypatch.setattr(substrings, "SLICE_BYTES", 2000)
+    rows = corpus(11, 80) + [(500, " ".join(f"n{i % 9000}" for i in range(60000))), (501, " ".join(f"n{i}" for i in range(40)))]
+    assert run(spark, rows) == brute(rows, 13)
+
+
 def test_equal_hashes_are_told_apart_by_their_bytes(monkeypatch):
     texts = ["a b c d", "a b x d", "a b c d"]
     raw = np.frombuffer("\n".join(texts).encode(), dtype=np.uint8)
