@@ -8,7 +8,9 @@ is judged from its whole text in the task that reads it.
 
 Defined cases: a null text, or one without any letter, is ``und`` with score 0. Rows without doc_id or
 lang are judged but never learned from. A language that no family lists is a family of its own. Without
-any labelled row, or with one language only, that language (or ``und``) is predicted.
+any labelled row, or with one language only, that language (or ``und``) is predicted. Of equal votes
+the larger sum of certainties counts; repeated rows get equal results; very long texts are judged whole;
+an empty table gives an empty one. Columns that carry an output's name are replaced.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -150,10 +152,12 @@ def fit(
     if not counts:
         return LanguageModel([], np.zeros(0), [], np.zeros(0))
     bound = max(1, min(per_language, sample // len(counts)))
-    # Rows whose hash lies low enough for twice the bound; the driver keeps those of lowest hash.
-    place = F.pmod(F.xxhash64(F.lit(SEED), "doc_id"), F.lit(1 << 40)).cast("double") / (1 << 40)
+    # Rows whose hash lies low enough for twice the bound, copies once, and of these the lowest ``bound``.
+    place = F.pmod(F.xxhash64(F.lit(SEED), "doc_id", "text"), F.lit(1 << 40)).cast("double") / (1 << 40)
     rate = F.create_map(*[F.lit(v) for lang, n in counts.items() for v in (lang, 2.0 * bound / n + 20 / n)])
-    chosen = known.withColumn("place", place).where(F.col("place") < F.element_at(rate, F.col("lang")))
+    low = known.withColumn("place", place).where(F.col("place") < F.element_at(rate, F.col("lang")))
+    lowest = Window.partitionBy("lang").orderBy("place", "doc_id", "text")
+    chosen = low.distinct().withColumn("_r", F.row_number().over(lowest)).where(F.col("_r") <= bound).drop("_r")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("lang", pa.string()), ("place", pa.float64()), ("x", pa.binary())])
@@ -163,11 +167,7 @@ def fit(
                 yield tables.record(schema, [part.column("lang"), part.column("place"), [v.tobytes() for v in x]])
 
     rows = chosen.mapInArrow(extract, "lang string, place double, x binary").collect()
-    kept, seen = [], dict.fromkeys(counts, 0)
-    for r in sorted(rows, key=lambda r: (r["place"], r["lang"], bytes(r["x"]))):
-        if seen[r["lang"]] < bound:
-            seen[r["lang"]] += 1
-            kept.append(r)
+    kept = sorted(rows, key=lambda r: (r["place"], r["lang"], bytes(r["x"])))
     x = np.stack([np.frombuffer(r["x"], np.float16) for r in kept]).astype(np.float32)
     return learn(x, np.array([r["lang"] for r in kept], dtype=object), families)
 

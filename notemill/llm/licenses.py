@@ -7,9 +7,9 @@ directory (their own first) that holds a licence file.
 
 * Document frequencies count all files, for the terms of the templates; a term outside them weighs as
   one that no file holds, so no table of all terms is needed.
-* Lines without a term are left out of blocks, and comment marks are no terms. A block has at most as many
-  lines as the longest notice has terms, and at most twice as many terms. Its dot products and a lower bound
-  of its norm are sums over its lines; only blocks that can reach the threshold by these are judged.
+* Lines without a term are left out of blocks, and comment marks are no terms. A block is at most as many
+  lines as the longest notice has terms, however long these are. Its dot products and a lower bound of its
+  norm are sums over its lines; only blocks that can reach the threshold by these are judged.
 * The whole text of a licence file is also compared with the licences' own texts (``license_texts``), if it
   holds as many of a text's terms as the threshold takes at least.
 * A line can only reach the threshold if it shares one of a template's heaviest terms, those without
@@ -187,36 +187,30 @@ def header_blocks(
     threshold: float,
 ) -> Column:
     """The blocks of two lines or more around a line with ``pattern`` that can reach the threshold."""
-    most = 2 * longest
     one, none = F.lit(1), F.array().cast("array<string>")
-    long = F.lit(most + 1)
 
     def measured(line: Column) -> Column:
         sums = lambda terms: F.struct(
-            F.size(terms).alias("n"),
             squares(terms, idf, unknown).alias("low"),
             F.array(*[dot(terms, weights, idf) / size for _, weights, size in templates]).alias("dots"),
         )
-        return let(terms_of(line), lambda terms: F.when(F.size(terms) <= most, sums(terms)))
+        return let(terms_of(line), sums)
 
     def ends(held: Column, start: Column) -> Column:
         """Numbers of lines, two or more, of the blocks from ``start`` on that can reach the threshold."""
         zero = F.struct(
-            F.lit(0).alias("n"), F.lit(0.0).alias("low"), F.array(*[F.lit(0.0) for _ in templates]).alias("dots"),
+            F.lit(0.0).alias("low"), F.array(*[F.lit(0.0) for _ in templates]).alias("dots"),
             F.lit(0).alias("lines"), F.array().cast("array<int>").alias("ends"),
         )
 
         def longer(a: Column, line: Column) -> Column:
             new = F.struct(
-                (a["n"] + F.coalesce(line["n"], long)).alias("n"), (a["low"] + line["low"]).alias("low"),
-                F.zip_with(a["dots"], line["dots"], lambda x, y: x + y).alias("dots"),
+                (a["low"] + line["low"]).alias("low"), F.zip_with(a["dots"], line["dots"], lambda x, y: x + y).alias("dots"),
                 (a["lines"] + 1).alias("lines"), a["ends"].alias("ends"),
             )
             near = lambda b: (b["lines"] > 1) & (F.array_max(b["dots"]) >= F.sqrt(b["low"]) * (threshold - 1e-9))
-            fits = lambda b: F.when(
-                b["n"] <= most, b.withField("ends", F.when(near(b), F.concat(b["ends"], F.array(b["lines"]))).otherwise(b["ends"]))
-            ).otherwise(a.withField("n", long))
-            return F.when(a["n"] > most, a).otherwise(let(new, fits))
+            grown = lambda b: F.when(near(b), F.concat(b["ends"], F.array(b["lines"]))).otherwise(b["ends"])
+            return let(new, lambda b: b.withField("ends", grown(b)))
 
         return F.aggregate(F.slice(held, start, longest), zero, longer)["ends"]
 

@@ -11,8 +11,9 @@ seeded hash order. The prior is counted over all labelled rows. Every document i
 text by a lookup of its words, in the task that reads it; nothing is shuffled.
 
 Defined cases: null and empty texts score as texts without features. Rows without a doc_id are scored
-but never learned from. Of several labels of one document the highest counts. Without a positive label,
-every score is the prior.
+but never learned from. Of several labels of one document the highest counts; an id learns one of its
+texts. Without a positive label, every score is the prior. Repeated rows and ties get equal scores; very
+long texts are scored whole; an empty table gives an empty one. Columns named score are replaced.
 """
 
 from __future__ import annotations
@@ -101,8 +102,11 @@ def sample(docs: DataFrame, labels: DataFrame, positives: int, unlabelled: int)
         toxic.join(ids.distinct(), "doc_id", "left_semi").distinct().orderBy(*order).limit(positives).withColumn("toxic", F.lit(True))
         .union(ids.distinct().orderBy(*order).limit(unlabelled).withColumn("toxic", F.lit(False)))
     )
-    # At most positives + unlabelled ids.
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic")
+    # At most positives + unlabelled ids. An id learns one text, the one of smallest digest, so copies of
+    # an id shrink where they are read and no more rows than ids reach the driver.
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    one = F.min_by("text", F.struct(F.md5("text"), "text")).alias("text")
+    return rows.groupBy("doc_id", "toxic").agg(one).select("doc_id", "text", "toxic")
 
 
 def fit(

@@ -2,8 +2,10 @@
 
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from notemill.llm import language
 
@@ -48,3 +50,16 @@ def test_frequencies_stay_inside_documents():
     raw = np.frombuffer("abcÉdxabcÉd".encode(), np.uint8)
     both = language.frequencies(raw, np.array([0, 6, 7, 13]))
     assert np.allclose(both[[0, 2]], one) and both[1].sum() == 0
+
+
+def test_sample_is_bounded_in_rows_under_one_hot_id(spark, monkeypatch):
+    held = []
+    monkeypatch.setattr(language, "learn", lambda x, lang, families: held.append((x.shape[0], dict(Counter(lang)))))
+    rows = spark.range(6000).select(
+        F.when(F.col("id") % 3 == 0, F.lit(1)).otherwise(F.col("id")).alias("doc_id"),
+        F.concat(F.lit("text number "), F.when(F.col("id") % 2 == 0, F.lit(0)).otherwise(F.col("id"))).alias("text"),
+        F.when(F.col("id") % 5 == 0, "fr").otherwise("en").alias("lang"),
+    )
+    language.fit(rows, per_language=40)
+    ((n, by_language),) = held
+    assert n <= 80 and set(by_language) == {"en", "fr"} and max(by_language.values()) <= 40 and min(by_language.values()) >= 20

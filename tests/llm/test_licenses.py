@@ -93,6 +93,14 @@ def test_wrapped_headers(spark):
     assert {p: n for p, (n, o) in got.items() if o == "header"} == want
 
 
+def test_a_long_block_is_judged_like_a_short_one(spark):
+    """The cosine does not depend on how often all words are repeated."""
+    rows = [(f"a/{n}.txt", "x y\n" + "Released under the " * n + "\n" + "MIT License. " * n + "\nz") for n in (1, 5, 40, 400)]
+    rows += [(f"b/{i}", f"the words of file {i} are under\nthe desk and this is all") for i in range(30)]
+    got = {p: (name, cosine) for p, name, cosine, _, _ in run(spark, rows)}
+    assert {got[f"a/{n}.txt"] for n in (1, 5, 40, 400)} == {("MIT", 1.0)}
+
+
 def test_texts_of_licenses(spark):
     bodies = dict(licenses.license_texts())
     assert {"Apache-2.0", "BSD-3-Clause", "GPL-2.0", "GPL-3.0", "MIT", "MPL-2.0"} <= set(bodies)

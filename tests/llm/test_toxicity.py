@@ -40,8 +40,13 @@ def test_sample_is_bounded_and_repeats_do_not_fill_it(spark):
     docs, labels = data(400)
     df = spark.createDataFrame(docs + docs[:50], "doc_id long, text string, score int").select("doc_id", "text")
     known = spark.createDataFrame(labels, "doc_id long, toxic int")
-    counts = {r["toxic"]: r["n"] for r in toxicity.sample(df, known, 7, 20).groupBy("toxic").agg(F.countDistinct("doc_id").alias("n")).collect()}
+    counts = {r["toxic"]: r["count"] for r in toxicity.sample(df, known, 7, 20).groupBy("toxic").count().collect()}
     assert counts == {True: 7, False: 20}
+    # One id on most rows, with equal and with different texts, is one row of the sample.
+    hot = next(d for d, t in labels if t == 1 and zlib.crc32(str(d).encode()) % 4 != 2)
+    many = df.select("doc_id", "text").unionByName(spark.range(5000).select(F.lit(hot).alias("doc_id"), F.concat(F.lit("you idiot "), F.col("id") % 100).alias("text")))
+    rows = toxicity.sample(many, known, 1000, 1000).groupBy("toxic", "doc_id").count().collect()
+    assert len(rows) <= 2000 and {r["count"] for r in rows} == {1} and hot in {r["doc_id"] for r in rows}
 
 
 def test_gradient_steps_lower_the_corrected_risk():
