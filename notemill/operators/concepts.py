@@ -5,12 +5,15 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from notemill.functions.text import comma_free, let, tokens, windows
-from notemill.scale import lookup_join
+from notemill.functions.text import char_ngrams, comma_free, let, pad, tokens, windows
+from notemill.operators import postings
+from notemill.scale import cut, lookup_join
 
+GRAM = 3  # characters of a gram
+SIMILARITY = 0.7
 CONCEPT_ID = "^(-?|neg)[Cc][0-9]{7}$"
 NO_NAME = "N/A"
 
@@ -30,8 +33,9 @@ def concept_terms(dictionary: DataFrame) -> DataFrame:
     )
 
 
-def concept_spans(docs: DataFrame, terms: DataFrame, longest: int) -> DataFrame:
-    """Every place where up to ``longest`` tokens of a document are a dictionary term."""
+def term_places(docs: DataFrame, longest: int) -> DataFrame:
+    """(doc_id, start, length, term): every run of up to ``longest`` tokens."""
+
     def places(toks: Column) -> Column:
         return F.concat(*[grams(toks, n) for n in range(1, longest + 1)])
 
@@ -43,20 +47,92 @@ def concept_spans(docs: DataFrame, terms: DataFrame, longest: int) -> DataFrame:
             ),
         )
 
-    placed = docs.select(
-        "doc_id", F.explode(let(tokens(F.col("text")), places)).alias("_g")
-    ).select("doc_id", "_g.*")
-    return lookup_join(placed, terms, "term", ["doc_id", "start"], "inner")
+    return docs.select("doc_id", F.explode(let(tokens(F.col("text")), places)).alias("_g")).select("doc_id", "_g.*")
+
+
+def concept_spans(docs: DataFrame, terms: DataFrame, longest: int) -> DataFrame:
+    """Every place where up to ``longest`` tokens of a document are a dictionary term."""
+    return lookup_join(term_places(docs, longest), terms, "term", ["doc_id", "start"], "inner")
+
+
+def similar_terms(strings: DataFrame, terms: DataFrame, threshold: float, size: int = GRAM) -> DataFrame:
+    """(term, cui, found, similarity): the closest dictionary term of each of the ``strings`` (term).
+
+    Similarity is the share of distinct character ``size``-grams that two padded strings have in common
+    (Jaccard). A string and a term within ``threshold`` share a certain number of grams, so they share one
+    of their rarest: only those are looked up, in the lists of the terms of a fitting length. Ties go to
+    the smaller concept, then to the smaller term.
+    """
+    grams = F.array_distinct(char_ngrams(pad(F.col("term")), size, size))
+    held = cut(terms.select("term", "cui", grams.alias("grams")).where(F.size("grams") > 0))
+    asked = cut(strings.select("term").distinct().select("term", grams.alias("grams")).where(F.size("grams") > 0))
+    frequencies = cut(held.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("df")))
+
+    def prefix(side: DataFrame, ident: str) -> DataFrame:
+        """The rarest grams, so many that any partner must hold one of them."""
+        placed = lookup_join(side.select(F.col("term").alias(ident), F.size("grams").alias("size"), F.explode("grams").alias("gram")), frequencies, "gram", [ident], "inner")
+        inside = Window.partitionBy(ident)
+        placed = placed.withColumns({
+            "known": F.count(F.lit(1)).over(inside),
+            "place": F.row_number().over(inside.orderBy("df", "gram")) - 1,
+        })
+        return placed.where(F.col("place") <= F.col("known") - F.ceil(F.col("size") * threshold - 1e-9))
+
+    # Marked, because a string that is a term must meet it.
+    marked = held.withColumn("term", F.concat(F.lit("="), F.col("term")))
+    entries = prefix(marked, "item_id").select(
+        F.col("gram").alias("term"), F.col("size").alias("level"), "item_id", F.col("size").alias("item_size"),
+        (F.col("known") - F.col("place")).alias("item_left"),
+    )
+    readers = prefix(asked, "query_id").select(
+        "query_id", F.col("gram").alias("term"), "size", (F.col("known") - F.col("place")).alias("left")
+    )
+    lists = postings.described(postings.block_sizes(entries), readers)
+    opened = postings.opened(readers, lists).where(
+        (F.col("level") >= F.col("size") * threshold - 1e-9) & (F.col("level") * threshold <= F.col("size") + 1e-9)
+    )
+    needed = F.ceil((F.col("size") + F.col("item_size")) * (threshold / (1 + threshold)) - 1e-9)
+    pairs = (
+        postings.met(opened, cut(postings.placed(entries, lists)), ["size", "left"])
+        .where(F.least("left", "item_left") >= needed)
+        .select("query_id", F.expr("substring(item_id, 2)").alias("found"))
+        .distinct()
+    )
+    scored = pairs.join(asked.select(F.col("term").alias("query_id"), F.col("grams").alias("own")), "query_id").join(
+        held.withColumnRenamed("term", "found"), "found"
+    )
+    shared = F.size(F.array_intersect("own", "grams"))
+    near = scored.withColumn("similarity", F.round(shared / (F.size("own") + F.size("grams") - shared), 9)).where(
+        F.col("similarity") >= threshold
+    )
+    place = F.struct(-F.col("similarity"), "cui", "found")
+    return (
+        near.groupBy(F.col("query_id").alias("term"))
+        .agg(F.min_by(F.struct("cui", "found", "similarity"), place).alias("b"))
+        .select("term", "b.*")
+    )
+
+
+def fuzzy_spans(docs: DataFrame, terms: DataFrame, longest: int, threshold: float = SIMILARITY) -> DataFrame:
+    """Every place where up to ``longest`` tokens are similar to a dictionary term, with the closest one."""
+    placed = term_places(docs, longest)
+    return lookup_join(placed, cut(similar_terms(placed, terms, threshold)), "term", ["doc_id", "start"], "inner")
+
+
+def tag_fuzzy(docs: DataFrame, terms: DataFrame, longest: int, threshold: float = SIMILARITY) -> DataFrame:
+    """Best non-overlapping similar spans: the most similar first, then longer, then earlier ones."""
+    spans = fuzzy_spans(docs, terms, longest, threshold)
+    return spans if longest == 1 else best_spans(spans, ["similarity", "length"])
 
 
-def best_spans(spans: DataFrame) -> DataFrame:
-    """Non-overlapping spans of each document, longer ones first, then earlier ones.
+def best_spans(spans: DataFrame, best: Sequence[str] = ("length",)) -> DataFrame:
+    """Non-overlapping spans of each document, those of largest ``best`` first, then earlier ones.
 
     Documents are spread over the tasks and read in sorted order; only the token positions taken
     in the current document are held.
     """
     ordered = spans.repartition("doc_id").sortWithinPartitions(
-        "doc_id", F.desc("length"), "start"
+        "doc_id", *[F.desc(c) for c in best], "start"
     )
     return ordered.mapInPandas(_keep_free_spans, ordered.schema)
 

@@ -99,116 +99,123 @@ def allowed_edits(length: Column) -> Column:
     return F.floor(length * (2 * EDIT_SHARE / (1 - EDIT_SHARE))).cast("int")
 
 
-def edit_keys(ident: Column) -> Column:
-    """The string and all strings left after deleting as many characters as could have been edited.
+# Segments of an id beyond the edits it allows: so many must come through any edits unchanged.
+SURVIVORS = 2
 
-    Two ids within reach of each other share such a key. Ids under nine characters have one key,
-    their own; a key stands for few ids because each is a deletion of at most a few characters.
-    """
 
-    def shorten(level: Column) -> Column:
-        return F.array_distinct(
-            F.flatten(
-                F.transform(
-                    level,
-                    lambda s: F.transform(
-                        F.sequence(F.lit(1), F.greatest(F.length(s), F.lit(1))),
-                        lambda i: F.concat(
-                            F.substring(s, F.lit(1), i - 1), F.substring(s, i + 1, F.length(s))
-                        ),
-                    ),
-                )
-            )
+def segment_bounds(length: Column, segments: Column, i: Column) -> tuple[Column, Column]:
+    """Start (from 0) and length of the ``i``-th of almost equal segments."""
+    start = F.floor(i * length / segments).cast("int")
+    return start, (F.floor((i + 1) * length / segments) - start).cast("int")
+
+
+def _key(length: Column, i: Column, j: Column, first: Column, second: Column) -> Column:
+    return F.xxhash64(length, i, j, first, second)
+
+
+def segment_keys(diagnosis: DataFrame) -> DataFrame:
+    """One key for every two segments of ``_d``; an id that allows e edits is cut into e + 2 segments."""
+    n = F.length("_d")
+    segments = allowed_edits(n) + SURVIVORS
+
+    def cut_at(i: Column) -> Column:
+        start, size = segment_bounds(n, segments, i)
+        return F.substring(F.col("_d"), start + 1, size)
+
+    pairs = F.flatten(
+        F.transform(
+            F.sequence(F.lit(0), segments - 2),
+            lambda i: F.transform(F.sequence(i + 1, segments - 1), lambda j: _key(n, i, j, cut_at(i), cut_at(j))),
         )
+    )
+    return diagnosis.withColumn("_key", F.explode(F.array_distinct(pairs)))
 
-    rounds = F.when(
-        allowed_edits(F.length(ident)) > 0, F.sequence(F.lit(1), allowed_edits(F.length(ident)))
-    ).otherwise(F.array().cast("array<int>"))
-    start = F.struct(F.array(ident).alias("seen"), F.array(ident).alias("last"))
 
-    def widen(state: Column, _: Column) -> Column:
-        shorter = shorten(state["last"])
-        return F.struct(F.concat(state["seen"], shorter).alias("seen"), shorter.alias("last"))
+def shifted_keys(patients: DataFrame) -> DataFrame:
+    """The keys under which an id within reach of ``_p`` can stand.
 
-    return F.array_distinct(F.aggregate(rounds, start, widen)["seen"])
+    For each length in reach and every two segments of such an id, the parts of ``_p`` at their shifted
+    places. Edits before, between and behind the two segments move them by a, b and c characters, and
+    there are at least ``|a| + |b| + |c|`` of them, so only shifts within the allowed edits are tried.
+    """
+    n = F.length("_p")
+    reach = (1 - EDIT_SHARE) / (1 + EDIT_SHARE)
+    lengths = patients.withColumn("_m", F.explode(F.sequence(F.greatest(F.ceil(n * reach), F.lit(1)).cast("int"), F.floor(n / reach).cast("int"))))
+    m = F.col("_m")
+    tried = lengths.withColumn("_e", F.floor((n + m) * EDIT_SHARE + 1e-9).cast("int")).where(F.abs(n - m) <= F.col("_e"))
+    tried = tried.withColumn("_segments", allowed_edits(m) + SURVIVORS)
+    tried = tried.withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_segments") - 2)))
+    tried = tried.withColumn("_j", F.explode(F.sequence(F.col("_i") + 1, F.col("_segments") - 1)))
+    around = lambda limit: F.explode(F.sequence(-limit, limit))
+    tried = tried.withColumn("_a", around(F.col("_e")))
+    tried = tried.withColumn("_b", around(F.col("_e") - F.abs("_a")))
+    tried = tried.where(F.abs("_a") + F.abs("_b") + F.abs(n - m - F.col("_a") - F.col("_b")) <= F.col("_e"))
+    (start_i, size_i), (start_j, size_j) = (segment_bounds(m, F.col("_segments"), F.col(c)) for c in ("_i", "_j"))
+    at_i, at_j = start_i + F.col("_a"), start_j + F.col("_a") + F.col("_b")
+    inside = (at_i >= 0) & (at_i + size_i <= at_j) & (at_j + size_j <= n)
+    part = lambda at, size: F.substring(F.col("_p"), at + 1, size)
+    key = _key(m, F.col("_i"), F.col("_j"), part(at_i, size_i), part(at_j, size_j))
+    return tried.where(inside).select(*patients.columns, key.alias("_key")).distinct()
 
 
 def fuzzy_candidates(patients: DataFrame, diagnosis: DataFrame) -> DataFrame:
-    """Pairs of ids that could reach the id score, found by equality of keys.
+    """Pairs of ids that could reach the id score.
 
-    Three ways lead to a high score: the same set of tokens, few edits, or the tokens of one id
-    being part of the other's.
+    Three ways lead to a high score: the same set of tokens, few edits, or the tokens of one id being
+    part of the other's. Few edits leave at least two segments unchanged, at places they can be shifted
+    to; two of them are joined, because one alone may be a prefix that many ids share. What the join
+    finds is checked by a bounded edit distance before any score is computed.
     """
     left = patients.select("patient_id", processed(F.col("patient_id")).alias("_p")).where("_p != ''")
     right = diagnosis.select(
         "diag_id", "diag_seq", processed(F.col("diag_id")).alias("_d")
     ).where("_d != ''")
+    columns = ["patient_id", "diag_id", "diag_seq"]
 
     def same_tokens(df: DataFrame, text: str) -> DataFrame:
         return df.withColumn("_key", F.array_join(_token_set(text), " "))
 
-    def edited(df: DataFrame, text: str) -> DataFrame:
-        return df.withColumn("_key", F.explode(edit_keys(F.col(text))))
-
-    edits = F.length("_p") + F.length("_d") - 2 * F.length("_key")
-    reachable = edits <= EDIT_SHARE * (F.length("_p") + F.length("_d"))
-    columns = ["patient_id", "diag_id", "diag_seq"]
     by_tokens = same_tokens(left, "_p").join(same_tokens(right, "_d"), "_key")
-    by_edits = edited(left, "_p").join(edited(right, "_d"), "_key").where(reachable)
+    edits = F.floor((F.length("_p") + F.length("_d")) * EDIT_SHARE + 1e-9).cast("int")
+    by_edits = (
+        shifted_keys(left)
+        .join(segment_keys(right), "_key")
+        .where(F.call_function("levenshtein", F.col("_p"), F.col("_d"), edits) >= 0)
+    )
     pairs = by_tokens.select(columns).unionByName(by_edits.select(columns))
-    several = _token_pairs(left, right)
-    return pairs.unionByName(several).distinct()
-
-
-# Ids of more tokens than this are matched by their rarest token instead of by token subsets.
-SUBSET_TOKENS = 8
-
-
-def _token_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Pairs in which the tokens of one id are part of the other's.
-
-    The larger id stands under each subset of its tokens and the smaller under its whole set, so
-    only true pairs meet. Ids of many tokens would have too many subsets; those meet the smaller
-    ids on the smaller id's rarest token.
-    """
-    a = left.select("patient_id", _token_set("_p").alias("_tokens"))
-    b = right.select("diag_id", "diag_seq", _token_set("_d").alias("_tokens"))
-    columns = ["patient_id", "diag_id", "diag_seq"]
-    found = _subset_pairs(b, a).select(columns).unionByName(_subset_pairs(a, b).select(columns))
-    long_found = _rare_pairs(b, a).select(columns).unionByName(_rare_pairs(a, b).select(columns))
-    return found.unionByName(long_found)
+    return pairs.unionByName(_token_pairs(left, right).select(columns)).distinct()
 
 
 def _token_set(text: str) -> Column:
     return F.array_sort(F.array_distinct(F.split(F.col(text), r"\s+")))
 
 
-def _subset_pairs(larger: DataFrame, smaller: DataFrame) -> DataFrame:
-    none = F.array(F.lit("")).cast("array<string>")
-
-    def grow(seen: Column, token: Column) -> Column:
-        return F.concat(seen, F.transform(seen, lambda s: F.concat(s, F.lit(" "), token)))
+def _token_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Pairs in which the tokens of one id are part of the other's, and which can score by that.
 
-    subsets = F.aggregate("_tokens", none, grow)
-    keyed = larger.where(F.size("_tokens").between(2, SUBSET_TOKENS)).withColumn(
-        "_key", F.explode(subsets)
-    )
-    whole = smaller.withColumn("_key", F.concat(F.lit(" "), F.array_join("_tokens", " ")))
-    return keyed.drop("_tokens").join(whole.drop("_tokens"), "_key")
+    The larger id stands under each of its tokens, the smaller one under its rarest only.
+    """
+    a = left.select("patient_id", "_p", _token_set("_p").alias("_tokens"))
+    b = right.select("diag_id", "diag_seq", "_d", _token_set("_d").alias("_tokens"))
+    found = _contained(b, a).unionByName(_contained(a, b))
+    shorter, longer = F.least(F.length("_p"), F.length("_d")), F.greatest(F.length("_p"), F.length("_d"))
+    return found.where(longer < 1.5 * shorter)
 
 
-def _rare_pairs(larger: DataFrame, smaller: DataFrame) -> DataFrame:
+def _contained(larger: DataFrame, smaller: DataFrame) -> DataFrame:
     token = F.explode("_tokens").alias("_token")
     rest = [c for c in larger.columns if c != "_tokens"]
     own = [c for c in smaller.columns if c != "_tokens"]
-    many = larger.where(F.size("_tokens") > SUBSET_TOKENS).select(*rest, token)
+    several = larger.where(F.size("_tokens") > 1)
+    many = several.select(*rest, F.col("_tokens").alias("_all"), token)
     sizes = many.groupBy("_token").agg(F.count(F.lit(1)).alias("_n"))
     rarest = (
-        lookup_join(smaller.select(*own, token), sizes, "_token", own[:1])
-        .groupBy(*own)
+        lookup_join(smaller.select(*own, F.col("_tokens").alias("_few"), token), sizes, "_token", own[:1])
+        .groupBy(*own, "_few")
         .agg(F.min_by("_token", F.struct(F.coalesce("_n", F.lit(0)), "_token")).alias("_token"))
     )
-    return many.join(rarest, "_token")
+    pairs = many.join(rarest, "_token").where(F.size(F.array_except("_few", "_all")) == 0)
+    return pairs.select("patient_id", "_p", "diag_id", "diag_seq", "_d")
 
 
 def fuzzy_links(patients: DataFrame, diagnosis: DataFrame) -> DataFrame:

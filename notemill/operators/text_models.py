@@ -11,7 +11,8 @@ from collections.abc import Callable, Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from notemill.operators import bayes, neighbours, rules, sampling
+from notemill.operators import bayes, neighbours, rules, sampling, set_neighbours, sparse_neighbours
+from notemill.operators.vectors import TermOptions
 
 Predictor = Callable[[DataFrame, DataFrame, Mapping[str, object]], DataFrame]
 
@@ -37,6 +38,16 @@ def _bit_knn(train: DataFrame, test: DataFrame, params: Mapping[str, object]) ->
     )
 
 
+def _bit_knn_all(train: DataFrame, test: DataFrame, params: Mapping[str, object]) -> DataFrame:
+    return set_neighbours.predict(train, test, params.get("k", 5))
+
+
+def _text_knn(train: DataFrame, test: DataFrame, params: Mapping[str, object]) -> DataFrame:
+    both = train.withColumn("fold", F.lit(0)).unionByName(test.withColumn("fold", F.lit(1)))
+    options = params.get("terms", TermOptions())
+    return sparse_neighbours.predict(both, [1], params.get("n_neighbors", 5), params.get("weights", "uniform"), options)
+
+
 def _mined(train: DataFrame, test: DataFrame, params: Mapping[str, object]) -> DataFrame:
     return rules.mined_predict(train, test, **params)
 
@@ -46,6 +57,8 @@ TEXT_CLASSIFIERS: dict[str, Predictor] = {
     "mined_rules": _mined,
     "class_print": _prints,
     "bit_knn": _bit_knn,
+    "bit_knn_all": _bit_knn_all,
+    "text_knn": _text_knn,
     "majority": lambda train, test, params: bayes.majority(test, train),
 }
 

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from notemill.functions import text as T
 from notemill.operators import corpus as C
-from notemill.plans.base import documents, query, strip_sql, table
+from notemill.plans.base import corpus, documents, query, strip_sql, table
+from notemill.scale import shared_folder
 from notemill.sources import scans as S
+from notemill.sources import sinks
 
 
 def note_line():
@@ -499,3 +503,17 @@ def file_names(spark, sf_dir):
     return docs.select(
         "doc_id", T.doc_id_of(F.col("path")).alias("name"), T.pad(F.coalesce("lang", F.lit(""))).alias("padded")
     )
+
+
+@query(
+    "corpus_files",
+    """
+SELECT lpad(CAST(d.doc_id AS VARCHAR), 7, '0') AS doc_id, CAST(l.quality AS INT) AS label, md5(d.text) AS text_md5
+FROM documents d JOIN labels l ON d.doc_id = l.doc_id""",
+)
+def corpus_files(spark, sf_dir):
+    """Labelled documents under padded ids, written as one file each and read back."""
+    docs = corpus(spark, sf_dir).withColumn("doc_id", F.lpad(F.col("doc_id").cast("string"), 7, "0"))
+    path = f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
+    sinks.write_text(docs, path, classes=("no", "yes"))
+    return S.read_labelled_corpus(spark, path).select("doc_id", "label", F.md5("text").alias("text_md5"))

@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 from notemill.operators import linkage
 
 
@@ -78,6 +80,32 @@ def test_fuzzy_pairs_equal_brute_force(spark):
     assert got == want
 
 
+def test_long_ids_meet_by_segments(spark):
+    """Forty characters allow four edits; shared prefixes and suffixes make no candidates."""
+    rng = random.Random(3)
+    base = ["prefix" + "".join(rng.choice("0123456789") for _ in range(28)) + "suffix" for _ in range(40)]
+
+    def altered(s, edits):
+        for _ in range(edits):
+            i = rng.randrange(len(s))
+            s = s[:i] + s[i + 1 :] if rng.random() < 0.5 else s[:i] + rng.choice("0123456789") + s[i:]
+        return s
+
+    patients = [(altered(s, i % 7), "a,b") for i, s in enumerate(base)]
+    p, d = frames(spark, patients, [(s, "a", "b") for s in base])
+    got = {(r["patient_id"], r["diag_id"]) for r in linkage.fuzzy_links(p, d).collect()}
+    want = brute_force(patients, [(s, "a", "b") for s in base])
+    assert got == want and len(want) >= 20
+    assert linkage.fuzzy_candidates(p, d).count() <= 2 * len(base)
+
+
+def test_keys_grow_slowly_with_the_length(spark):
+    ids = spark.createDataFrame([("7" * n,) for n in (8, 16, 24, 40)], "_p string")
+    varied = ids.select(F.transform(F.sequence(F.lit(1), F.length("_p")), lambda i: F.char(F.lit(64) + i)).alias("c")).select(F.array_join("c", "").alias("_p"))
+    counts = {len(r["_p"]): r["count"] for r in linkage.shifted_keys(varied).groupBy("_p").count().collect()}
+    assert counts[8] == 1 and counts[16] <= 25 and counts[40] < 2500
+
+
 def test_long_ids_meet_on_their_rarest_token(spark):
     long_id = " ".join(f"t{i:02d}x" for i in range(10))
     p, d = frames(spark, [(" ".join(f"t{i:02d}x" for i in range(9)), "a,b")], [(long_id, "a", "b"), ("t00x zz", "a", "b")])

@@ -2,6 +2,7 @@ import json
 import os
 
 import pytest
+from pyspark.errors import PySparkException
 
 from notemill.operators import rules
 from notemill.sources import scans, sinks
@@ -71,11 +72,37 @@ def test_corpus_round_trip(spark, tmp_path):
     sinks.write_corpus(docs.where("label = 1"), path)
     back = spark.read.parquet(path)
     assert sorted(map(tuple, back.select("doc_id", "label", "text").collect())) == [("1", 0, "a"), ("2", 1, "b")]
-    lines = spark.createDataFrame([("1", 0, "a\nb  c"), ("x y", 1, "d")], docs.schema)
-    sinks.write_text(lines, str(tmp_path / "text"))
-    back = spark.read.text(str(tmp_path / "text"), wholetext=True)
-    assert sorted((r["doc_id"], r["label"], r["value"].rstrip("\n")) for r in back.collect()) == [("1", 0, "a\nb  c"), ("x y", 1, "d")]
     sinks.write_json(docs, str(tmp_path / "json"))
     assert spark.read.json(str(tmp_path / "json")).count() == 2
     sinks.write_report(docs, str(tmp_path / "csv"))
     assert spark.read.option("header", True).csv(str(tmp_path / "csv")).columns == ["doc_id", "label", "text"]
+
+
+def test_text_files_are_read_back_with_their_ids(spark, tmp_path):
+    path = str(tmp_path / "text")
+    rows = [("0012345", 1, "first\nsecond  line\n"), ("0000007", 0, ""), ("7", 0, None), ("a-1.b", 1, "é漢")]
+    docs = spark.createDataFrame(rows, "doc_id string, label int, text string").repartition(2)
+    sinks.write_text(docs, path, classes=("no", "yes"))
+    back = scans.read_labelled_corpus(spark, path)
+    assert sorted(map(tuple, back.collect())) == sorted((i, n, t or "") for i, n, t in rows)
+    more = spark.createDataFrame([("8", 0, "later"), ("7", 0, "replaced")], docs.schema)
+    sinks.write_text(more, path, classes=("no", "yes"))
+    held = {r["doc_id"]: r["text"] for r in scans.read_labelled_corpus(spark, path).collect()}
+    assert len(held) == 5 and (held["7"], held["8"]) == ("replaced", "later")
+    sinks.write_text(more, path, classes=("no", "yes"), mode="overwrite")
+    assert scans.read_labelled_corpus(spark, path).count() == 2
+    assert sorted(p.name for p in (tmp_path / "text").iterdir()) == ["_SUCCESS", "no"]
+
+
+def test_refused_names_leave_nothing_behind(spark, tmp_path):
+    path = tmp_path / "text"
+    twice = spark.createDataFrame([("1", "a", "x"), ("1", "a", "y")], "doc_id string, label string, text string")
+    with pytest.raises(ValueError, match="a/1.txt"):
+        sinks.write_text(twice, str(path))
+    for name in ("../1", ".hidden", "", None):
+        wrong = spark.createDataFrame([("5", "a", "x"), (name, "a", "y")], twice.schema).coalesce(1)
+        with pytest.raises(PySparkException):
+            sinks.write_text(wrong, str(path))
+    assert [p for p in path.rglob("*") if p.is_file()] == []
+    sinks.write_text(spark.createDataFrame([], twice.schema), str(path))
+    assert scans.read_labelled_corpus(spark, str(path), ("a",)).count() == 0
