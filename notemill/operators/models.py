@@ -48,7 +48,8 @@ FAMILIES: dict[str, Family] = {
         {"tol": "tol", "fit_intercept": "fitIntercept", "max_iter": "maxIter"},
     ),
     "RandomForestClassifier": Family(
-        RandomForestClassifier, {"n_estimators": "numTrees", "max_depth": "maxDepth", "random_state": "seed"}
+        RandomForestClassifier,
+        {"n_estimators": "numTrees", "max_depth": "maxDepth", "random_state": "seed", "max_features": "featureSubsetStrategy"},
     ),
     "GradientBoostingClassifier": Family(
         GBTClassifier,

@@ -1,6 +1,7 @@
 """Fitted ``pyspark.ml`` models: cross-validation, grids, hold-out tests and learning curves.
 
-Bayes has a closed form and is checked in SQL; iterative fits have no counterpart there.
+Bayes has a closed form and is checked in SQL. Iterative fits have no counterpart there, so they learn from
+documents to which their label has been added as a word: what every sound fit predicts is then known.
 """
 
 from __future__ import annotations
@@ -45,21 +46,47 @@ def _part(a: str, b: str) -> str:
     return f"CASE WHEN {b} = 0 THEN 0 ELSE round(({a}) / ({b}), 6) END"
 
 
-def _cross_validated(spark, sf_dir, classifier, mode="tfidf", **params):
-    docs = corpus(spark, sf_dir)
+def marked(docs):
+    """The label as a word, four times as often as the text has words, so that it decides every vector."""
+    mark = F.concat(F.lit(" marked"), F.col("label").cast("string"))
+    often = F.size(F.split("text", " ")) * 4
+    return docs.withColumn("text", F.concat("text", F.repeat(mark, often)))
+
+
+def _perfect_sql(rows: str, keys: str = "") -> str:
+    """Metrics of predictions that equal the labels."""
+    count = "count(*) FILTER (label = 1) AS tp, CAST(0 AS BIGINT) AS fp, CAST(0 AS BIGINT) AS fn, count(*) FILTER (label = 0) AS tn"
+    group = f"GROUP BY {keys.rstrip(', ')}" if keys else ""
+    return f"""WITH {CORPUS_SQL}, {rows}, cm AS (SELECT {keys}{count} FROM f {group})
+SELECT *, {_part("tp", "tp + fp")} AS precision, {_part("tp", "tp + fn")} AS recall,
+  {_part("2 * tp", "2 * tp + fp + fn")} AS f1, {_part("tp + tn", "tp + fp + fn + tn")} AS acc,
+  {_part("tn", "tn + fp")} AS spc, {_part("tn", "tn + fn")} AS npv FROM cm"""
+
+
+PERFECT_FOLDS_SQL = _perfect_sql(_folds_sql(FOLDS), "fold, ")
+TEST_SQL = f"""t AS (SELECT *, row_number() OVER (ORDER BY {shuffle_sql(0)}) <= ceil(count(*) OVER () * 0.2) AS is_test FROM corpus),
+f AS (SELECT * FROM t WHERE is_test)"""
+
+
+def _cross_validated(spark, sf_dir, classifier, mode="tfidf", docs=None, **params):
+    docs = corpus(spark, sf_dir) if docs is None else docs
     options = RunOptions(classifier, folds=FOLDS, mode=mode, terms=TERMS, params=params)
     store = experiments.FeatureStore(docs)
     return experiments.cross_validate(store.get(options), options)
 
 
-@query("svm_cv")
+def _marked_cv(spark, sf_dir, classifier, **params):
+    return _cross_validated(spark, sf_dir, classifier, docs=marked(corpus(spark, sf_dir)), **params)
+
+
+@query("svm_cv", PERFECT_FOLDS_SQL)
 def svm_cv(spark, sf_dir):
-    return _cross_validated(spark, sf_dir, "LinearSVC", C=1.0, class_weight="balanced", max_iter=100).metrics()
+    return _marked_cv(spark, sf_dir, "LinearSVC", C=1.0, class_weight="balanced", max_iter=100).metrics()
 
 
-@query("logreg_cv")
+@query("logreg_cv", PERFECT_FOLDS_SQL)
 def logreg_cv(spark, sf_dir):
-    return _cross_validated(spark, sf_dir, "LogisticRegression", C=10.0, max_iter=100).metrics()
+    return _marked_cv(spark, sf_dir, "LogisticRegression", C=10.0, max_iter=100).metrics()
 
 
 @query(
@@ -78,10 +105,10 @@ def nb_cv(spark, sf_dir):
     return found.select(*[F.round(c, 6).alias(c) if c in evaluate.METRICS else F.col(c) for c in found.columns])
 
 
-@query("forest_cv")
+@query("forest_cv", PERFECT_FOLDS_SQL)
 def forest_cv(spark, sf_dir):
-    return _cross_validated(
-        spark, sf_dir, "RandomForestClassifier", n_estimators=40, max_depth=5, random_state=1
+    return _marked_cv(
+        spark, sf_dir, "RandomForestClassifier", n_estimators=20, max_depth=5, random_state=1, max_features="all"
     ).metrics()
 
 
@@ -92,22 +119,32 @@ def feature_weights(spark, sf_dir):
     return evaluate.weight_pivot(result.weights, FOLDS)
 
 
-@query("rff_svm")
+@query(
+    "feature_signs",
+    f"WITH fold AS (SELECT CAST(unnest(range({FOLDS})) AS INT) AS fold) SELECT fold, 'marked1' AS highest, 'marked0' AS lowest FROM fold",
+)
+def feature_signs(spark, sf_dir):
+    """The terms of largest and of smallest weight in every fold."""
+    weights = _marked_cv(spark, sf_dir, "LinearSVC", C=1.0, max_iter=100).weights
+    return weights.groupBy("fold").agg(F.max_by("term", "weight").alias("highest"), F.min_by("term", "weight").alias("lowest"))
+
+
+@query("rff_svm", _perfect_sql(TEST_SQL))
 def rff_svm(spark, sf_dir):
-    features = experiments.features_of(corpus(spark, sf_dir), "tfidf", TERMS)
+    features = experiments.features_of(marked(corpus(spark, sf_dir)), "tfidf", TERMS)
     mapped = models.random_fourier(features.docs, size=256, gamma=0.5)
     split = sampling.holdout(mapped, 0.2)
     model = experiments.fit(split.where("is_test = 0"), "LinearSVC", {"C": 1.0, "max_iter": 100})
     return evaluate.fold_metrics(models.predictions(model, split.where("is_test = 1")), [])
 
 
-@query("holdout_eval")
+@query("holdout_eval", f"WITH {CORPUS_SQL}, {TEST_SQL} SELECT doc_id, label, label AS pred FROM f")
 def holdout_eval(spark, sf_dir):
     """Refit on four fifths of the corpus, predict the rest with the same stages."""
-    split = sampling.holdout(corpus(spark, sf_dir), 0.2)
+    split = sampling.holdout(marked(corpus(spark, sf_dir)), 0.2)
     options = RunOptions("LogisticRegression", terms=TERMS, params={"max_iter": 100})
     predictions, _ = experiments.evaluate_on(split.where("is_test = 0"), split.where("is_test = 1"), options)
-    return predictions
+    return predictions.select("doc_id", "label", "pred")
 
 
 @query(
@@ -130,14 +167,23 @@ def learning_curve(spark, sf_dir):
     return curve.select("fraction", F.round("f1", 6).alias("f1"))
 
 
-@query("grid_runs")
+GRID = {"loss": ["hinge", "squared_hinge"], "C": [0.1, 1.0, 10.0]}
+
+
+@query(
+    "grid_runs",
+    """
+SELECT CAST(i AS INT) AS seq, 'LinearSVC' AS classifier, i > 2 AS failed, CASE WHEN i <= 2 THEN 1.0 END AS precision,
+  CASE WHEN i <= 2 THEN 1.0 END AS recall, CASE WHEN i <= 2 THEN 1.0 END AS f1, CASE WHEN i <= 2 THEN 0.0 END AS std,
+  CASE WHEN i <= 2 THEN 1.0 END AS acc, CASE WHEN i <= 2 THEN 1.0 END AS auc
+FROM (SELECT unnest(range(6)) AS i) WHERE (SELECT count(DISTINCT quality) FROM labels) = 2""",
+)
 def grid_runs(spark, sf_dir):
-    """A small grid, one combination of which the estimator does not offer."""
-    grid = experiments.grid({"loss": ["hinge", "squared_hinge"], "C": [1.0]})
-    runs = [
-        RunOptions("LinearSVC", folds=2, terms=TERMS, params={**row, "max_iter": 100}) for row in grid
-    ]
-    return experiments.run_grid(corpus(spark, sf_dir), runs).drop("options")
+    """A grid over losses and costs; the loss that the estimator does not offer gives error rows."""
+    runs = [RunOptions("LinearSVC", folds=2, terms=TERMS, params={**row, "max_iter": 100}) for row in experiments.grid(GRID)]
+    found = experiments.run_grid(marked(corpus(spark, sf_dir)), runs)
+    metrics = ("precision", "recall", "f1", "std", "acc", "auc")
+    return found.select("seq", "classifier", F.col("error").isNotNull().alias("failed"), *[F.round(m, 6).alias(m) for m in metrics])
 
 
 SMOOTHING = [0.1, 0.5, 1.0, 2.0]

@@ -105,8 +105,8 @@ def read_separated(
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
-    """Quoted comma-separated values without a header, typed by ``schema``."""
-    return spark.read.schema(schema).option("multiLine", False).csv(path)
+    """Quoted comma-separated values without a header, typed by ``schema``; a quote inside is doubled."""
+    return spark.read.schema(schema).option("multiLine", False).option("escape", '"').csv(path)
 
 
 def read_labelled_corpus(spark: SparkSession, path: str, classes: Sequence[str] = ("no", "yes")) -> DataFrame:
@@ -136,8 +136,9 @@ def file_inventory(spark: SparkSession, path: str, recurse: bool = False, full_p
     return files if full_path else files.withColumn("path", F.regexp_extract("path", "([^/]+)$", 1))
 
 
-def read_json(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
-    reader = spark.read.option("multiLine", True)
+def read_json(spark: SparkSession, path: str, schema: T.StructType | str | None = None, lines: bool = False) -> DataFrame:
+    """Files of one value or array each, or, with ``lines``, of one record a line, as ``sinks.write_json`` makes them."""
+    reader = spark.read.option("multiLine", not lines)
     return (reader.schema(schema) if schema else reader).json(path)
 
 
