@@ -6,8 +6,8 @@ there both sides have a token border. Inside a group the overlapping pairs are e
 pair that overlaps (``links="overlap"``) or that also ends at the same byte (``links="end"``).
 
 * A text is cut at single blanks between printable characters, where neither tokenizer has a token
-  across; a slice of documents encodes and aligns each distinct part once and holds its documents as
-  sequences of parts. If one of the tokenizers could join such parts, texts are not cut.
+  across; a slice of documents encodes and aligns each distinct part once (many of them as one text) and
+  holds its documents as sequences of parts. If a tokenizer could join such parts, texts are not cut.
 * Links are counted by id pair inside the slice, then over all slices by partial sums. A slice looks
   up its own distinct pairs; pairs that almost all slices hold take a broadcast of bounded size.
 * Slices are written to the checkpoint folder before anything is counted, so reruns see the same ones.
@@ -29,7 +29,6 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import chain, compress
-from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +42,7 @@ from pyspark.sql import types as T
 from notemill.llm import tables, words
 from notemill.scale import cut, lookup_join
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 8 << 20
 PARTS_AT_ONCE = 4096
 MADE = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups")
 LINKS = ("end", "overlap")
@@ -51,6 +50,7 @@ LINKS = ("end", "overlap")
 MARK = "▁"
 # A single blank between characters that are no blanks for either tokenizer.
 BETWEEN = re.compile("(?<=[!-~À-ɏ]) (?=[!-~À-ɏ])")
+EDGES = re.compile("[!-~À-ɏ](?:.*[!-~À-ɏ])?\\Z", re.DOTALL)
 
 IDS = T.ArrayType(T.IntegerType())
 GROUPS = T.ArrayType(T.StructType([T.StructField("a", IDS), T.StructField("b", IDS)]))
@@ -96,6 +96,25 @@ class Tokenizers:
     def parts(self, text: str) -> list[str]:
         return BETWEEN.split(text) if self.cuts else [text]
 
+    def joinable(self, part: str) -> bool:
+        """Whether both tokenizers cut between this part and a neighbour of the same kind with a blank between."""
+        return self.cuts and bool(EDGES.match(part))
+
+    def encode_joined(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids of joinable parts, encoded as one text; none if tokens and bytes do not meet at every part's end."""
+        text = " ".join(parts)
+        ids = self.a.encode_batch_fast([f" {text}"], add_special_tokens=False)[0].ids, self.b.encode(text, num_threads=1)
+        size = np.fromiter((len(p.encode()) + 1 for p in parts), np.int64, len(parts))
+        out = []
+        for one, table, sizes in zip(ids, (self.a_bytes, self.b_bytes), (self.a_sizes, self.b_sizes), strict=True):
+            tokens = np.array(one, dtype=np.int32)
+            ends, borders = np.cumsum(sizes[tokens]), np.cumsum(size)
+            at = np.searchsorted(ends, borders)
+            if b"".join([table[t] for t in one]) != f" {text}".encode() or not np.array_equal(ends[at], borders):
+                return None
+            out.append(tokens)
+        return out[0], out[1]
+
     def encode(self, parts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
         a = [e.ids for e in self.a.encode_batch_fast([f" {p}" for p in parts], add_special_tokens=False)]
         return a, self.b.encode(parts, num_threads=1)
@@ -155,36 +174,29 @@ def coalesce(a: np.ndarray, a_size: np.ndarray, b: np.ndarray, b_size: np.ndarra
     )
 
 
-def same(ids: list[list[int]], table: list[bytes], texts: list[bytes]) -> bool:
-    """Whether every list's bytes are its text: all bytes at once, then the borders."""
-    made = [table[t] for t in chain.from_iterable(ids)]
-    if b"".join(made) != b"".join(texts):
-        return False
-    ends = np.cumsum(np.fromiter(map(len, made), np.int64, len(made)))
-    counts = np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))
-    borders = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
-    return bool((counts > 0).all()) and np.array_equal(ends[counts - 1], borders)
-
+def align_parts(parts: list[str], n_joinable: int, pair: Tokenizers, links: str) -> tuple[Aligned, np.ndarray]:
+    """The alignment of all parts, and which of them both sides give back byte for byte.
 
-def align_parts(parts: list[str], pair: Tokenizers, links: str) -> tuple[Aligned, np.ndarray]:
-    """The alignment of all parts, and which of them both sides give back byte for byte."""
+    The first ``n_joinable`` parts are encoded many at a time, all others one by one.
+    """
     whole = np.ones(len(parts), dtype=bool)
-    sizes = np.zeros(len(parts), dtype=np.int64)
+    sizes = np.fromiter((len(p.encode()) + 1 for p in parts), np.int64, len(parts))
     sides: tuple[list, list] = ([], [])
-    for lo in range(0, len(parts), PARTS_AT_ONCE):
-        some = parts[lo : lo + PARTS_AT_ONCE]
-        encoded = pair.encode(some)
-        texts = [b" " + p.encode() for p in some]
-        size = np.fromiter(map(len, texts), np.int64, len(texts))
-        kept = np.ones(len(some), dtype=bool)
-        for ids, table in zip(encoded, (pair.a_bytes, pair.b_bytes), strict=True):
-            if not same(ids, table, texts):
-                made = (b"".join([table[t] for t in one]) for one in ids)
-                kept &= np.fromiter(map(eq, made, texts), bool, len(texts))
-        whole[lo : lo + len(some)] = kept
-        sizes[lo : lo + len(some)] = np.where(kept, size, 0)
-        for held, ids in zip(sides, encoded, strict=True):
-            held.append(np.fromiter(chain.from_iterable(compress(ids, kept.tolist())), np.int32))
+    starts = [*range(0, n_joinable, PARTS_AT_ONCE), *range(n_joinable, len(parts), PARTS_AT_ONCE)]
+    for lo, hi in zip(starts, [*starts[1:], len(parts)], strict=True):
+        some = parts[lo:hi]
+        ids = pair.encode_joined(some) if lo < n_joinable else None
+        if ids is None:
+            encoded = pair.encode(some)
+            kept = [
+                b"".join([pair.a_bytes[t] for t in a]) == b" " + p.encode() == b"".join([pair.b_bytes[t] for t in b])
+                for p, a, b in zip(some, *encoded, strict=True)
+            ]
+            whole[lo:hi] = kept
+            ids = [np.fromiter(chain.from_iterable(compress(one, kept)), np.int32) for one in encoded]
+        for held, one in zip(sides, ids, strict=True):
+            held.append(one)
+    sizes[~whole] = 0
     flat = [np.concatenate([*s, np.zeros(0, dtype=np.int32)]) for s in sides]
     tokens = [sizes_of[ids] for sizes_of, ids in zip((pair.a_sizes, pair.b_sizes), flat, strict=True)]
     return coalesce(flat[0], tokens[0], flat[1], tokens[1], sizes, links), whole
@@ -207,7 +219,13 @@ def sliced(part: pa.RecordBatch, number: int, pair: Tokenizers, links: str, name
     for text in part.column("_text"):
         cuts = pair.parts(text.as_py()) if text.as_py() else []
         sequences.append(np.array([numbers.setdefault(p, len(numbers)) for p in cuts], dtype=np.int32))
-    aligned, whole = align_parts(list(numbers), pair, links)
+    parts = list(numbers)
+    joinable = np.fromiter(map(pair.joinable, parts), bool, len(parts))
+    order = np.argsort(~joinable, kind="stable")
+    aligned, whole = align_parts([parts[i] for i in order.tolist()], int(joinable.sum()), pair, links)
+    place = np.empty(len(parts), dtype=np.int32)
+    place[order] = np.arange(len(parts), dtype=np.int32)
+    sequences = [place[s] for s in sequences]
     sequences = [s if whole[s].all() else s[:0] for s in sequences]
     sequence = np.concatenate([*sequences, np.zeros(0, dtype=np.int32)])
     key = aligned.link_a.astype(np.int64) * len(pair.b_bytes) + aligned.link_b
