@@ -15,6 +15,7 @@ from notemill.plans.base import CORPUS_SQL, corpus, query, shuffle_sql, table, t
 
 TERMS = TermOptions(min_df=5)
 FOLDS = 5
+SURE = 15  # iterations after which a fit on marked documents knows the marks
 
 # Multinomial Bayes in SQL: ``trn`` and ``tst`` hold (run, doc_id, label), ``alphas`` (run, alpha), ``voc`` the terms.
 BAYES_SQL = """
@@ -81,12 +82,12 @@ def _marked_cv(spark, sf_dir, classifier, **params):
 
 @query("svm_cv", PERFECT_FOLDS_SQL)
 def svm_cv(spark, sf_dir):
-    return _marked_cv(spark, sf_dir, "LinearSVC", C=1.0, class_weight="balanced", max_iter=100).metrics()
+    return _marked_cv(spark, sf_dir, "LinearSVC", C=1.0, class_weight="balanced", max_iter=SURE).metrics()
 
 
 @query("logreg_cv", PERFECT_FOLDS_SQL)
 def logreg_cv(spark, sf_dir):
-    return _marked_cv(spark, sf_dir, "LogisticRegression", C=10.0, max_iter=100).metrics()
+    return _marked_cv(spark, sf_dir, "LogisticRegression", C=10.0, max_iter=SURE).metrics()
 
 
 @query(
@@ -125,7 +126,7 @@ def feature_weights(spark, sf_dir):
 )
 def feature_signs(spark, sf_dir):
     """The terms of largest and of smallest weight in every fold."""
-    weights = _marked_cv(spark, sf_dir, "LinearSVC", C=1.0, max_iter=100).weights
+    weights = _marked_cv(spark, sf_dir, "LinearSVC", C=1.0, max_iter=SURE).weights
     return weights.groupBy("fold").agg(F.max_by("term", "weight").alias("highest"), F.min_by("term", "weight").alias("lowest"))
 
 
@@ -134,7 +135,7 @@ def rff_svm(spark, sf_dir):
     features = experiments.features_of(marked(corpus(spark, sf_dir)), "tfidf", TERMS)
     mapped = models.random_fourier(features.docs, size=256, gamma=0.5)
     split = sampling.holdout(mapped, 0.2)
-    model = experiments.fit(split.where("is_test = 0"), "LinearSVC", {"C": 1.0, "max_iter": 100})
+    model = experiments.fit(split.where("is_test = 0"), "LinearSVC", {"C": 1.0, "max_iter": SURE})
     return evaluate.fold_metrics(models.predictions(model, split.where("is_test = 1")), [])
 
 
@@ -142,7 +143,7 @@ def rff_svm(spark, sf_dir):
 def holdout_eval(spark, sf_dir):
     """Refit on four fifths of the corpus, predict the rest with the same stages."""
     split = sampling.holdout(marked(corpus(spark, sf_dir)), 0.2)
-    options = RunOptions("LogisticRegression", terms=TERMS, params={"max_iter": 100})
+    options = RunOptions("LogisticRegression", terms=TERMS, params={"max_iter": SURE})
     predictions, _ = experiments.evaluate_on(split.where("is_test = 0"), split.where("is_test = 1"), options)
     return predictions.select("doc_id", "label", "pred")
 
@@ -180,7 +181,7 @@ FROM (SELECT unnest(range(6)) AS i) WHERE (SELECT count(DISTINCT quality) FROM l
 )
 def grid_runs(spark, sf_dir):
     """A grid over losses and costs; the loss that the estimator does not offer gives error rows."""
-    runs = [RunOptions("LinearSVC", folds=2, terms=TERMS, params={**row, "max_iter": 100}) for row in experiments.grid(GRID)]
+    runs = [RunOptions("LinearSVC", folds=2, terms=TERMS, params={**row, "max_iter": SURE}) for row in experiments.grid(GRID)]
     found = experiments.run_grid(marked(corpus(spark, sf_dir)), runs)
     metrics = ("precision", "recall", "f1", "std", "acc", "auc")
     return found.select("seq", "classifier", F.col("error").isNotNull().alias("failed"), *[F.round(m, 6).alias(m) for m in metrics])
