@@ -28,7 +28,7 @@ import os
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain, compress
+from itertools import chain, compress, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -182,8 +182,8 @@ def align_parts(parts: list[str], n_joinable: int, pair: Tokenizers, links: str)
     whole = np.ones(len(parts), dtype=bool)
     sizes = np.fromiter((len(p.encode()) + 1 for p in parts), np.int64, len(parts))
     sides: tuple[list, list] = ([], [])
-    starts = [*range(0, n_joinable, PARTS_AT_ONCE), *range(n_joinable, len(parts), PARTS_AT_ONCE)]
-    for lo, hi in zip(starts, [*starts[1:], len(parts)], strict=True):
+    bounds = [*range(0, n_joinable, PARTS_AT_ONCE), *range(n_joinable, len(parts), PARTS_AT_ONCE), len(parts)]
+    for lo, hi in pairwise(bounds):
         some = parts[lo:hi]
         ids = pair.encode_joined(some) if lo < n_joinable else None
         if ids is None:
