@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from notemill.functions.text import anchored
 from notemill.operators import evaluate, models, sampling, text_models
 from notemill.operators.vectors import TermOptions, VocabularyTooLarge, prepare, preprocess
-from notemill.scale import hashed_rank
+from notemill.scale import cut, hashed_rank
 from notemill.sources.sinks import feature_names
 
 METRICS = ("f1", "precision", "recall", "acc", "auc", "spc", "npv")
@@ -114,13 +114,15 @@ def cross_validate(features: Features, options: RunOptions, parallelism: int = 4
 
     def run(k: int) -> tuple[DataFrame, DataFrame]:
         model = fit(folded.where(F.col("fold") != k), options.classifier, options.params)
-        return (
-            models.predictions(model, folded.where(F.col("fold") == k), "fold"),
-            models.term_weights(model, features.names, k),
-        )
+        # Written, so that the folds can be let go of.
+        predicted = cut(models.predictions(model, folded.where(F.col("fold") == k), "fold"))
+        return predicted, models.term_weights(model, features.names, k)
 
-    with ThreadPoolExecutor(parallelism) as pool:
-        parts = list(pool.map(run, range(options.folds)))
+    try:
+        with ThreadPoolExecutor(parallelism) as pool:
+            parts = list(pool.map(run, range(options.folds)))
+    finally:
+        folded.unpersist()
     return RunResult(_union([p for p, _ in parts]), _union([w for _, w in parts]))
 
 
@@ -349,8 +351,11 @@ class MacroEvaluator(MulticlassClassificationEvaluator):
 def holdout_eval(features: Features, options: RunOptions, share: float = 0.2) -> DataFrame:
     """Predictions for one held-out share."""
     split = sampling.holdout(features.docs, share, options.seed).persist()
-    model = fit(split.where("is_test = 0"), options.classifier, options.params)
-    return models.predictions(model, split.where("is_test = 1"))
+    try:
+        model = fit(split.where("is_test = 0"), options.classifier, options.params)
+        return cut(models.predictions(model, split.where("is_test = 1")))
+    finally:
+        split.unpersist()
 
 
 def sweep(features: Features, options: Sequence[RunOptions], share: float = 0.2) -> DataFrame:

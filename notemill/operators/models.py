@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from notemill.operators.evaluate import balance_weights
+from notemill.operators.linear import SquaredHinge
 
 # Marks a grid value that leaves a parameter at its default.
 UNSET = "unset"
@@ -68,15 +69,14 @@ def make_classifier(name: str, options: Mapping[str, object], weight_sum: float
         raise UnsupportedOption(f"unknown classifier {name!r}; known: {sorted(FAMILIES)}")
     family = FAMILIES[name]
     given = {k: v for k, v in options.items() if v != UNSET and v is not None}
+    if name == "LinearSVC" and given.get("loss", "hinge") != "hinge":
+        return squared_hinge(given)
     estimator = family.make()
     for option, value in given.items():
         if option in family.options and estimator.hasParam(family.options[option]):
             estimator._set(**{family.options[option]: value})
-    if name == "LinearSVC":
-        if given.get("loss", "hinge") != "hinge":
-            raise UnsupportedOption(f"loss {given['loss']!r}: only hinge")
-        if given.get("penalty", "l2") != "l2":
-            raise UnsupportedOption(f"penalty {given['penalty']!r}: only l2")
+    if name == "LinearSVC" and given.get("penalty", "l2") != "l2":
+        raise UnsupportedOption(f"penalty {given['penalty']!r} with the hinge loss: only l2")
     if name == "LogisticRegression" and given.get("penalty", "l2") == "l1":
         estimator.setElasticNetParam(1.0)
     if name in ("LinearSVC", "LogisticRegression") and "C" in given:
@@ -88,6 +88,21 @@ def make_classifier(name: str, options: Mapping[str, object], weight_sum: float
     return estimator
 
 
+def squared_hinge(given: Mapping[str, object]) -> SquaredHinge:
+    """The linear machine on the squared hinge loss, with either penalty."""
+    if given["loss"] != "squared_hinge" or given.get("penalty", "l2") not in ("l1", "l2"):
+        raise UnsupportedOption(f"loss {given['loss']!r} with penalty {given.get('penalty', 'l2')!r}")
+    if given.get("fit_intercept", True) is False:
+        raise UnsupportedOption("squared_hinge without an intercept")
+    return SquaredHinge(
+        C=float(given.get("C", 1.0)),
+        penalty=str(given.get("penalty", "l2")),
+        tol=float(given.get("tol", 1e-4)),
+        max_iter=int(given.get("max_iter", 100)),
+        weight="weight" if given.get("class_weight") == "balanced" else None,
+    )
+
+
 @dataclass(frozen=True)
 class OneClass:
     """Stands for a model whose training rows all had one label."""

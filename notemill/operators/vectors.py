@@ -111,22 +111,36 @@ def smoothed_idf(df: Column, n: Column) -> Column:
     return F.ln((1 + n) / (1 + df)) + 1
 
 
+# A vocabulary of at most so many bytes, counted before, is sent to every executor.
+BROADCAST_BYTES = 128 << 20
+ROW_BYTES = 64  # what a term's row takes beside its letters
+
+
 def tfidf(docs: DataFrame, options: TermOptions = TermOptions(), carry: Sequence[str] = ()) -> DataFrame:
     """(doc_id, carried columns, term, tf, tfidf), each document's weights scaled to unit length."""
     # Written once, one row a document: texts are tokenised for the counts and the vocabulary together.
-    bags = cut(term_bags(docs, options, carry))
+    # Documents are dealt by id before, so that their terms need no exchange for the length.
+    bags = cut(term_bags(docs.repartition("doc_id"), options, carry))
     counts = bags.select("doc_id", *carry, F.inline("bag"))
     n = bags.agg(F.count(F.lit(1))).scalar()
     df = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    # Written once: the join reads it for its hot and for its other terms.
+    # Written once: its size is measured, and the join reads it for its hot and for its other terms.
     vocab = cut(bounded(df, options))
     idf = vocab.select("term", "df", smoothed_idf(F.col("df"), n).alias("idf"))
-    weighted = lookup_join(counts, idf, "term", ["doc_id"], "inner", frequency="df").withColumn(
-        "_w", F.col("tf") * F.col("idf")
-    )
+    if table_bytes(vocab) <= BROADCAST_BYTES:
+        weighted = counts.join(F.broadcast(idf), "term")
+    else:
+        weighted = lookup_join(counts, idf, "term", ["doc_id"], "inner", frequency="df")
+    weighted = weighted.withColumn("_w", F.col("tf") * F.col("idf"))
     return unit_length(weighted, "doc_id", "_w", "tfidf").select("doc_id", *carry, "term", "tf", "tfidf")
 
 
+def table_bytes(vocab: DataFrame) -> int:
+    """Size of a table of terms, counted."""
+    counted = vocab.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("term")).alias("letters")).first()
+    return counted["n"] * ROW_BYTES + (counted["letters"] or 0)
+
+
 def unit_length(weighted: DataFrame, doc: str, weight: str, name: str) -> DataFrame:
     """Divide by the length of the document's vector; a document's terms are bounded by its text."""
     length = F.sqrt(F.sum(F.col(weight) * F.col(weight)).over(Window.partitionBy(doc)))

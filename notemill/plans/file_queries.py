@@ -7,9 +7,9 @@ import uuid
 from pyspark.sql import functions as F
 
 from notemill.functions import features as X
-from notemill.operators import rules, vectors
+from notemill.operators import rules, sampling, term_tables, vectors
 from notemill.operators.vectors import TermOptions
-from notemill.plans.base import CORPUS_SQL, corpus, documents, query, table, tokens_sql
+from notemill.plans.base import CORPUS_SQL, corpus, documents, query, shuffle_sql, table, tokens_sql
 from notemill.scale import shared_folder
 from notemill.sources import scans, sinks
 
@@ -161,3 +161,31 @@ def rules_of_a_file(spark, sf_dir):
     path = folder(spark, "rules")
     spark.createDataFrame([("qu\nthe [a-z]+",)], "value string").coalesce(1).write.text(path)
     return rules.rule_threshold(corpus(spark, sf_dir), rules.load_rules(spark, path), 2)
+
+
+@query(
+    "table_vectors",
+    f"""
+WITH {CORPUS_SQL},
+h AS (SELECT *, row_number() OVER (ORDER BY {shuffle_sql(0)}) <= ceil(count(*) OVER () * 0.2) AS is_test FROM corpus),
+tf AS (SELECT doc_id, is_test, term, count(*) AS tf FROM (SELECT doc_id, is_test, unnest({tokens_sql()}) AS term FROM h) GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM tf WHERE NOT is_test GROUP BY term HAVING count(*) >= 2),
+voc AS (SELECT term, df, row_number() OVER (ORDER BY md5('vocabulary|' || term), term) - 1 AS index FROM df),
+w AS (SELECT doc_id, index, tf * (ln((1 + (SELECT count(*) FROM h WHERE NOT is_test)) / (1 + df)) + 1) AS w
+      FROM tf JOIN voc USING (term) WHERE is_test)
+SELECT h.doc_id, count(index) AS n, coalesce(CAST(sum(index) AS BIGINT), 0) AS index_sum,
+  round(coalesce(sum(w) / sqrt(sum(w * w)), 0), 6) AS total FROM h LEFT JOIN w USING (doc_id) WHERE is_test GROUP BY h.doc_id""",
+)
+def table_vectors(spark, sf_dir):
+    """Held-out texts as vectors of a vocabulary that was fitted, saved as a table and loaded."""
+    split = sampling.holdout(corpus(spark, sf_dir), 0.2)
+    path = folder(spark, "vocabulary")
+    term_tables.fit(split.where("is_test = 0"), "tfidf", TermOptions(min_df=2)).save(path)
+    test = term_tables.load(spark, path).transform(split.where("is_test = 1"))
+    add = lambda c, zero: F.aggregate(c, zero, lambda a, x: a + x)
+    return test.select(
+        "doc_id",
+        F.size("indices").cast("long").alias("n"),
+        add("indices", F.lit(0).cast("long")).alias("index_sum"),
+        F.round(add("values", F.lit(0.0)), 6).alias("total"),
+    )

@@ -168,25 +168,49 @@ def learning_curve(spark, sf_dir):
     return curve.select("fraction", F.round("f1", 6).alias("f1"))
 
 
-GRID = {"loss": ["hinge", "squared_hinge"], "C": [0.1, 1.0, 10.0]}
+GRID = {"loss": ["hinge", "squared_hinge"], "penalty": ["l2", "l1"], "C": [0.5, 10.0]}
 
 
 @query(
     "grid_runs",
     """
-SELECT CAST(i AS INT) AS seq, 'LinearSVC' AS classifier, i > 2 AS failed, CASE WHEN i <= 2 THEN 1.0 END AS precision,
-  CASE WHEN i <= 2 THEN 1.0 END AS recall, CASE WHEN i <= 2 THEN 1.0 END AS f1, CASE WHEN i <= 2 THEN 0.0 END AS std,
-  CASE WHEN i <= 2 THEN 1.0 END AS acc, CASE WHEN i <= 2 THEN 1.0 END AS auc
-FROM (SELECT unnest(range(6)) AS i) WHERE (SELECT count(DISTINCT quality) FROM labels) = 2""",
+WITH r AS (SELECT CAST(i AS INT) AS seq, i IN (2, 3) AS failed FROM (SELECT unnest(range(8)) AS i))
+SELECT seq, 'LinearSVC' AS classifier, failed, CASE WHEN NOT failed THEN 1.0 END AS precision, CASE WHEN NOT failed THEN 1.0 END AS recall,
+  CASE WHEN NOT failed THEN 1.0 END AS f1, CASE WHEN NOT failed THEN 0.0 END AS std, CASE WHEN NOT failed THEN 1.0 END AS acc,
+  CASE WHEN NOT failed THEN 1.0 END AS auc FROM r""",
 )
 def grid_runs(spark, sf_dir):
-    """A grid over losses and costs; the loss that the estimator does not offer gives error rows."""
+    """A grid over losses, penalties and costs; the hinge loss has no L1 form and gives error rows."""
     runs = [RunOptions("LinearSVC", folds=2, terms=TERMS, params={**row, "max_iter": SURE}) for row in experiments.grid(GRID)]
     found = experiments.run_grid(marked(corpus(spark, sf_dir)), runs)
     metrics = ("precision", "recall", "f1", "std", "acc", "auc")
     return found.select("seq", "classifier", F.col("error").isNotNull().alias("failed"), *[F.round(m, 6).alias(m) for m in metrics])
 
 
+@query("squared_hinge_cv", PERFECT_FOLDS_SQL)
+def squared_hinge_cv(spark, sf_dir):
+    return _marked_cv(spark, sf_dir, "LinearSVC", loss="squared_hinge", penalty="l1", C=1.0, class_weight="balanced", max_iter=SURE).metrics()
+
+
+@query(
+    "classifier_sweep",
+    """
+WITH c AS (SELECT unnest(['LogisticRegression', 'MultinomialNB', 'Unknown']) AS classifier)
+SELECT classifier, CASE classifier WHEN 'Unknown' THEN -1.0 ELSE 1.0 END AS precision,
+  CASE classifier WHEN 'Unknown' THEN -1.0 ELSE 1.0 END AS recall, CASE classifier WHEN 'Unknown' THEN -1.0 ELSE 1.0 END AS f1,
+  classifier = 'Unknown' AS failed FROM c""",
+)
+def classifier_sweep(spark, sf_dir):
+    """Several classifiers on one hold-out split; the unknown one is a row with an error."""
+    runs = [RunOptions(name, terms=TERMS, params={"max_iter": SURE}) for name in ("LogisticRegression", "MultinomialNB", "Unknown")]
+    store = experiments.FeatureStore(marked(corpus(spark, sf_dir)))
+    try:
+        found = experiments.sweep(store.get(runs[0]), runs)
+    finally:
+        store.close()
+    return found.select("classifier", "precision", "recall", "f1", F.col("error").isNotNull().alias("failed"))
+
+
 SMOOTHING = [0.1, 0.5, 1.0, 2.0]
 
 

@@ -3,7 +3,8 @@
 Tasks write each file under a temporary name and move it to its place, so a reader never meets half a
 file and a repeated task replaces its own files by equal ones. Each task lists what it wrote below
 ``<path>/_written-<job>``: a failed job deletes the listed files, a finished one the lists, and leaves
-``_SUCCESS``. Paths are those of ``pyarrow.fs``: a shared mount, ``hdfs://``, ``s3://`` or ``gs://``.
+``_SUCCESS``. A null or empty text is written as one line feed, because Spark's readers pass over files
+without a byte. Paths are those of ``pyarrow.fs``: a shared mount, ``hdfs://``, ``s3://`` or ``gs://``.
 """
 
 from __future__ import annotations
@@ -70,7 +71,7 @@ class NoteFilesWriter(DataSourceWriter):
                 listed.write(f"{place}\n".encode())
                 hidden = f"{root}/{label}/.{name}-{task.taskAttemptId()}"
                 with fs.open_output_stream(hidden) as file:
-                    file.write((row["text"] or "").encode())
+                    file.write((row["text"] or "\n").encode())
                 fs.move(hidden, f"{root}/{place}")
                 count += 1
         return Written(count)

@@ -84,7 +84,7 @@ def test_text_files_are_read_back_with_their_ids(spark, tmp_path):
     docs = spark.createDataFrame(rows, "doc_id string, label int, text string").repartition(2)
     sinks.write_text(docs, path, classes=("no", "yes"))
     back = scans.read_labelled_corpus(spark, path)
-    assert sorted(map(tuple, back.collect())) == sorted((i, n, t or "") for i, n, t in rows)
+    assert sorted(map(tuple, back.collect())) == sorted((i, n, t or "\n") for i, n, t in rows)
     more = spark.createDataFrame([("8", 0, "later"), ("7", 0, "replaced")], docs.schema)
     sinks.write_text(more, path, classes=("no", "yes"))
     held = {r["doc_id"]: r["text"] for r in scans.read_labelled_corpus(spark, path).collect()}
