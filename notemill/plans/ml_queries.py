@@ -85,9 +85,9 @@ def svm_cv(spark, sf_dir):
     return _marked_cv(spark, sf_dir, "LinearSVC", C=1.0, class_weight="balanced", max_iter=SURE).metrics()
 
 
-@query("logreg_cv", PERFECT_FOLDS_SQL)
+@query("logreg_cv")
 def logreg_cv(spark, sf_dir):
-    return _marked_cv(spark, sf_dir, "LogisticRegression", C=10.0, max_iter=SURE).metrics()
+    return _cross_validated(spark, sf_dir, "LogisticRegression", C=10.0, max_iter=100).metrics()
 
 
 @query(
@@ -143,7 +143,7 @@ def rff_svm(spark, sf_dir):
 def holdout_eval(spark, sf_dir):
     """Refit on four fifths of the corpus, predict the rest with the same stages."""
     split = sampling.holdout(marked(corpus(spark, sf_dir)), 0.2)
-    options = RunOptions("LogisticRegression", terms=TERMS, params={"max_iter": SURE})
+    options = RunOptions("LogisticRegression", terms=TERMS, params={"max_iter": 4 * SURE})
     predictions, _ = experiments.evaluate_on(split.where("is_test = 0"), split.where("is_test = 1"), options)
     return predictions.select("doc_id", "label", "pred")
 
@@ -168,7 +168,7 @@ def learning_curve(spark, sf_dir):
     return curve.select("fraction", F.round("f1", 6).alias("f1"))
 
 
-GRID = {"loss": ["hinge", "squared_hinge"], "penalty": ["l2", "l1"], "C": [0.5, 10.0]}
+GRID = {"loss": ["hinge", "squared_hinge"], "penalty": ["l2", "l1"], "C": [1.0, 10.0]}
 
 
 @query(
@@ -181,7 +181,7 @@ SELECT seq, 'LinearSVC' AS classifier, failed, CASE WHEN NOT failed THEN 1.0 END
 )
 def grid_runs(spark, sf_dir):
     """A grid over losses, penalties and costs; the hinge loss has no L1 form and gives error rows."""
-    runs = [RunOptions("LinearSVC", folds=2, terms=TERMS, params={**row, "max_iter": SURE}) for row in experiments.grid(GRID)]
+    runs = [RunOptions("LinearSVC", folds=2, terms=TERMS, params={**row, "class_weight": "balanced", "max_iter": SURE}) for row in experiments.grid(GRID)]
     found = experiments.run_grid(marked(corpus(spark, sf_dir)), runs)
     metrics = ("precision", "recall", "f1", "std", "acc", "auc")
     return found.select("seq", "classifier", F.col("error").isNotNull().alias("failed"), *[F.round(m, 6).alias(m) for m in metrics])
@@ -195,14 +195,15 @@ def squared_hinge_cv(spark, sf_dir):
 @query(
     "classifier_sweep",
     """
-WITH c AS (SELECT unnest(['LogisticRegression', 'MultinomialNB', 'Unknown']) AS classifier)
+WITH c AS (SELECT unnest(['LinearSVC', 'MultinomialNB', 'Unknown']) AS classifier)
 SELECT classifier, CASE classifier WHEN 'Unknown' THEN -1.0 ELSE 1.0 END AS precision,
   CASE classifier WHEN 'Unknown' THEN -1.0 ELSE 1.0 END AS recall, CASE classifier WHEN 'Unknown' THEN -1.0 ELSE 1.0 END AS f1,
   classifier = 'Unknown' AS failed FROM c""",
 )
 def classifier_sweep(spark, sf_dir):
     """Several classifiers on one hold-out split; the unknown one is a row with an error."""
-    runs = [RunOptions(name, terms=TERMS, params={"max_iter": SURE}) for name in ("LogisticRegression", "MultinomialNB", "Unknown")]
+    params = {"loss": "squared_hinge", "C": 10.0, "max_iter": SURE}
+    runs = [RunOptions(name, terms=TERMS, params=params) for name in ("LinearSVC", "MultinomialNB", "Unknown")]
     store = experiments.FeatureStore(marked(corpus(spark, sf_dir)))
     try:
         found = experiments.sweep(store.get(runs[0]), runs)

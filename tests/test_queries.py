@@ -11,7 +11,7 @@ import __spark_entry__ as entry_module
 from notemill.plans.catalog import QUERIES, SQL
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-FITTED = {"feature_weights"}
+FITTED = {"feature_weights", "logreg_cv"}
 
 
 @pytest.fixture(scope="module")
