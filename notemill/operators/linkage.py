@@ -21,13 +21,17 @@ MIN_NAME_SCORE = 93
 # Largest share of edits in both ids together at which a rounded ratio still reaches MIN_ID_SCORE.
 EDIT_SHARE = 1 - (MIN_ID_SCORE - 0.5) / 100
 
+# Patients, diagnoses and their keys grow with the data, however small Spark takes the exploded rows to
+# be: they are never sent whole through the driver.
+BY_SHUFFLE = ("merge",)
+
 EXACT, PADDED, FUZZY = "exact", "padded", "fuzzy"
 
 
 def exact_links(patients: DataFrame, diagnosis: DataFrame) -> DataFrame:
     """Patients whose id is a diagnosis id."""
     return patients.join(
-        diagnosis.select(F.col("diag_id").alias("_d"), "diag_seq"), F.col("patient_id") == F.col("_d")
+        diagnosis.select(F.col("diag_id").alias("_d"), "diag_seq").hint(*BY_SHUFFLE), F.col("patient_id") == F.col("_d")
     ).select("patient_id", F.col("_d").alias("diag_id"), "diag_seq", F.lit(EXACT).alias("tier"))
 
 
@@ -42,7 +46,7 @@ def padded_links(patients: DataFrame, diagnosis: DataFrame) -> DataFrame:
     )
     return (
         patients.select("patient_id", _bare("patient_id").alias("_bare"))
-        .join(short, "_bare")
+        .join(short.hint(*BY_SHUFFLE), "_bare")
         .where(F.length("patient_id") > F.length("diag_id"))
         .select("patient_id", "diag_id", "diag_seq", F.lit(PADDED).alias("tier"))
     )
@@ -155,7 +159,8 @@ def shifted_keys(patients: DataFrame) -> DataFrame:
     inside = (at_i >= 0) & (at_i + size_i <= at_j) & (at_j + size_j <= n)
     part = lambda at, size: F.substring(F.col("_p"), at + 1, size)
     key = _key(m, F.col("_i"), F.col("_j"), part(at_i, size_i), part(at_j, size_j))
-    return tried.where(inside).select(*patients.columns, key.alias("_key")).distinct()
+    # Dealt by key at once, for the join that follows; rows that come twice have one key.
+    return tried.where(inside).select(*patients.columns, key.alias("_key")).repartition("_key").distinct()
 
 
 def fuzzy_candidates(patients: DataFrame, diagnosis: DataFrame) -> DataFrame:
@@ -175,11 +180,11 @@ def fuzzy_candidates(patients: DataFrame, diagnosis: DataFrame) -> DataFrame:
     def same_tokens(df: DataFrame, text: str) -> DataFrame:
         return df.withColumn("_key", F.array_join(_token_set(text), " "))
 
-    by_tokens = same_tokens(left, "_p").join(same_tokens(right, "_d"), "_key")
+    by_tokens = same_tokens(left, "_p").join(same_tokens(right, "_d").hint(*BY_SHUFFLE), "_key")
     edits = F.floor((F.length("_p") + F.length("_d")) * EDIT_SHARE + 1e-9).cast("int")
     by_edits = (
         shifted_keys(left)
-        .join(segment_keys(right), "_key")
+        .join(segment_keys(right).hint(*BY_SHUFFLE), "_key")
         .where(F.call_function("levenshtein", F.col("_p"), F.col("_d"), edits) >= 0)
     )
     pairs = by_tokens.select(columns).unionByName(by_edits.select(columns))
@@ -210,11 +215,11 @@ def _contained(larger: DataFrame, smaller: DataFrame) -> DataFrame:
     many = several.select(*rest, F.col("_tokens").alias("_all"), token)
     sizes = many.groupBy("_token").agg(F.count(F.lit(1)).alias("_n"))
     rarest = (
-        lookup_join(smaller.select(*own, F.col("_tokens").alias("_few"), token), sizes, "_token", own[:1])
+        lookup_join(smaller.select(*own, F.col("_tokens").alias("_few"), token), sizes.hint(*BY_SHUFFLE), "_token", own[:1])
         .groupBy(*own, "_few")
         .agg(F.min_by("_token", F.struct(F.coalesce("_n", F.lit(0)), "_token")).alias("_token"))
     )
-    pairs = many.join(rarest, "_token").where(F.size(F.array_except("_few", "_all")) == 0)
+    pairs = many.join(rarest.hint(*BY_SHUFFLE), "_token").where(F.size(F.array_except("_few", "_all")) == 0)
     return pairs.select("patient_id", "_p", "diag_id", "diag_seq", "_d")
 
 
@@ -222,11 +227,11 @@ def fuzzy_links(patients: DataFrame, diagnosis: DataFrame) -> DataFrame:
     """Candidate pairs whose ids and ``last,first`` names both score high enough."""
     scored = (
         fuzzy_candidates(patients, diagnosis)
-        .join(patients.select("patient_id", "patient_name"), "patient_id")
+        .join(patients.select("patient_id", "patient_name").hint(*BY_SHUFFLE), "patient_id")
         .join(
             diagnosis.select(
                 "diag_id", F.concat_ws(",", "last_name", "first_name").alias("_diag_name")
-            ),
+            ).hint(*BY_SHUFFLE),
             "diag_id",
         )
         .withColumn("id_score", _score(processed(F.col("patient_id")), processed(F.col("diag_id"))))
@@ -249,7 +254,7 @@ def link(patients: DataFrame, diagnosis: DataFrame, fuzzy: bool = True) -> DataF
     (with patient_name for the fuzzy tier), ``diagnosis`` one per diag_id with its diag_seq.
     """
     exact = exact_links(patients, diagnosis)
-    open_patients = patients.join(exact.select("patient_id"), "patient_id", "left_anti")
+    open_patients = patients.join(exact.select("patient_id").hint(*BY_SHUFFLE), "patient_id", "left_anti")
     columns = ["patient_id", "diag_id", "diag_seq", "tier"]
     found = padded_links(open_patients, diagnosis).select(columns)
     if fuzzy:
