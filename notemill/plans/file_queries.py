@@ -83,13 +83,12 @@ FROM corpus c LEFT JOIN tf ON tf.doc_id = c.doc_id LEFT JOIN voc ON voc.term = t
 )
 def saved_model(spark, sf_dir):
     """Counts by a vectoriser that was saved and loaded."""
-    from pyspark.ml.functions import vector_to_array
-
     docs = corpus(spark, sf_dir)
     path = folder(spark, "model")
     sinks.save_model(vectors.preprocess(docs, "count", TERMS), path)
     counted = sinks.load_model(path).transform(vectors.prepare(docs, "count", TERMS))
-    held = vector_to_array("features")
+    # Only the terms a text has; as an array, a vector would be as long as the vocabulary.
+    held = F.unwrap_udt("features")["values"]
     return counted.select(
         "doc_id",
         F.aggregate(held, F.lit(0.0), lambda a, x: a + x).alias("n"),

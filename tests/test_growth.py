@@ -23,6 +23,13 @@ def plan(df):
     return df._jdf.queryExecution().optimizedPlan().toString() + df._jdf.queryExecution().sparkPlan().toString()
 
 
+def test_saved_model_reads_only_the_terms_of_a_text(spark, tables):
+    found = QUERIES["saved_model"](spark, tables)
+    assert "vector_to_array" not in plan(found) and "toArray" not in plan(found)
+    assert "UnwrapUDT" in plan(found) or "unwrap" in plan(found).lower()
+    assert {(r["n"], r["n_terms"]) for r in found.collect()} == {(8.0, 8)}
+
+
 def test_links_never_broadcast_patients_or_keys(spark):
     """Exploded keys are taken for as small as the ids they come from."""
     people = spark.range(40).select(F.format_string("mrn%09d-%09d", "id", "id").alias("patient_id"), F.lit("a,b").alias("patient_name"))
