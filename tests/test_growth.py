@@ -30,6 +30,24 @@ def test_saved_model_reads_only_the_terms_of_a_text(spark, tables):
     assert {(r["n"], r["n_terms"]) for r in found.collect()} == {(8.0, 8)}
 
 
+def test_random_fourier_reads_sparse_and_dense_vectors_alike(spark):
+    sparse = Vectors.sparse(1 << 20, [5, 1 << 19], [1.0, 2.0])
+    rows = spark.createDataFrame([(0, sparse), (1, Vectors.sparse(1 << 20, [], []))], ["doc_id", "features"])
+    made = models.random_fourier(rows, size=8)
+    assert "vector_to_array" not in plan(made) and "UDF" not in plan(made).split("MapInPandas")[-1]
+    assert made.count() == 2
+    short = [(0, Vectors.sparse(3, [1], [2.0])), (1, Vectors.dense(0.0, 2.0, 0.0))]
+    a, b = (r["features"].toArray() for r in models.random_fourier(spark.createDataFrame(short, ["doc_id", "features"]), size=8).orderBy("doc_id").collect())
+    assert a == pytest.approx(b)
+
+
+def test_random_fourier_holds_a_bounded_number_of_rows(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, Vectors.sparse(50, [i, i + 1], [1.0, 2.0])) for i in range(40)], ["doc_id", "features"])
+    want = [r["features"] for r in models.random_fourier(rows, size=8).orderBy("doc_id").collect()]
+    monkeypatch.setattr(models, "HELD_ROWS", 3)
+    assert [r["features"] for r in models.random_fourier(rows, size=8).orderBy("doc_id").collect()] == want
+
+
 def test_links_never_broadcast_patients_or_keys(spark):
     """Exploded keys are taken for as small as the ids they come from."""
     people = spark.range(40).select(F.format_string("mrn%09d-%09d", "id", "id").alias("patient_id"), F.lit("a,b").alias("patient_name"))
