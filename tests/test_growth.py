@@ -48,6 +48,16 @@ def test_random_fourier_holds_a_bounded_number_of_rows(spark, monkeypatch):
     assert [r["features"] for r in models.random_fourier(rows, size=8).orderBy("doc_id").collect()] == want
 
 
+def test_largest_orders_ties_by_place():
+    values = np.array([[1.0, 3.0, 3.0, 2.0, 3.0], [np.nan, 0.0, -np.inf, 0.0, np.nan], [1.0, 1.0, 1.0, 1.0, 1.0]])
+    row, place = neighbours.largest(values.copy(), 2)
+    assert list(zip(row, place)) == [(0, 1), (0, 2), (1, 1), (1, 3), (2, 0), (2, 1)]
+    many = np.random.default_rng(0).integers(0, 9, (40, 70)).astype(float)
+    row, place = neighbours.largest(many.copy(), 6)
+    assert (place.reshape(40, 6) == np.argsort(-many, axis=1, kind="stable")[:, :6]).all()
+    assert len(neighbours.largest(many.copy(), 100)[0]) == 40 * 70
+
+
 def test_links_never_broadcast_patients_or_keys(spark):
     """Exploded keys are taken for as small as the ids they come from."""
     people = spark.range(40).select(F.format_string("mrn%09d-%09d", "id", "id").alias("patient_id"), F.lit("a,b").alias("patient_name"))
