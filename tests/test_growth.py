@@ -58,6 +58,21 @@ def test_largest_orders_ties_by_place():
     assert len(neighbours.largest(many.copy(), 100)[0]) == 40 * 70
 
 
+def test_gradients_come_from_one_partition_per_core(spark, monkeypatch):
+    """More partitions would each send a vector as long as the vocabulary in every step."""
+    seen = []
+
+    class Estimator:
+        def fit(self, train):
+            seen.append(train.rdd.getNumPartitions())
+
+    monkeypatch.setattr(models, "make_classifier", lambda *_: Estimator())
+    rows = spark.createDataFrame([(i, i % 2, Vectors.dense(1.0)) for i in range(90)], ["doc_id", "label", "features"]).repartition(60)
+    for name in models.BY_GRADIENT:
+        experiments.fit(rows, name, {"C": 1.0})
+    assert max(seen) <= spark.sparkContext.defaultParallelism
+
+
 def test_links_never_broadcast_patients_or_keys(spark):
     """Exploded keys are taken for as small as the ids they come from."""
     people = spark.range(40).select(F.format_string("mrn%09d-%09d", "id", "id").alias("patient_id"), F.lit("a,b").alias("patient_name"))
