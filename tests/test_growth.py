@@ -73,6 +73,20 @@ def test_gradients_come_from_one_partition_per_core(spark, monkeypatch):
     assert max(seen) <= spark.sparkContext.defaultParallelism
 
 
+def test_squared_hinge_sums_without_an_exchange(spark, monkeypatch):
+    """Tasks add up their blocks: one vector each, and no rows by feature."""
+    w = np.array([0.5, -1.0, 0.0, 0.25])
+    rows = [(0, 1.0, 1.0, Vectors.sparse(3, [0, 2], [1.0, 2.0])), (1, 0.0, 2.0, Vectors.dense(0.0, 1.0, 3.0)), (2, 1.0, 1.0, Vectors.sparse(3, [], []))]
+    docs = spark.createDataFrame(rows, ["doc_id", "label", "weight", "features"]).repartition(3)
+    monkeypatch.setattr(linear, "BLOCK_ROWS", 1)
+    blocks = docs.select("features", "label", "weight").mapInArrow(linear.packed, linear.BLOCKS_DDL)
+    loss, gradient = linear.summed(blocks, w)
+    x, y, c = np.array([[1, 0, 2, 1], [0, 1, 3, 1], [0, 0, 0, 1.0]]), np.array([1, -1, 1.0]), np.array([1, 2, 1.0])
+    short = np.maximum(0, 1 - y * (x @ w))
+    assert loss == pytest.approx((c * short**2).sum()) and gradient == pytest.approx(x.T @ (-2 * c * y * short))
+    assert linear.SUMS_DDL == "sums binary"
+
+
 def test_links_never_broadcast_patients_or_keys(spark):
     """Exploded keys are taken for as small as the ids they come from."""
     people = spark.range(40).select(F.format_string("mrn%09d-%09d", "id", "id").alias("patient_id"), F.lit("a,b").alias("patient_name"))
