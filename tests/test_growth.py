@@ -98,3 +98,13 @@ def test_links_never_broadcast_patients_or_keys(spark):
     chosen = linked._jdf.queryExecution().sparkPlan().toString()
     by_key = [line for line in chosen.splitlines() if "BroadcastHashJoin [_key" in line or "BroadcastHashJoin [patient_id" in line or "BroadcastHashJoin [diag_id" in line]
     assert by_key == []
+
+
+def test_tfidf_writes_the_vocabulary_only(spark, monkeypatch):
+    written = []
+    kept = vectors.cut
+    monkeypatch.setattr(vectors, "cut", lambda df: written.append(df.columns) or kept(df))
+    docs = spark.createDataFrame([(0, "x", "aa bb bb"), (1, "y", "aa cc"), (2, "y", None)], "doc_id long, kind string, text string")
+    found = {(r["doc_id"], r["kind"], r["term"]): r["tf"] for r in vectors.tfidf(docs, TermOptions(min_df=1), ["kind"]).collect()}
+    assert found == {(0, "x", "aa"): 1, (0, "x", "bb"): 2, (1, "y", "aa"): 1, (1, "y", "cc"): 1}
+    assert written == [["term", "df"]]
