@@ -100,6 +100,15 @@ def test_links_never_broadcast_patients_or_keys(spark):
     assert by_key == []
 
 
+def test_mined_rules_write_no_combinations(spark, monkeypatch):
+    written = []
+    kept = rules.cut
+    monkeypatch.setattr(rules, "cut", lambda df: written.append(df.columns) or kept(df))
+    docs = spark.createDataFrame([(i, i % 2, "bad bad bad" if i % 2 else "fine fine fine") for i in range(20)], "doc_id long, label int, text string")
+    assert rules.mined_predict(docs, docs).where("pred <> label").count() == 0
+    assert written == [["term", "pos", "neg"]]
+
+
 def test_tfidf_writes_the_vocabulary_only(spark, monkeypatch):
     written = []
     kept = vectors.cut
