@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from notemill.functions.text import char_ngrams, comma_free, let, pad, tokens, windows
 from notemill.operators import postings
+from notemill.operators.vectors import term_lookup
 from notemill.scale import cut, lookup_join
 
 GRAM = 3  # characters of a gram
@@ -47,12 +48,14 @@ def term_places(docs: DataFrame, longest: int) -> DataFrame:
             ),
         )
 
-    return docs.select("doc_id", F.explode(let(tokens(F.col("text")), places)).alias("_g")).select("doc_id", "_g.*")
+    # An outer explode, lest Spark make the places once more beneath the exchange of the texts, to see if there are any.
+    found = docs.select("doc_id", F.explode_outer(let(tokens(F.col("text")), places)).alias("_g"))
+    return found.where("_g IS NOT NULL").select("doc_id", "_g.*")
 
 
 def concept_spans(docs: DataFrame, terms: DataFrame, longest: int) -> DataFrame:
     """Every place where up to ``longest`` tokens of a document are a dictionary term."""
-    return lookup_join(term_places(docs, longest), terms, "term", ["doc_id", "start"], "inner")
+    return term_lookup(term_places(docs, longest), cut(terms), ["doc_id", "start"], "inner")
 
 
 def similar_terms(strings: DataFrame, terms: DataFrame, threshold: float, size: int = GRAM) -> DataFrame:
@@ -116,7 +119,7 @@ def similar_terms(strings: DataFrame, terms: DataFrame, threshold: float, size:
 def fuzzy_spans(docs: DataFrame, terms: DataFrame, longest: int, threshold: float = SIMILARITY) -> DataFrame:
     """Every place where up to ``longest`` tokens are similar to a dictionary term, with the closest one."""
     placed = term_places(docs, longest)
-    return lookup_join(placed, cut(similar_terms(placed, terms, threshold)), "term", ["doc_id", "start"], "inner")
+    return term_lookup(placed, cut(similar_terms(placed, terms, threshold)), ["doc_id", "start"], "inner")
 
 
 def tag_fuzzy(docs: DataFrame, terms: DataFrame, longest: int, threshold: float = SIMILARITY) -> DataFrame:

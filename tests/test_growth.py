@@ -100,6 +100,26 @@ def test_links_never_broadcast_patients_or_keys(spark):
     assert by_key == []
 
 
+@pytest.fixture
+def placed(spark):
+    docs = spark.createDataFrame([(i, "a fever and chills " * 3) for i in range(6)], "doc_id long, text string")
+    terms = spark.createDataFrame([("fever", "C1"), ("and chills", "C2")], "term string, cui string")
+    return docs, terms
+
+
+@pytest.mark.parametrize("bound", [0, 128 << 20])
+def test_spans_are_the_same_by_either_lookup(placed, monkeypatch, bound):
+    docs, terms = placed
+    monkeypatch.setattr(vectors, "BROADCAST_BYTES", bound)
+    spans = concepts.concept_spans(docs, terms, 2)
+    assert spans.columns == ["doc_id", "start", "length", "term", "cui"]
+    assert {(r["start"], r["cui"]) for r in spans.collect()} == {(2 + 4 * k, "C1") for k in range(3)} | {(3 + 4 * k, "C2") for k in range(3)}
+    # A small table is sent to the texts: no place moves and no place is counted.
+    assert ("Aggregate" in plan(spans)) == (bound == 0)
+    fuzzy = concepts.fuzzy_spans(docs, terms, 1, 0.9)
+    assert {r["cui"] for r in fuzzy.collect()} == {"C1"} and fuzzy.count() == 18
+
+
 def test_mined_rules_write_no_combinations(spark, monkeypatch):
     written = []
     kept = rules.cut
