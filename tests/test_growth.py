@@ -137,3 +137,23 @@ def test_tfidf_writes_the_vocabulary_only(spark, monkeypatch):
     found = {(r["doc_id"], r["kind"], r["term"]): r["tf"] for r in vectors.tfidf(docs, TermOptions(min_df=1), ["kind"]).collect()}
     assert found == {(0, "x", "aa"): 1, (0, "x", "bb"): 2, (1, "y", "aa"): 1, (1, "y", "cc"): 1}
     assert written == [["term", "df"]]
+
+
+@pytest.mark.parametrize("bound", [0, 128 << 20])
+def test_table_vectors_are_the_same_by_either_lookup(spark, monkeypatch, bound):
+    docs = spark.createDataFrame([(0, "aa bb bb"), (1, "aa cc"), (2, "zz")], "doc_id long, text string")
+    table = term_tables.fit(docs.where("doc_id < 2"), "count")
+    monkeypatch.setattr(vectors, "BROADCAST_BYTES", bound)
+    made = table.transform(docs)
+    assert ("_hot" in plan(made)) == (bound == 0)
+    assert {r["doc_id"]: sum(r["values"]) for r in made.collect()} == {0: 3.0, 1: 2.0, 2: 0}
+
+
+def test_terms_are_made_once_and_not_beneath_the_exchange(spark, tmp_path):
+    """A filter derived from an explode would be moved to the scan, with everything it is computed from."""
+    spark.createDataFrame([(0, "aa bb"), (1, None), (2, "")], "doc_id long, text string").write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs").repartition(4, "doc_id")
+    made = vectors.vocabulary(docs), vectors.term_counts(docs), concepts.term_places(docs, 2)
+    for found, n in zip(made, (2, 2, 3)):
+        assert found._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
+        assert found.count() == n
