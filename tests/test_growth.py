@@ -157,3 +157,15 @@ def test_terms_are_made_once_and_not_beneath_the_exchange(spark, tmp_path):
     for found, n in zip(made, (2, 2, 3)):
         assert found._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
         assert found.count() == n
+
+
+def test_shares_of_a_curve_are_fitted_side_by_side(spark, monkeypatch):
+    import threading
+
+    together = threading.Barrier(2, timeout=60)
+    plain = experiments.fit
+    monkeypatch.setattr(experiments, "fit", lambda *given: together.wait() is None or plain(*given))
+    docs = spark.createDataFrame([(i, i % 2, "bad word" if i % 2 else "fine word") for i in range(24)], "doc_id long, label int, text string")
+    options = experiments.RunOptions("MultinomialNB", mode="count", params={"alpha": 1.0})
+    curve = experiments.learning_curve(docs.where("doc_id < 18"), docs.where("doc_id >= 18"), options, 50, 101, 50).collect()
+    assert [(r["fraction"], r["f1"]) for r in curve] == [(0.5, 1.0), (1.0, 1.0)]
