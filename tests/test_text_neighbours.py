@@ -45,6 +45,30 @@ def test_sparse_search_equals_brute_force(spark, monkeypatch, k, slots):
     assert {q: [v[i] for i in sorted(v)] for q, v in got.items()} == {q: v for q, v in want.items() if v}
 
 
+@pytest.mark.parametrize("few", [0, 10**9])
+def test_lists_and_blocks_find_the_same(spark, monkeypatch, few):
+    """Blocks of a few texts or of all, common and rare terms, equal texts; more rows than one block holds."""
+    for name, value in {"FEW_MEETINGS": few, "BLOCK_TEXTS": 40, "COMMON_TERMS": 7, "SLICE_ROWS": 5}.items():
+        monkeypatch.setattr(sparse_neighbours, name, value)
+    items, queries = vectors(1, 150), {d: v for d, v in vectors(1, 150).items() if d % 4 == 0}
+    want = []
+    for q, v in queries.items():
+        sims = [(-round(sum(w * own.get(t, 0.0) for t, w in v.items()), 9), i) for i, own in items.items() if i != q and set(v) & set(own)]
+        want += [(q, i, -s, r + 1) for r, (s, i) in enumerate(sorted(sims)[:5])]
+    found = sparse_neighbours.sparse_nearest(frame(spark, queries, "query_id"), frame(spark, items, "item_id"), 5)
+    assert sorted(tuple(r) for r in found.select("query_id", "item_id", "similarity", "rank").collect()) == sorted(want)
+
+
+def test_texts_of_common_words_meet_in_blocks_only(spark, monkeypatch):
+    """Every text shares words with every other: no exchange holds a row per pair and word, or per pair."""
+    monkeypatch.setattr(sparse_neighbours, "listed_nearest", None)
+    rng = random.Random(3)
+    rows = [(d, int(d % 5 == 0), " ".join(rng.choice(["the", "of", "and", "in", "to", f"w{rng.randint(0, 99)}"]) for _ in range(60))) for d in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, fold int, text string")
+    found = sparse_neighbours.nearest_texts(docs, [1], 3)
+    assert found.count() == 120 * 3 and found.where("similarity > 1.000001 or similarity <= 0").count() == 0
+
+
 def test_sparse_search_reads_few_lists(spark):
     """Frequent terms of low weight are not read: candidates stay far below all pairs."""
     rng = random.Random(4)
