@@ -127,6 +127,25 @@ def test_set_search_equals_brute_force(spark, monkeypatch, k, slots):
     assert {a: [v[r] for r in sorted(v)] for a, v in got.items()} == want
 
 
+@pytest.mark.parametrize("few", [0, 10**9])
+def test_sets_by_lists_and_by_blocks(spark, monkeypatch, few):
+    """Frequent members make no candidate rows; sets that share nothing, equal sets and equal ids count alike."""
+    for name, value in {"FEW_MEETINGS": few, "BLOCK_TEXTS": 40, "COMMON_TERMS": 7, "SLICE_ROWS": 5}.items():
+        monkeypatch.setattr(sparse_neighbours, name, value)
+    if few == 0:
+        monkeypatch.setattr(set_neighbours, "candidate_pairs", None)
+    items = sets(3, 160)
+    queries = {d: v for d, v in items.items() if d % 5 == 0} | {2000: [9999]}
+    q = spark.createDataFrame(list(queries.items()), "query_id long, bits array<long>")
+    i = spark.createDataFrame(list(items.items()), "item_id long, bits array<long>")
+    got = [tuple(r) for r in set_neighbours.set_nearest(q, i, 4).select("query_id", "item_id", "distance", "rank").collect()]
+    want = []
+    for a, v in queries.items():
+        near = sorted((len(set(v) ^ set(w)), b) for b, w in items.items() if a != b)[:4]
+        want += [(a, b, d, r + 1) for r, (d, b) in enumerate(near)]
+    assert sorted(got) == sorted(want)
+
+
 def test_set_search_makes_few_candidates(spark):
     """Near copies share their rare members; frequent members alone make no candidates."""
     rng = random.Random(8)
