@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from notemill.operators import evaluate, experiments, models, rules, text_models, vectors
+from notemill.operators import evaluate, experiments, models, neighbours, rules, text_models, vectors
 
 
 def corpus(spark, n=60):
@@ -21,6 +21,25 @@ def test_every_document_is_predicted_by_models_that_have_not_seen_it(spark):
         assert text_models.holdout(docs, name, options).count() == 12
 
 
+def test_prints_make_the_entities_of_their_sample_only(spark, tmp_path):
+    """A filter derived from an explode would make those of all documents, below the sample's join."""
+    corpus(spark).write.parquet(f"{tmp_path}/docs")
+    prints = neighbours.class_prints(spark.read.parquet(f"{tmp_path}/docs"), 5)
+    chosen = prints._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in chosen.splitlines() if "Filter" in line and "xxhash64" in line]
+    assert {r["label"] for r in prints.collect()} == {0, 1}
+
+
+def test_folds_are_written_once(spark, monkeypatch):
+    written = []
+    kept = text_models.cut
+    monkeypatch.setattr(text_models, "cut", lambda df: written.append(df.columns) or kept(df))
+    assert text_models.cross_validate(corpus(spark), "class_print", {}, folds=3).count() == 60
+    assert len(written) == 1
+    text_models.cross_validate(corpus(spark), "majority", {}, folds=3)
+    assert len(written) == 1
+
+
 def test_a_grid_mixes_text_classifiers_and_records_failures(spark):
     runs = [
         experiments.RunOptions(classifier="rules", params={"rules": ["fever", "visit"]}, mode="text", folds=3),
