@@ -13,7 +13,7 @@ directory (their own first) that holds a licence file.
 * The whole text of a licence file is also compared with the licences' own texts (``license_texts``), if it
   holds as many of a text's terms as the threshold takes at least.
 * A line can only reach the threshold if it shares one of a template's heaviest terms, those without
-  which the rest of the template stays below it. One pattern of these terms finds all candidate lines;
+  which the rest of the template stays below it. One pattern of these terms finds all candidate files and lines;
   nothing that could match is left out; a block lies around such a line. All further work stays inside the row.
 * Directories are joined, not files: distinct directories meet their ancestors, and the files look their
   directory up through the join that spreads hot keys.
@@ -64,7 +64,7 @@ TEMPLATES = (
 THRESHOLD = 0.8
 TERM = r"[a-z0-9]+(?:\.[0-9]+)*"
 LICENSE_FILE = r"(^|/)(LICENSE|LICENCE|COPYING)(\.[A-Za-z]+)?$"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+NOT_LOWERED = "\u212a\u0130"  # the Kelvin sign, and I with a dot
 MADE = ("license", "cosine", "origin", "licensed_by")
 
 
@@ -76,7 +76,8 @@ def license_texts() -> tuple[tuple[str, str], ...]:
 
 
 def lowered(text: Column) -> Column:
-    return F.translate(text, UPPER, LOWER)
+    """A-Z lower-cased; the only other letters that would become a-z are no letters of a term."""
+    return F.lower(reduce(lambda t, c: F.replace(t, F.lit(c), F.lit(" ")), NOT_LOWERED, text))
 
 
 def terms_of(text: Column) -> Column:
@@ -90,10 +91,9 @@ def template_terms(spark, templates: Sequence[tuple[str, str]]) -> list[tuple[st
 
 def term_weights(files: DataFrame, text: str, vocabulary: list[str]) -> tuple[dict[str, float], float]:
     """Inverse document frequency of each template term, and that of a term which no file holds."""
-    known = literal_terms(vocabulary)
-    held = F.explode(F.array_intersect(terms_of(lowered(F.col(text))), known))
+    held = files.select(F.explode(F.array_distinct(terms_of(lowered(F.col(text))))).alias("term")).where(F.col("term").isin(vocabulary))
     # One row per template term reaches the driver, and the number of files.
-    counts = {r["term"]: r["n"] for r in files.select(held.alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts = {r["term"]: r["n"] for r in held.groupBy("term").agg(F.count(F.lit(1)).alias("n")).collect()}
     files_in_all = files.count()
     idf = lambda df: math.log((1 + files_in_all) / (1 + df)) + 1
     return {t: idf(counts.get(t, 0)) for t in vocabulary}, idf(0)
@@ -121,6 +121,16 @@ def heavy_terms(templates: list[tuple[str, dict[str, float], float]], threshold:
     return sorted(out)
 
 
+def holding(terms: Sequence[str]) -> str:
+    """A pattern of texts, lower-cased or not, that hold one of the terms; by first letters, as most words have none of them."""
+    by_first: dict[str, list[str]] = {}
+    for t in terms:
+        by_first.setdefault(t[0], []).append(t[1:].replace(".", r"\."))
+    first = "".join(by_first)
+    any_of = "|".join(f"{c}(?:{'|'.join(rest)})" for c, rest in by_first.items())
+    return f"(?<![a-z0-9A-Z])(?=[{first}{first.upper()}])(?i:{any_of})(?![a-z0-9A-Z])"
+
+
 def best_template(
     line: Column, templates: list[tuple[str, dict[str, float], float]], idf: dict[str, float], unknown: float, threshold: float
 ) -> Column:
@@ -138,10 +148,16 @@ def literal_map(values: dict[str, float]) -> Column:
     )
 
 
-def squares(terms: Column, idf: dict[str, float], unknown: float) -> Column:
+def squares(terms: Column, known: Column, idf: dict[str, float], unknown: float) -> Column:
     """Squared weights of the terms, each occurrence counted once: at most the squared norm."""
     weight = literal_map({t: w * w for t, w in idf.items()})
-    return F.aggregate(terms, F.lit(0.0), lambda a, t: a + F.coalesce(F.element_at(weight, t), F.lit(unknown * unknown)))
+    others = (F.size(terms) - F.size(known)) * F.lit(unknown * unknown)
+    return F.aggregate(known, others, lambda a, t: a + F.element_at(weight, t))
+
+
+def known_terms(terms: Column, idf: dict[str, float]) -> Column:
+    """The terms that a template holds; most words are found by their hash not to be among them."""
+    return F.filter(terms, lambda t: t.isin(list(idf)))
 
 
 def dot(terms: Column, weights: dict[str, float], idf: dict[str, float]) -> Column:
@@ -168,13 +184,15 @@ def closest(
         )
     )
     # Counting every occurrence once gives a lower bound of the norm, and spares long lines.
-    products = F.array(*[dot(terms, weights, idf) / size for _, weights, size in templates])
+    def sums(known: Column) -> Column:
+        products = F.array(*[dot(known, weights, idf) / size for _, weights, size in templates])
+        return F.struct(F.sqrt(squares(terms, known, idf, unknown)).alias("low"), products.alias("products"))
 
     def tests(both: Column) -> Column:
         near = F.array_max(both["products"]) >= both["low"] * (threshold - 1e-9)
         return F.when(near, let(exact, lambda norm: F.array_min(F.array(*[closeness(both, norm, i, t[0]) for i, t in enumerate(templates)]))))
 
-    return let(F.struct(F.sqrt(squares(terms, idf, unknown)).alias("low"), products.alias("products")), tests)
+    return let(let(known_terms(terms, idf), sums), tests)
 
 
 def header_blocks(
@@ -188,18 +206,30 @@ def header_blocks(
 ) -> Column:
     """The blocks of two lines or more around a line with ``pattern`` that can reach the threshold."""
     one, none = F.lit(1), F.array().cast("array<string>")
+    no_dots = F.array(*[F.lit(0.0) for _ in templates])
 
     def measured(line: Column) -> Column:
-        sums = lambda terms: F.struct(
-            squares(terms, idf, unknown).alias("low"),
-            F.array(*[dot(terms, weights, idf) / size for _, weights, size in templates]).alias("dots"),
+        sums = lambda terms, known: F.struct(
+            squares(terms, known, idf, unknown).alias("low"),
+            F.when(F.size(known) == 0, no_dots).otherwise(F.array(*[dot(known, weights, idf) / size for _, weights, size in templates])).alias("dots"),
         )
-        return let(terms_of(line), sums)
+        return let(terms_of(line), lambda terms: let(known_terms(terms, idf), lambda known: sums(terms, known)))
+
+    def possible(held: Column, start: Column) -> Column:
+        """Whether a block of two lines or more from ``start`` on could reach the threshold if one template had all dot products."""
+        zero = F.struct(F.lit(0.0).alias("low"), F.lit(0.0).alias("most"), F.lit(0).alias("lines"), F.lit(False).alias("near"))
+
+        def longer(a: Column, line: Column) -> Column:
+            new = F.struct((a["low"] + line["low"]).alias("low"), (a["most"] + F.array_max(line["dots"])).alias("most"), (a["lines"] + 1).alias("lines"))
+            near = lambda b: (b["lines"] > 1) & (b["most"] >= F.sqrt(b["low"]) * (threshold - 2e-9))
+            return let(new, lambda b: F.struct(b["low"], b["most"], b["lines"], (a["near"] | near(b)).alias("near")))
+
+        return F.aggregate(F.slice(held, start, longest), zero, longer)["near"]
 
     def ends(held: Column, start: Column) -> Column:
         """Numbers of lines, two or more, of the blocks from ``start`` on that can reach the threshold."""
         zero = F.struct(
-            F.lit(0.0).alias("low"), F.array(*[F.lit(0.0) for _ in templates]).alias("dots"),
+            F.lit(0.0).alias("low"), no_dots.alias("dots"),
             F.lit(0).alias("lines"), F.array().cast("array<int>").alias("ends"),
         )
 
@@ -222,6 +252,7 @@ def header_blocks(
         def blocks(held: Column) -> Column:
             # A first line without a term of any template only adds to the norm.
             useful = F.filter(starts, lambda i: F.coalesce(F.array_max(F.element_at(held, i)["dots"]) > 0, F.lit(False)))
+            useful = F.filter(useful, lambda i: possible(held, i))
             texts = lambda i: F.transform(ends(held, i), lambda n: F.array_join(F.slice(lines, i, n), "\n"))
             return F.flatten(F.transform(useful, texts))
 
@@ -233,7 +264,7 @@ def header_blocks(
         return let(hits, lambda h: F.when((F.size(h) > 0) & (F.size(lines) > 1), around(lines, h)).otherwise(none))
 
     written = F.filter(F.split(whole, "\n"), lambda line: line.rlike("[a-z0-9]"))
-    return F.when(whole.rlike(pattern), let(written, of_lines)).otherwise(none)
+    return let(written, of_lines)
 
 
 def own_text(
@@ -241,18 +272,24 @@ def own_text(
 ) -> Column:
     """struct(order, name) of the licence whose own text is closest to a whole file, null below the threshold."""
 
-    def possible(terms: Column, weights: dict[str, float], size: float) -> Column:
+    def least(weights: dict[str, float], size: float) -> int:
         # The terms of a text that a file holds must carry the threshold's part of its norm.
-        left, least = (0.999 * threshold * size) ** 2, 0
+        left, n = (0.999 * threshold * size) ** 2, 0
         for w in sorted(weights.values(), reverse=True):
             if left <= 0:
                 break
-            left, least = left - w * w, least + 1
-        return F.size(F.array_intersect(terms, literal_terms(list(weights)))) >= least
+            left, n = left - w * w, n + 1
+        return n
+
+    least_of = [least(weights, size) for _, weights, size in texts]
+    of_any = sorted({t for _, weights, _ in texts for t in weights})
 
     def judged(terms: Column) -> Column:
-        any_possible = reduce(or_, [possible(terms, weights, size) for _, weights, size in texts])
-        return F.when(any_possible, closest(terms, texts, idf, unknown, threshold))
+        held = lambda weights: F.size(F.array_intersect(terms, literal_terms(list(weights))))
+        any_possible = reduce(or_, [held(weights) >= n for (_, weights, _), n in zip(texts, least_of, strict=True)])
+        # Few files hold as many terms of all texts together as one text takes.
+        enough = F.size(F.filter(F.array_distinct(terms), lambda t: t.isin(of_any))) >= min(least_of)
+        return F.when(enough, F.when(any_possible, closest(terms, texts, idf, unknown, threshold)))
 
     return let(terms_of(whole), judged)
 
@@ -276,15 +313,20 @@ def scan_licenses(
     idf = {t: all_idf[t] for t in sorted({t for _, own in terms for t in own})}
     known, whole_texts = vectors(terms, idf), vectors(bodies, all_idf)
     longest = max(len(own) for _, own in terms)
-    pattern = r"(^|[^a-z0-9])(" + "|".join(t.replace(".", r"\.") for t in heavy_terms(known, threshold)) + ")($|[^a-z0-9])"
-    whole = lowered(F.coalesce(F.col(text), F.lit("")))
+    pattern = holding(heavy_terms(known, threshold))
+    raw = F.coalesce(F.col(text), F.lit(""))
     is_license_file = F.coalesce(F.col(path).rlike(LICENSE_FILE), F.lit(False))
-    lines = F.filter(F.split(whole, "\n"), lambda line: line.rlike(pattern))
-    lines = F.concat(lines, header_blocks(whole, pattern, known, longest, idf, unknown, threshold))
-    lines = F.concat(lines, F.when(is_license_file & whole.rlike(pattern), F.array(whole)).otherwise(F.array().cast("array<string>")))
-    best = F.array_min(F.transform(lines, lambda line: best_template(line, known, idf, unknown, threshold)))
+
+    def headers(whole: Column) -> Column:
+        lines = F.filter(F.split(whole, "\n"), lambda line: line.rlike(pattern))
+        lines = F.concat(lines, header_blocks(whole, pattern, known, longest, idf, unknown, threshold))
+        lines = F.concat(lines, F.when(is_license_file, F.array(whole)).otherwise(F.array().cast("array<string>")))
+        return F.array_min(F.transform(lines, lambda line: best_template(line, known, idf, unknown, threshold)))
+
+    # A file without such a term is read once, by the pattern; the others are lower-cased once.
+    best = F.when(raw.rlike(pattern), let(lowered(raw), headers))
     if whole_texts:
-        best = F.array_min(F.array(best, F.when(is_license_file, own_text(whole, whole_texts, all_idf, unknown, threshold))))
+        best = F.array_min(F.array(best, F.when(is_license_file, own_text(lowered(raw), whole_texts, all_idf, unknown, threshold))))
     judged = files.select(
         F.struct(*[F.col(f"`{c}`") for c in files.columns if c not in MADE and c != text]).alias("_row"),
         F.col(path).alias("_path"),

@@ -4,6 +4,7 @@ import math
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from notemill.llm import licenses
 
@@ -109,3 +110,28 @@ def test_texts_of_licenses(spark):
     got = {p: (name, origin) for p, name, _, origin, _ in run(spark, rows)}
     assert {p: n for p, (n, o) in got.items() if o == "header"} == {f"{n}/LICENSE": n for n in bodies}
     assert all(got[f"{n}/src/x.txt"] == (n, "inherited") for n in bodies)
+
+
+def test_a_file_is_lowered_once_for_its_notices(spark, monkeypatch):
+    """And once more if it is a licence file; each use of the text used to do that again, and to search it again."""
+    kept, lowered, cut = [], licenses.lowered, licenses.cut
+    monkeypatch.setattr(licenses, "lowered", lambda c: F.reverse(F.reverse(lowered(c))))
+    monkeypatch.setattr(licenses, "cut", lambda df: kept.append(df) or cut(df))
+    assert run(spark, [("a/LICENSE", "Released under the MIT License."), ("a/b.txt", "x")])[1][1:4] == ("MIT", 1.0, "inherited")
+    plan = kept[0]._jdf.queryExecution().analyzed().toString()
+    assert plan.count("reverse(reverse(") == 2
+
+
+def test_pattern_of_terms_finds_them_in_any_case():
+    terms = ["2", "2.0", "mit", "gnu", "general"]
+    java = licenses.holding(terms)
+    for text in ["(MIT)", "v. 2.0,", "x\ngnu", "mit", "2", "GENERAL\n", "a-2.0-b", "smit mit2 mitx 12 gnul", "2.01", "", "generally", "éMITé"]:
+        lower = re.sub("[A-Z]", lambda m: m[0].lower(), text)
+        old = re.search(r"(^|[^a-z0-9])(" + "|".join(t.replace(".", r"\.") for t in terms) + ")($|[^a-z0-9])", lower)
+        assert bool(re.search(java, text)) == bool(old), text
+
+
+def test_only_a_to_z_become_letters_of_terms(spark):
+    rows = [("a/x", "Released under the MİT License."), ("a/y", "Released under the MITK License."), ("a/z", "ÉMIT RELEASED under THE license")]
+    rows += [(f"b/{i}", f"words of file {i} under the desk") for i in range(30)]
+    assert run(spark, rows) == brute(rows)

@@ -89,6 +89,6 @@ def test_points_of_many_values():
 
 def test_a_tree_that_drew_no_row(spark):
     docs = spark.createDataFrame([(0, 1, Vectors.sparse(3, [0], [1.0])), (1, 0, Vectors.sparse(3, [], []))], ["doc_id", "label", "features"])
-    model = forest.SparseForest(trees=12, max_features="all").fit(docs)
+    model = forest.SparseForest(trees=40, max_features="all").fit(docs)
     assert any(t.sums[forest.ROOT].sum() == 0 for t in model.trees)
     assert all(sum(p) == 1.0 for _, p in told(model, docs))
