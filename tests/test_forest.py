@@ -92,3 +92,11 @@ def test_a_tree_that_drew_no_row(spark):
     model = forest.SparseForest(trees=40, max_features="all").fit(docs)
     assert any(t.sums[forest.ROOT].sum() == 0 for t in model.trees)
     assert all(sum(p) == 1.0 for _, p in told(model, docs))
+
+
+def test_thresholds_from_a_sample(spark, monkeypatch):
+    monkeypatch.setattr(forest, "SAMPLE_ROWS", 150)
+    x, y = data()
+    docs = frame(spark, x, y)
+    model = forest.SparseForest(5, 4, "all").fit(docs)
+    assert np.mean([p == label for (p, _), label in zip(told(model, docs), y)]) > 0.7
