@@ -169,3 +169,35 @@ def test_shares_of_a_curve_are_fitted_side_by_side(spark, monkeypatch):
     options = experiments.RunOptions("MultinomialNB", mode="count", params={"alpha": 1.0})
     curve = experiments.learning_curve(docs.where("doc_id < 18"), docs.where("doc_id >= 18"), options, 50, 101, 50).collect()
     assert [(r["fraction"], r["f1"]) for r in curve] == [(0.5, 1.0), (1.0, 1.0)]
+
+
+def test_vocabularies_of_fits_have_no_bound(spark, monkeypatch):
+    """The vocabulary is a table; neither the driver nor a model holds it as one array."""
+    monkeypatch.setattr(vectors, "VOCABULARY_BOUND", 5)
+    rows = [(i, i % 2, f"w{i} {'bad' if i % 2 else 'fine'} " + " ".join(f"t{k}" for k in range(i % 7))) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, label int, text string")
+    runs = [experiments.RunOptions("LinearSVC", 2, params={"C": 10.0, "max_iter": 30}), experiments.RunOptions("LinearSVC", 2, params={"loss": "squared_hinge"})]
+    assert {(r["error"], r["f1"]) for r in experiments.run_grid(docs, runs).collect()} == {(None, 1.0)}
+    features = experiments.features_of(docs, "tfidf", TermOptions())
+    assert features.size == 48 and features.names.count() == 48
+
+
+@pytest.mark.parametrize("bound", [0, 128 << 20])
+def test_vectors_are_those_of_the_rows_whatever_their_ids(spark, monkeypatch, bound):
+    monkeypatch.setattr(vectors, "BROADCAST_BYTES", bound)
+    rows = [(1, "aa bb bb"), (1, "aa cc"), (1, "aa cc"), (None, "bb"), (2, "zz"), (3, ""), (4, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    features = experiments.features_of(docs, "count", TermOptions(min_df=2))
+    names = {r["index"]: r["term"] for r in features.names.collect()}
+    assert names == {0: "aa", 1: "bb", 2: "cc"}
+    made = sorted((str(r["doc_id"]), sorted((names[int(i)], v) for i, v in zip(r["features"].indices, r["features"].values))) for r in features.docs.collect())
+    a, b, c = (("aa", 1.0), ("bb", 2.0), ("cc", 1.0))
+    assert made == [("1", [a, b]), ("1", [a, c]), ("1", [a, c]), ("2", []), ("3", []), ("4", []), ("None", [("bb", 1.0)])]
+    assert {r["features"].size for r in features.docs.collect()} == {3}
+    unit = experiments.features_of(docs, "tfidf", TermOptions(min_df=2)).docs.collect()
+    assert [round(r["features"].norm(2), 9) for r in unit if r["features"].numNonzeros()] == [1.0] * 4
+
+
+def test_fits_side_by_side_are_bounded_by_what_the_driver_holds():
+    assert experiments.at_once(1000, 4) == 4
+    assert experiments.at_once(1 << 19, 4) == 2 and experiments.at_once(1 << 21, 4) == 1
