@@ -209,3 +209,23 @@ def test_similar_spans_do_not_overlap(spark):
     got = [(r["doc_id"], r["start"], r["length"], r["cui"]) for r in concepts.tag_fuzzy(docs, terms, 2, 0.6).collect()]
     assert sorted(got) == [(1, 3, 2, "C1"), (1, 6, 1, "C3")]
     assert Counter(c for *_, c in got) == {"C1": 1, "C3": 1}
+
+
+def test_blocks_are_exchanged_once_however_many_meet(spark, monkeypatch):
+    """Every vector goes into one block that is written; blocks meet without an exchange of copies."""
+    for name, value in {"FEW_MEETINGS": 0, "BLOCK_TEXTS": 10, "BLOCKS_PER_TASK": 3}.items():
+        monkeypatch.setattr(sparse_neighbours, name, value)
+    rng = random.Random(4)
+    docs = {d: {f"t{rng.randint(0, 30)}": rng.random() + 0.1 for _ in range(6)} for d in range(120)}
+    rows = [(0, d, list(v), list(v.values())) for d, v in docs.items()]
+    q = spark.createDataFrame(rows, "run int, query_id long, term array<string>, w array<double>")
+    i = spark.createDataFrame(rows, "run int, item_id long, term array<string>, w array<double>")
+    found = sparse_neighbours.block_nearest(q, i, 3)
+    chosen = found._jdf.queryExecution().sparkPlan().toString()
+    assert "CartesianProduct" in chosen and "CoGroup" not in chosen
+    got = {}
+    for r in found.collect():
+        got.setdefault(r["query_id"], {})[r["rank"]] = r["item_id"]
+    dot = lambda a, b: round(sum(x * docs[b].get(t, 0) for t, x in docs[a].items()), 9)
+    want = {a: [b for s, b in sorted((-dot(a, b), b) for b in docs if b != a and dot(a, b) > 0)[:3]] for a in docs}
+    assert {a: [v[r] for r in sorted(v)] for a, v in got.items()} == want
